@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import line_dedup, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -15,8 +16,63 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.strip_boilerplate(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_sharding": op3_sharding,
+    "op9_simhash": op9_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS k FROM documents),
+w AS (SELECT k, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT k, i, list_aggregate(ws[i:i+4], 'string_agg', ' ') AS g FROM w, unnest(range(1, len(ws) - 3)) AS t(i)),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT k, sum(least(5, coalesce(i - prev, 5))) AS n FROM
+  (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS prev FROM r) GROUP BY k),
+m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words,
+  length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper,
+  length(regexp_replace(text, '[^!]+', '', 'g')) AS n_exclamations
+  FROM d JOIN w USING (k) LEFT JOIN rep USING (k)),
+f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END
+  + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+  + CASE WHEN n_symbols > n_words * 0.25::DOUBLE THEN 4 ELSE 0 END
+  + CASE WHEN n_dup_lines > n_lines * 0.5::DOUBLE THEN 8 ELSE 0 END
+  + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END
+  + CASE WHEN n_upper > word_chars * 0.4::DOUBLE THEN 32 ELSE 0 END
+  + CASE WHEN n_exclamations > n_words * 0.5::DOUBLE THEN 64 ELSE 0 END)::BIGINT AS fail_mask FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (fail_mask & 3) <> 0 AS base_failed, fail_mask = 0 AS kept, fail_mask FROM f
+""",
+    "op10_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS site FROM documents),
+l AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+e AS (SELECT k, i, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t,
+  len(list_filter(regexp_split_to_array(line, '[ 	-]+'), lambda x: x <> '')) >= 3 AS ok FROM l),
+fam AS (SELECT k, arg_max(line, {'n': length(line), 'line': line}) AS fam FROM l GROUP BY k),
+fs AS (SELECT fam, min(site) AS first FROM fam JOIN d USING (k) GROUP BY fam),
+bad AS (SELECT t FROM e JOIN fam USING (k) JOIN fs USING (fam) WHERE ok GROUP BY t HAVING count(DISTINCT first) >= 5),
+kept AS (SELECT k, count(*) FILTER (ok AND t IN (SELECT t FROM bad)) AS n,
+  string_agg(line, chr(10) ORDER BY i) FILTER (NOT (ok AND t IN (SELECT t FROM bad))) AS text FROM e GROUP BY k)
+SELECT doc_id, n::BIGINT AS n_lines_removed, md5(coalesce(kept.text, '')) AS text_md5 FROM kept JOIN d USING (k)
+""",
+}
