@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, sharding, simhash
+from . import bpe, decontamination, line_dedup, quality_rules, sharding, simhash, suffix_dedup
 from .common import table
 
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
@@ -20,6 +23,26 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.strip_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, packed=True, decoded="decoded")
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +55,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
+    "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
@@ -67,7 +93,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS site FROM documents),
 l AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 e AS (SELECT k, i, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t,
-  len(list_filter(regexp_split_to_array(line, '[ 	-]+'), lambda x: x <> '')) >= 3 AS ok FROM l),
+  len(list_filter(regexp_split_to_array(line, '[ 	-
+]+'), lambda x: x <> '')) >= 3 AS ok FROM l),
 fam AS (SELECT k, arg_max(line, {'n': length(line), 'line': line}) AS fam FROM l GROUP BY k),
 fs AS (SELECT fam, min(site) AS first FROM fam JOIN d USING (k) GROUP BY fam),
 bad AS (SELECT t FROM e JOIN fam USING (k) JOIN fs USING (fam) WHERE ok GROUP BY t HAVING count(DISTINCT first) >= 5),
