@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, quality_rules, sharding, simhash, suffix_dedup
+from . import bpe, decontamination, line_dedup, quality_classifier, quality_rules, secret_scan, sharding, simhash, suffix_dedup, url_filter
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return rows.select(
@@ -23,6 +27,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.verified())
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,8 +65,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_secret_scan": op5_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe": op8_bpe,

@@ -242,7 +242,6 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return whole.union(partial)
 
 
-@F.pandas_udf("n_removed long, n_spans long, kept binary")
 def _without(texts: pd.Series, places: pd.Series, counts: pd.Series) -> pd.DataFrame:
     rows = []
     for text, p, n in zip(texts, places, counts):
@@ -275,7 +274,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     packed = docs.select(F.struct(*[c for c in docs.columns if c not in added]).alias("_row"), whole_text(text_col).alias("_text"), *row_key(id_col, text_col))
     joined = packed.join(spans.hint("merge"), ["row_id", "row_hash"], "left")
     out = joined.select(
-        "_row", "_text", _without(F.when(F.col("_p").isNotNull(), F.col("_text")), F.col("_p"), F.col("_n")).alias("_o")
+        "_row", "_text", F.pandas_udf(_without, "n_removed long, n_spans long, kept binary")(F.when(F.col("_p").isNotNull(), F.col("_text")), F.col("_p"), F.col("_n")).alias("_o")
     )
     return out.select(
         "_row.*", F.octet_length("_text").cast("long").alias("n_bytes"), "_o.n_removed", "_o.n_spans",
