@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from barflow.plans import features, labels, news, streams, trading  # noqa: F401  they register their queries
+from barflow.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
