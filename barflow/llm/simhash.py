@@ -19,7 +19,7 @@ with their hub are compared with their bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, discard, ship, whole_text
+from .common import cut, row_key, ship, whole_text
 from .components import components
 
 ship(__name__)
@@ -111,42 +111,37 @@ def _may_link(x: str, y: str) -> Column:
 
 
 def _link(x: str, y: str) -> Column:
-    return _may_link(x, y) & (_distance(F.col(f"{x}.fp"), F.col(f"{y}.fp")) <= LINK_BITS)
+    return _may_link(x, y) & (_distance(F.col(f"{x}.node"), F.col(f"{y}.node")) <= LINK_BITS)
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Links (src, dst) between fingerprints that keep every component of the full link graph.
+def links(
+    rows: DataFrame, close: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs
+) -> DataFrame:
+    """Links (src, dst) that connect what the full link graph connects.
 
-    classes (fp, n): distinct fingerprints and how many documents carry each. Dense
-    buckets give one link per member to their hub, and further links only across what
-    is not connected by then.
+    rows: a stored table (key, node, n, ...); only nodes that share a key can link. A pair
+    links if ``close``, over the aliases it gets, holds and ``verify`` keeps it. First
+    each node is compared with the hub of each of its buckets, the node of largest n. Then
+    nodes that are not connected with a hub of theirs are compared with their whole
+    bucket. A dense bucket, all in one component by then, gives nothing more.
     """
-    rows = cut(pivot_table(classes).select("fp", "n", "pivots", F.explode("keys").alias("key")))
+    payload = [c for c in rows.columns if c not in ("key", "n")]
     hubs = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.max_by(F.struct("fp", "pivots"), F.struct("n", "fp")).alias("hub")
+        F.count(F.lit(1)).alias("size"), F.max_by(F.struct(*payload), F.struct("n", "node")).alias("hub")
     ).filter("size > 1")
-    hubs = cut(hubs.select("key", F.col("hub.fp").alias("fp"), F.col("hub.pivots").alias("pivots")))
-    spokes = (
-        rows.alias("x").join(hubs.alias("h").hint("merge"), "key")
-        .filter(_link("x", "h") & (F.col("x.fp") != F.col("h.fp")))
-        .select(F.col("x.fp").alias("src"), F.col("h.fp").alias("dst")).distinct()
-    )
-    spokes = cut(spokes)
+    hubs = cut(hubs.select("key", "hub.*"))
+    pairs = lambda df, x, y: df.select(F.col(f"{x}.node").alias("src"), F.col(f"{y}.node").alias("dst")).distinct()
+    near_hub = rows.alias("x").join(hubs.alias("h"), F.col("x.key") == F.col("h.key"))
+    spokes = cut(verify(pairs(near_hub.filter((F.col("x.node") != F.col("h.node")) & close("x", "h")), "x", "h")))
     named = cut(components(spokes))
-    known = rows.join(named.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "key", "fp", "pivots", F.coalesce("component", "fp").alias("c")
-    )
-    hub_c = hubs.select("key", "fp").join(named.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "key", F.coalesce("component", "fp").alias("hub_c")
-    )
-    known = cut(known.join(hub_c, "key"))
+    component = lambda df, out: df.join(named, "node", "left").select(*df.columns, F.coalesce("component", "node").alias(out))
+    hub_of = component(hubs.select("key", "node"), "hub_c").select("key", "hub_c")
+    known = cut(component(rows.select("key", *payload), "c").join(hub_of, "key"))
     apart = known.filter("c <> hub_c")
-    rest = (
-        apart.alias("x").join(known.alias("y").hint("merge"), F.col("x.key") == F.col("y.key"))
-        .filter((F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.hub_c")) | (F.col("x.fp") < F.col("y.fp"))) & _link("x", "y"))
-        .select(F.col("x.fp").alias("src"), F.col("y.fp").alias("dst")).distinct()
+    met = apart.alias("x").join(known.alias("y"), F.col("x.key") == F.col("y.key")).filter(
+        (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.hub_c")) | (F.col("x.node") < F.col("y.node"))) & close("x", "y")
     )
-    return spokes.union(rest)
+    return spokes.union(verify(pairs(met, "x", "y")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,7 +153,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "fp"))
     classes = cut(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")))
-    named = components(links(classes.select("fp", "n")))
+    rows = cut(pivot_table(classes).select(F.explode("keys").alias("key"), F.col("fp").alias("node"), "n", "pivots"))
+    named = components(links(rows, _link))
     class_of = cut(classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     ))
@@ -169,7 +165,118 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their component, with their own columns; rows that repeat an id and text count once."""
-    named = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(named, id_col, "left_semi").dropDuplicates([id_col])
+# Near copies by similarity. Texts whose shingle sets are alike to 0.8 differ in 4 to 15 of
+# 64 bits, too many for keys that lose no link. A wide SimHash gives keys instead: signs of
+# random projections of the set of shingles, cut into bands. Pairs that agree in a band
+# are filtered by distance over other bits and verified on the sets themselves.
+
+SET_SHINGLE, SIMILARITY = 5, 0.8
+#: Buckets of the signed sketch; bands and bits per band (97 % of pairs at similarity 0.8 and 99.7 % at 0.85 agree in a band);
+#: bits of the filter, and the distance over them beyond which a pair is discarded (similarity 0.8 has 39, with deviation 6).
+SKETCH, BANDS, BAND_BITS, FILTER_BITS, FILTER_DISTANCE = 4096, 120, 22, 256, 72
+_ORDER = np.random.default_rng(20240229).permutation(SKETCH)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's five-word shingles (the whole text if it has fewer words; none without words)."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    n = max(1, len(words) - SET_SHINGLE + 1)
+    starts, stops = [0, *(ends[: n - 1] + 1).tolist()], ends[min(SET_SHINGLE, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh3_64_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, stops)]), np.uint64))
+
+
+def wide_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """SKETCH sign bits for each set: a signed count sketch, then a Walsh-Hadamard transform."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    sign = np.where((flat >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+    cell = owner * SKETCH + (flat & np.uint64(SKETCH - 1)).astype(np.int64)
+    x = np.bincount(cell, weights=sign, minlength=len(sets) * SKETCH).astype(np.float32).reshape(len(sets), SKETCH)
+    width = 1
+    while width < SKETCH:
+        pairs = x.reshape(len(sets), -1, 2, width)
+        x = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(len(sets), SKETCH)
+        width *= 2
+    return x[:, _ORDER] > 0
+
+
+def _wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    used, powers = BANDS * BAND_BITS, 1 << np.arange(BAND_BITS, dtype=np.int64)
+    for whole in batches:
+        for start in range(0, len(whole), 64):  # bounds the sketches, not the rows
+            batch = whole.iloc[start : start + 64]
+            sets = [shingle_set(t) for t in batch["text"]]
+            bits = wide_bits(sets)
+            bands = bits[:, :used].reshape(len(sets), BANDS, BAND_BITS) @ powers + (np.arange(BANDS, dtype=np.int64) << BAND_BITS)
+            rest = np.ascontiguousarray(np.packbits(bits[:, used : used + FILTER_BITS], axis=1)).view(">i8").astype(np.int64)
+            yield pd.DataFrame({
+                "id": batch["id"].to_numpy(), "row_id": batch["row_id"].to_numpy(), "row_hash": batch["row_hash"].to_numpy(),
+                "node": np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64),
+                "bands": list(bands), "filter": list(rest),
+            })
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(t).view(np.int64) for t in batch["text"]]})
+
+
+def _alike(texts: DataFrame, nodes: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """Keeps pairs whose filter bits are near and whose shingle sets are alike; sets are read for those pairs' nodes only."""
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda end: nodes.select(F.col("node").alias(end), F.col("filter").alias(f"f_{end}"))
+        apart = sum((F.bit_count(F.col("f_src")[k].bitwiseXOR(F.col("f_dst")[k])) for k in range(FILTER_BITS // 64)), F.lit(0))
+        near = cut(pairs.join(side("src"), "src").join(side("dst"), "dst").filter(apart <= FILTER_DISTANCE).select("src", "dst"))
+        ends = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        chosen = cut(nodes.join(ends, "node", "left_semi").select("node", "row_id", "row_hash"))
+        sets = cut(texts.join(chosen, ["row_id", "row_hash"]).select("node", "text").mapInPandas(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+        of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s_{end}"))
+        both = F.size(F.array_intersect("s_src", "s_dst"))
+        return near.join(of("src"), "src").join(of("dst"), "dst").filter(
+            both >= F.lit(similarity) * (F.size("s_src") + F.size("s_dst") - both)
+        ).select("src", "dst")
+
+    return verify
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_id, row_hash, id, component, component_id): groups of documents that links of similarity 0.8 or more connect.
+
+    Similarity is that of the sets of five-word shingles, letters A to Z in small. Texts
+    with equal sets, texts without words among them, are always one group. Ids are cast
+    to long; a null id never names a group unless there is no other.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), *row_key(id_col, text_col), whole_text(text_col).alias("text"))
+    wide = cut(texts.mapInPandas(_wide, "id long, row_id long, row_hash long, node long, bands array<long>, filter array<long>"))
+    nodes = cut(
+        wide.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("first"),
+            *[F.first(c).alias(c) for c in ("row_id", "row_hash", "bands", "filter")],
+        )
+    )
+    rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
+    found = links(rows, lambda x, y: F.lit(True), _alike(texts, nodes, similarity))
+    named = cut(nodes.join(components(found), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    member = cut(named.join(least, "component").select("node", "component", "component_id"))
+    return wide.select("row_id", "row_hash", "id", "node").join(member, "node").drop("node")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of copies and near copies, that of the least id, with its own columns only.
+
+    Rows that repeat both id and text count once. A group without any id keeps the row of
+    least text hash.
+    """
+    first = similar_documents(docs, similarity, id_col, text_col).groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "row_id", "row_hash")).alias("k")
+    )
+    keys = cut(first.select("k.row_id", "k.row_hash"))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(id_col, text_col))
+    return packed.join(keys, ["row_id", "row_hash"], "left_semi").dropDuplicates(["row_id", "row_hash"]).select("_row.*")

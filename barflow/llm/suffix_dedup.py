@@ -28,8 +28,8 @@ from .common import cut, discard, free_shuffles, row_key, ship, whole_text
 
 ship(__name__)
 
-MATCH, PIECE = 200, 73
-SPAN = MATCH - PIECE + 1  # pieces in a window: 128, a power of two
+MATCH, PIECE = 200, 41
+SPAN = MATCH - PIECE + 1  # pieces in a window
 #: Bytes laid end to end at a time, windows per suffix array, and runs of one anchor in one part.
 CHUNK, BATCH_WINDOWS, PART_RUNS, HEAD = 1 << 20, 100_000, 20_000, 16
 BASE = 0x9E3779B97F4A7C15
@@ -56,10 +56,11 @@ def _runs(data: np.ndarray, ends: np.ndarray, powers: tuple[np.ndarray, np.ndarr
     value ^= value >> np.uint64(29)
     least, place = value, np.arange(len(value), dtype=np.int32)
     step = 1
-    while step < SPAN:  # the leftmost least of 2, 4, ... SPAN pieces
-        right = least[step:] < least[:-step]
-        least, place = np.where(right, least[step:], least[:-step]), np.where(right, place[step:], place[:-step])
-        step *= 2
+    while step < SPAN:  # the leftmost least of 2, 4, 8 ... and at last SPAN pieces
+        by = min(step, SPAN - step)
+        right = least[by:] < least[:-by]
+        least, place = np.where(right, least[by:], least[:-by]), np.where(right, place[by:], place[:-by])
+        step += by
     starts = np.flatnonzero(np.arange(MATCH, n + MATCH) <= ends[:n])
     if not len(starts):
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
@@ -236,7 +237,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     by_row = doubt.groupBy("row_id", "row_hash").agg(F.collect_list("run").alias("runs"))
     pieces = texts.join(by_row, ["row_id", "row_hash"]).mapInPandas(_cut_out, CUT)
-    partial = cut(pieces.repartition("h", "part").mapInPandas(_repeats, SPANS))
+    # A number of its own keeps small partitions apart: a task holds the windows of its partition.
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partial = cut(pieces.repartition(parts, "h", "part").mapInPandas(_repeats, SPANS))
     discard(groups)
     free_shuffles(docs.sparkSession)
     return whole.union(partial)
