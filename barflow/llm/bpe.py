@@ -29,22 +29,22 @@ from .common import ship, whole_text
 ship(__name__)
 
 #: Words per recursive query, tokens per decoding query, pieces kept before the table starts anew, and DuckDB's memory.
-WORDS_A_QUERY, TOKENS_A_QUERY, MAX_PIECES, MEMORY = 40_000, 400_000, 600_000, "200MB"
+WORDS_A_QUERY, TOKENS_A_QUERY, MAX_PIECES, MEMORY = 20_000, 400_000, 600_000, "200MB"
 
 ENCODE = """
-WITH RECURSIVE s(k, w, i, tok, r) AS (
-  SELECT 0, x.w, x.i, x.tok, m.r
-  FROM (SELECT w, i, tok, lead(tok) OVER (PARTITION BY w ORDER BY i) AS nxt FROM start) x
+WITH RECURSIVE s(k, w, i, tok, j, r) AS (
+  SELECT 0, x.w, x.i, x.tok, x.j, m.r
+  FROM (SELECT w, i, tok, lead(i) OVER o AS j, lead(tok) OVER o AS nxt FROM start WINDOW o AS (PARTITION BY w ORDER BY i)) x
   LEFT JOIN merges m ON m.a = x.tok AND m.b = x.nxt
   UNION ALL
-  SELECT x.k, x.w, x.i, x.tok, m.r FROM (
-    SELECT k, w, i, tok, lead(tok) OVER (PARTITION BY w ORDER BY i) AS nxt FROM (
-      SELECT s.k + 1 AS k, s.w, s.i, CASE WHEN s.i = b.place THEN b.r ELSE s.tok END AS tok,
-             lag(s.i) OVER (PARTITION BY s.w ORDER BY s.i) = b.place AS gone
+  SELECT x.k, x.w, x.i, x.tok, x.j, m.r FROM (
+    SELECT k, w, i, tok, lead(i) OVER o AS j, lead(tok) OVER o AS nxt FROM (
+      SELECT s.k + 1 AS k, s.w, s.i, CASE WHEN s.i = b.place THEN b.r ELSE s.tok END AS tok
       FROM s JOIN (
-        SELECT w, min(r) AS r, arg_min(i, r::BIGINT * 4294967296 + i) AS place FROM s WHERE r IS NOT NULL GROUP BY w
-      ) b ON s.w = b.w
-    ) WHERE gone IS NOT TRUE
+        SELECT w, min(r) AS r, arg_min(i, r::BIGINT * 4294967296 + i) AS place, arg_min(j, r::BIGINT * 4294967296 + i) AS gone
+        FROM s WHERE r IS NOT NULL GROUP BY w
+      ) b ON s.w = b.w AND s.i <> b.gone
+    ) WINDOW o AS (PARTITION BY w ORDER BY i)
   ) x LEFT JOIN merges m ON m.a = x.tok AND m.b = x.nxt
 )
 SELECT w, i, tok FROM s JOIN (SELECT w, max(k) AS k FROM s GROUP BY w) last USING (w, k) ORDER BY w, i
