@@ -7,6 +7,7 @@ chunk gives the value carried into each, and both add up. No row needs its whole
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,11 @@ from barflow.functions.windows import EPS, lagged
 CHUNK = 512
 
 
+def _carried(k: int, q: float) -> Callable[[Column, Column], Column]:
+    """Adds to the values carried into chunks the one after chunk e, for mean number k."""
+    return lambda a, e: F.concat(a, F.array(F.element_at(a, -1) * F.pow(F.lit(q), e["_len"].cast("double")) + e[f"_end{k}"]))
+
+
 def ewm(df: DataFrame, means: dict[str, tuple[str, float]], by: str = "symbol", order: str = "ts") -> DataFrame:
     """``df`` with a column out = mean of col by alpha for each out: (col, alpha).
 
@@ -38,11 +44,8 @@ def ewm(df: DataFrame, means: dict[str, tuple[str, float]], by: str = "symbol",
         local[f"_y{k}"] = F.pow(F.lit(q), up) * F.sum(term).over(inside)
         parts += [F.max_by(f"_y{k}", "_k").alias(f"_end{k}"), F.min_by(col, "_k").alias(f"_x{k}")]
 
-        def carried(a: Column, e: Column, k: int = k, q: float = q) -> Column:
-            return F.concat(a, F.array(F.element_at(a, -1) * F.pow(F.lit(q), e["_len"].cast("double")) + e[f"_end{k}"]))
-
         start = F.array(F.col("_e")[0][f"_x{k}"])
-        folds.append(F.aggregate("_e", start, lambda a, e, f=carried: f(a, e)).alias(f"_carry{k}"))
+        folds.append(F.aggregate("_e", start, _carried(k, q)).alias(f"_carry{k}"))
     base = base.withColumns(local)
     ends = base.filter(valid).groupBy(by, "_chunk").agg(*parts)
     columns = ["_chunk", "_len", *(f"_{p}{k}" for k in range(len(means)) for p in ("end", "x"))]

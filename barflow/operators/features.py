@@ -47,16 +47,22 @@ def technical(bars: DataFrame, windows: tuple[int, ...] = (7, 14), vol_window: i
     return df.withColumns({"atr_norm": F.col("atr_14") / (close + W.EPS), "rv": W.rolling(F.stddev_samp, F.col("logret_1"), vol_window)})
 
 
-def coarse_features(bars: DataFrame, hours: int, lookbacks: tuple[int, ...] = (1, 3), rsi_window: int = 14, vol_window: int = 14) -> DataFrame:
-    """A compact feature set on resampled bars, with the sign of the return over three bars as trend."""
-    p, close = f"tf{hours}h", F.col("close")
-    df = atr(macd(rsi(resample(bars, hours), rsi_window, f"{p}_rsi_{rsi_window}")), 14, "_atr")
+def coarse_features(
+    bars: DataFrame, hours: int, lookbacks: tuple[int, ...] = (1, 3), rsi_window: int = 14, vol_window: int = 14, indicators: bool = True
+) -> DataFrame:
+    """A compact feature set on resampled bars, with the sign of the return over three bars as trend.
+
+    Without ``indicators`` the recursive ones (RSI, MACD, ATR) are left out.
+    """
+    p, close, df = f"tf{hours}h", F.col("close"), resample(bars, hours)
+    own = {}
+    if indicators:
+        df = atr(macd(rsi(df, rsi_window, f"{p}_rsi_{rsi_window}")), 14, "_atr")
+        own = {f"{p}_macd_hist": F.col("macd_hist"), f"{p}_atr_norm": F.col("_atr") / (close + W.EPS)}
     df = df.withColumn("_lr", W.log_return(close))
-    df = df.withColumns({f"{p}_ret_{n}": W.momentum(close, n) for n in lookbacks} | {
+    df = df.withColumns({f"{p}_ret_{n}": W.momentum(close, n) for n in lookbacks} | own | {
         f"{p}_vol_{vol_window}": W.rolling(F.stddev_samp, F.col("_lr"), vol_window),
-        f"{p}_zscore_{vol_window}": W.zscore(close, vol_window),
-        f"{p}_macd_hist": F.col("macd_hist"), f"{p}_atr_norm": F.col("_atr") / (close + W.EPS),
-        f"{p}_trend": F.signum(W.momentum(close, 3)),
+        f"{p}_zscore_{vol_window}": W.zscore(close, vol_window), f"{p}_trend": F.signum(W.momentum(close, 3)),
     })
     names = [c for c in df.columns if c.startswith(p)]
     return df.select("symbol", "ts", *[W.finite(F.col(c)).alias(c) for c in names])

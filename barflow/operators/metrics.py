@@ -141,7 +141,7 @@ def overfitting_probability(perf: DataFrame, n_splits: int) -> DataFrame:
     number of splits; ties in sample go to the least configuration.
     """
     half = n_splits // 2
-    inside = F.shiftright(F.col("mask"), F.col("split")).bitwiseAND(F.lit(1)) == 1
+    inside = F.expr("shiftright(mask, split) & 1") == 1
     masks = F.filter(F.sequence(F.lit(0), F.lit((1 << n_splits) - 1)), lambda m: F.bit_count(m) == half)
     each = perf.select("config", "split", "value", F.explode(masks).alias("mask"))
     means = each.groupBy("mask", "config").agg(F.avg(F.when(inside, F.col("value"))).alias("i"), F.avg(F.when(~inside, F.col("value"))).alias("o"))

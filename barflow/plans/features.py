@@ -139,7 +139,7 @@ _COARSE = f"""{sql.coarse(4, 'c4')}, f4 AS (SELECT symbol, bar, close / lag(clos
 FROM bars b ASOF LEFT JOIN f4 f ON f.symbol = b.symbol AND b.ts + INTERVAL 1 HOUR >= f.bar + INTERVAL 4 HOUR""")
 def mtf_asof_join(spark: SparkSession, folder: str) -> DataFrame:
     bars = source.hourly(spark, folder)
-    return shown(features.align_coarse(bars, features.coarse_features(bars, 4), 4), "tf4h_ret_1", "tf4h_ret_3", "tf4h_trend")
+    return shown(features.align_coarse(bars, features.coarse_features(bars, 4, indicators=False), 4), "tf4h_ret_1", "tf4h_ret_3", "tf4h_trend")
 
 
 @query(f"""WITH {sql.BARS}, {_COARSE}, a AS (SELECT b.*, f.tf4h_trend FROM bars b ASOF LEFT JOIN f4 f ON f.symbol = b.symbol AND b.ts + INTERVAL 1 HOUR >= f.bar + INTERVAL 4 HOUR),
@@ -151,7 +151,7 @@ def mtf_confluence(spark: SparkSession, folder: str) -> DataFrame:
     bars = source.hourly(spark, folder)
     df = bars.withColumn("mom_14", W.momentum(F.col("close"), 14))
     for hours in (4, 24):
-        df = features.align_coarse(df, features.coarse_features(bars, hours).select("symbol", "ts", f"tf{hours}h_trend"), hours)
+        df = features.align_coarse(df, features.coarse_features(bars, hours, indicators=False).select("symbol", "ts", f"tf{hours}h_trend"), hours)
     out = features.confluence(df, F.signum("mom_14"), ["tf4h_trend", "tf24h_trend"])
     return shown(out, "tf4h_trend", "tf24h_trend", "tf4h_agree", "tf24h_agree", "mtf_confluence")
 

@@ -109,9 +109,9 @@ def per_trade_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     return shown(metrics.per_trade_sharpe(backtest.independent(scored(spark, folder), RULES), "pnl", ["symbol"]), "sharpe", keys=("symbol",))
 
 
-@query(f"""WITH {sql.EVENTS}, {PROBS}, {_TRADES}, fl AS (SELECT symbol, t1 AS at, 0 AS kind, -size AS d FROM tr0 WHERE size > 0 UNION ALL SELECT symbol, t0, 1, size FROM tr0 WHERE size > 0),
-fs AS (SELECT symbol, at, kind, sum(d) AS d FROM fl GROUP BY ALL)
-SELECT symbol, round(max(o), 6) + 0 AS peak FROM (SELECT symbol, sum(d) OVER (PARTITION BY symbol ORDER BY at, kind ROWS UNBOUNDED PRECEDING) AS o FROM fs) GROUP BY symbol""")
+@query(f"""WITH {sql.EVENTS}, {PROBS}, {_TRADES}, fl AS (SELECT symbol, t1 AS x, 0 AS kind, -size AS d FROM tr0 WHERE size > 0 UNION ALL SELECT symbol, t0, 1, size FROM tr0 WHERE size > 0),
+fs AS (SELECT symbol, x, kind, sum(d) AS d FROM fl GROUP BY ALL)
+SELECT symbol, round(max(o), 6) + 0 AS peak FROM (SELECT symbol, sum(d) OVER (PARTITION BY symbol ORDER BY x, kind ROWS UNBOUNDED PRECEDING) AS o FROM fs) GROUP BY symbol""")
 def peak_gross_exposure(spark: SparkSession, folder: str) -> DataFrame:
     trades = backtest.independent(scored(spark, folder), RULES).filter("size > 0")
     return shown(metrics.peak_exposure(trades), "peak", keys=("symbol",))
