@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, whole_text, words_of
+from .common import SPACE, cut, whole_text, words_of
 
 WINDOW = 5
 
@@ -156,4 +156,7 @@ def ablations(rows: DataFrame, version: int = DEFAULT_POLICY) -> DataFrame:
 def filter_documents(docs: DataFrame, version: int = DEFAULT_POLICY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that a policy keeps, with their own columns only."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_own"))
-    return apply_policy(ledger(packed, "_row", "_own"), version).filter("kept").select("_row.*")
+    judged = apply_policy(ledger(packed, "_row", "_own"), version)
+    # Stored before it is filtered: a filter would be pushed down to the scan with every measurement
+    # written out in it, again for each use.
+    return cut(judged.select("_row", "kept")).filter("kept").select("_row.*")

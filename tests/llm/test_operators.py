@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from barflow.llm import bpe, decontamination, line_dedup, quality_rules, sharding, simhash, suffix_dedup, url_filter
 from barflow.llm import queries as registered
@@ -109,7 +110,7 @@ def test_shards_are_even_and_slots_gapless(docs, texts):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_the_permutation_hits_every_place(spark, n):
-    places = [r[0] for r in spark.range(n).select(sharding.permute(spark.range(n)["id"], n)).collect()]
+    places = [r[0] for r in spark.range(n).select(sharding.permute(F.col("id"), n)).collect()]
     assert sorted(places) == list(range(n))
 
 
@@ -261,7 +262,6 @@ def test_simhash_components(docs, texts):
 
 
 def test_dense_groups_of_near_fingerprints_stay_connected(spark):
-    from pyspark.sql import functions as F
 
     rng = np.random.default_rng(8)
     base, prints = int(rng.integers(0, 2**63)), set()
