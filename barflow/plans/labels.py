@@ -134,19 +134,19 @@ def time_decay(spark: SparkSession, folder: str) -> DataFrame:
     return shown(labels.time_decay(sparse_events(spark, folder)), "w_decay", keys=("symbol", "t0"))
 
 
-_GROUPS = """gr AS (SELECT symbol, t0, t1, ntile({n}) OVER (PARTITION BY symbol ORDER BY t0, t1) - 1 AS grp FROM ev),
+GROUPS = """gr AS (SELECT symbol, t0, t1, ntile({n}) OVER (PARTITION BY symbol ORDER BY t0, t1) - 1 AS grp FROM ev),
 bo AS (SELECT symbol, grp AS fold, min(t0) AS a, max(t1) AS b, floor(any_value(n) * 0.02) AS emb FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM gr) GROUP BY ALL),
 af AS (SELECT g.symbol, g.t0, b.fold, row_number() OVER (PARTITION BY g.symbol, b.fold ORDER BY g.t0) AS k FROM gr g JOIN bo b ON g.symbol = b.symbol AND g.t0 > b.b),
 jd AS (SELECT g.symbol, b.fold, g.t0, g.t1, g.grp = b.fold AS test, g.t1 >= b.a AND g.t0 <= b.b AS pur, coalesce(af.k <= b.emb, false) AS emb
   FROM gr g JOIN bo b USING (symbol) LEFT JOIN af ON af.symbol = g.symbol AND af.fold = b.fold AND af.t0 = g.t0)"""
 
 
-@query(f"""WITH {sql.EVENTS}, {_GROUPS.format(n=5)} SELECT symbol, fold::INT AS fold, t0, CASE WHEN test THEN 'test' WHEN pur THEN 'purged' WHEN emb THEN 'embargoed' ELSE 'train' END AS part FROM jd""")
+@query(f"""WITH {sql.EVENTS}, {GROUPS.format(n=5)} SELECT symbol, fold::INT AS fold, t0, CASE WHEN test THEN 'test' WHEN pur THEN 'purged' WHEN emb THEN 'embargoed' ELSE 'train' END AS part FROM jd""")
 def purged_kfold_train_rows(spark: SparkSession, folder: str) -> DataFrame:
     return validation.purged_folds(sparse_events(spark, folder), 5, 0.02).select("symbol", "fold", "t0", "part")
 
 
-@query(f"""WITH {sql.EVENTS}, {_GROUPS.format(n=5)} SELECT symbol, fold::INT AS fold, count(*) FILTER (NOT test AND NOT pur AND emb) AS n_embargoed,
+@query(f"""WITH {sql.EVENTS}, {GROUPS.format(n=5)} SELECT symbol, fold::INT AS fold, count(*) FILTER (NOT test AND NOT pur AND emb) AS n_embargoed,
 min(t0) FILTER (NOT test AND NOT pur AND emb) AS first_embargoed FROM jd GROUP BY ALL""")
 def embargo_rows(spark: SparkSession, folder: str) -> DataFrame:
     out = F.col("part") == "embargoed"
@@ -155,7 +155,7 @@ def embargo_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {sql.EVENTS}, {_GROUPS.format(n=6)}, pairs AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS combo FROM range(6) x(a), range(6) y(b) WHERE a < b),
+@query(f"""WITH {sql.EVENTS}, {GROUPS.format(n=6)}, pairs AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS combo FROM range(6) x(a), range(6) y(b) WHERE a < b),
 m AS (SELECT symbol, combo, t0, bool_or(test) AS test, bool_or(pur OR emb) AS dropped FROM jd JOIN pairs ON fold = a OR fold = b GROUP BY ALL)
 SELECT symbol, combo::INT AS combo, count(*) FILTER (test) AS n_test, count(*) FILTER (NOT test AND dropped) AS n_out, count(*) FILTER (NOT test AND NOT dropped) AS n_train FROM m GROUP BY ALL""")
 def cpcv_combos(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +164,7 @@ def cpcv_combos(spark: SparkSession, folder: str) -> DataFrame:
     return parts.groupBy("symbol", "combo").agg(n("test"), n("out"), n("train"))
 
 
-@query(f"WITH {sql.EVENTS}, {_GROUPS.format(n=5)} SELECT symbol, fold::INT AS fold, 0::BIGINT AS n_overlaps FROM bo")
+@query(f"WITH {sql.EVENTS}, {GROUPS.format(n=5)} SELECT symbol, fold::INT AS fold, 0::BIGINT AS n_overlaps FROM bo")
 def cv_overlap_count(spark: SparkSession, folder: str) -> DataFrame:
     return validation.overlaps(validation.purged_folds(sparse_events(spark, folder), 5, 0.02))
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barflow.functions.windows import rounded
-from barflow.operators import backtest, learning, metrics
+from barflow.operators import audit as checks
+from barflow.operators import backtest, learning, metrics, validation
 from barflow.operators.backtest import Rules
 from barflow.plans import sql
 from barflow.plans.features import shown
-from barflow.plans.labels import PROBS, panel, sparse_events, with_probabilities
+from barflow.plans.labels import GROUPS, PROBS, panel, sparse_events, with_probabilities
 from barflow.plans.registry import query
 
 RULES = Rules()
@@ -174,6 +175,24 @@ def pbo(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.overfitting_probability(perf, 8).select(rounded(F.col("pbo")).alias("pbo"))
 
 
+@query(f"""WITH {sql.EVENTS}, {PROBS}, {_TRADES}, {GROUPS.format(n=6)}, pairs AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS combo FROM range(6) x(a), range(6) y(b) WHERE a < b),
+cs AS (SELECT p.symbol, combo, avg(p.pnl) / (stddev_pop(p.pnl) + 1e-12) AS sr FROM trd p JOIN gr g ON g.symbol = p.symbol AND g.t0 = p.t0 JOIN pairs ON g.grp = a OR g.grp = b WHERE p.pnl <> 0 GROUP BY ALL)
+SELECT symbol, count(*) AS n_combos, round(avg(sr), 6) + 0 AS mean_sharpe, round(stddev_pop(sr), 6) + 0 AS std_sharpe FROM cs GROUP BY symbol""")
+def cpcv_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Per-trade ratio of each combination's test events, and its mean and deviation over combinations."""
+    events = scored(spark, folder)
+    test = validation.combinatorial_folds(events, 6, 2, 0.02).filter("part = 'test'").select("symbol", "combo", "t0")
+    ratios = metrics.per_trade_sharpe(backtest.independent(events, RULES).join(test, ["symbol", "t0"]), "pnl", ["symbol", "combo"])
+    out = ratios.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_combos"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_pop("sharpe").alias("std_sharpe"))
+    return shown(out, "mean_sharpe", "std_sharpe", keys=("symbol", "n_combos"))
+
+
+@query()
+def audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Integrity checks of labels, folds, ledger and features."""
+    return checks.audit(panel(spark, folder), scored(spark, folder), RULES)
+
+
 @query()
 def portfolio_backtest(spark: SparkSession, folder: str) -> DataFrame:
     return backtest.portfolio(scored(spark, folder), panel(spark, folder), RULES)

@@ -181,3 +181,10 @@ def test_weights_of_fractional_differences():
 def test_deflated_sharpe():
     assert metrics.deflated_sharpe(0.0, 50, 100) < 0.05 < 0.5 < metrics.deflated_sharpe(0.9, 50, 100)
     assert metrics.deflated_sharpe(0.1, 50, 1) is None
+
+
+def test_the_audit_passes(spark, sf_dir):
+    from barflow.queries import QUERIES
+
+    rows = QUERIES["audit"](spark, sf_dir).collect()
+    assert len(rows) == 8 and all(r["status"] == "PASS" for r in rows), rows
