@@ -176,7 +176,8 @@ def pbo(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {sql.EVENTS}, {PROBS}, {_TRADES}, {GROUPS.format(n=6)}, pairs AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS combo FROM range(6) x(a), range(6) y(b) WHERE a < b),
-cs AS (SELECT p.symbol, combo, avg(p.pnl) / (stddev_pop(p.pnl) + 1e-12) AS sr FROM trd p JOIN gr g ON g.symbol = p.symbol AND g.t0 = p.t0 JOIN pairs ON g.grp = a OR g.grp = b WHERE p.pnl <> 0 GROUP BY ALL)
+cs AS (SELECT p.symbol, combo, CASE WHEN count(*) FILTER (p.pnl <> 0) >= 2 AND stddev_pop(p.pnl) FILTER (p.pnl <> 0) > 0
+  THEN avg(p.pnl) FILTER (p.pnl <> 0) / (stddev_pop(p.pnl) FILTER (p.pnl <> 0) + 1e-12) ELSE 0 END AS sr FROM trd p JOIN gr g ON g.symbol = p.symbol AND g.t0 = p.t0 JOIN pairs ON g.grp = a OR g.grp = b GROUP BY ALL)
 SELECT symbol, count(*) AS n_combos, round(avg(sr), 6) + 0 AS mean_sharpe, round(stddev_pop(sr), 6) + 0 AS std_sharpe FROM cs GROUP BY symbol""")
 def cpcv_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Per-trade ratio of each combination's test events, and its mean and deviation over combinations."""
