@@ -165,16 +165,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-# Near copies by similarity. Texts whose shingle sets are alike to 0.8 differ in 4 to 15 of
-# 64 bits, too many for keys that lose no link. A wide SimHash gives keys instead: signs of
-# random projections of the set of shingles, cut into bands. Pairs that agree in a band
-# are filtered by distance over other bits and verified on the sets themselves.
+# Near copies by similarity. Sets of similarity t and more share one of their first
+# n - ceil(t * n) + 1 shingles in any order that is the same for all sets. These are the
+# keys, so no pair is lost. The order takes rare shingles first: those that many texts
+# hold among their first ones come last. Which they are is a matter of cost only.
 
 SET_SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets of the signed sketch; bands and bits per band (97 % of pairs at similarity 0.8 and 99.7 % at 0.85 agree in a band);
-#: bits of the filter, and the distance over them beyond which a pair is discarded (similarity 0.8 has 39, with deviation 6).
-SKETCH, BANDS, BAND_BITS, FILTER_BITS, FILTER_DISTANCE = 4096, 120, 22, 256, 72
-_ORDER = np.random.default_rng(20240229).permutation(SKETCH)
+#: Bits of a set's parity map: two maps differ in no more bits than their sets do in shingles.
+PARITY_BITS = 512
+#: Texts from which a shingle comes late in the order, and the shingles (most frequent first) that the order knows at most.
+HOT, MAX_HOT = 16, 1 << 20
+#: Slack of the bounds against rounding; it only adds pairs to verify.
+SLACK = 1e-6
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -190,36 +192,71 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, stops)]), np.uint64))
 
 
-def wide_bits(sets: list[np.ndarray]) -> np.ndarray:
-    """SKETCH sign bits for each set: a signed count sketch, then a Walsh-Hadamard transform."""
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    sign = np.where((flat >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-    cell = owner * SKETCH + (flat & np.uint64(SKETCH - 1)).astype(np.int64)
-    x = np.bincount(cell, weights=sign, minlength=len(sets) * SKETCH).astype(np.float32).reshape(len(sets), SKETCH)
-    width = 1
-    while width < SKETCH:
-        pairs = x.reshape(len(sets), -1, 2, width)
-        x = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(len(sets), SKETCH)
-        width *= 2
-    return x[:, _ORDER] > 0
-
-
-def _wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    used, powers = BANDS * BAND_BITS, 1 << np.arange(BAND_BITS, dtype=np.int64)
-    for whole in batches:
-        for start in range(0, len(whole), 64):  # bounds the sketches, not the rows
-            batch = whole.iloc[start : start + 64]
-            sets = [shingle_set(t) for t in batch["text"]]
-            bits = wide_bits(sets)
-            bands = bits[:, :used].reshape(len(sets), BANDS, BAND_BITS) @ powers + (np.arange(BANDS, dtype=np.int64) << BAND_BITS)
-            rest = np.ascontiguousarray(np.packbits(bits[:, used : used + FILTER_BITS], axis=1)).view(">i8").astype(np.int64)
+def prefix_size(n: int, similarity: float) -> int:
+    """Shingles of which two sets of this similarity share one at least."""
+    return n and n - int(np.ceil(similarity * n - SLACK)) + 1
+
+
+def _firsts(similarity: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                s = shingle_set(text)
+                yield pd.DataFrame({"shingle": s[: 2 * prefix_size(len(s), similarity)].view(np.int64)})
+
+    return run
+
+
+def _hot(texts: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and the binary order of magnitude of their texts."""
+    counts = texts.select("text").mapInPandas(_firsts(similarity), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.filter(F.col("n") >= HOT).orderBy(F.desc("n"), "shingle").limit(MAX_HOT).toArrow()
+    shingles, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], np.frexp(n[order].astype(float))[1].astype(np.int8)
+
+
+def _profiles(hot_of: "object", similarity: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot, level = hot_of.value
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                s = shingle_set(text)
+                late = np.zeros(len(s), np.int8)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+                    late = np.where(hot[at] == s, level[at], 0)
+                keys = s[np.argsort(late, kind="stable")][: prefix_size(len(s), similarity)]
+                parity = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                rows.append((
+                    xxhash.xxh64_intdigest(s.tobytes()), len(s), keys.view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64),
+                ))
             yield pd.DataFrame({
                 "id": batch["id"].to_numpy(), "row_id": batch["row_id"].to_numpy(), "row_hash": batch["row_hash"].to_numpy(),
-                "node": np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64),
-                "bands": list(bands), "filter": list(rest),
+                "node": np.array([r[0] for r in rows], np.uint64).view(np.int64), "size": np.array([r[1] for r in rows], np.int32),
+                "keys": [r[2] for r in rows], "parity": [r[3] for r in rows],
             })
 
+    return run
+
+
+def _may_be_alike(similarity: float) -> Callable[[str, str], Column]:
+    """Bounds that every pair of this similarity meets at its first common key: sizes, shingles left there, and parity maps."""
+
+    def close(x: str, y: str) -> Column:
+        at = lambda side, c: F.col(f"{side}.{c}")
+        both = at(x, "size") + at(y, "size")
+        left = F.least(at(x, "size") - at(x, "place"), at(y, "size") - at(y, "place"))
+        apart = sum((F.bit_count(at(x, "parity")[k].bitwiseXOR(at(y, "parity")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
+        return (
+            (F.least(at(x, "size"), at(y, "size")) >= F.lit(similarity) * F.greatest(at(x, "size"), at(y, "size")) - SLACK)
+            & (left >= F.lit(similarity / (1 + similarity)) * both - SLACK)
+            & (apart <= F.lit((1 - similarity) / (1 + similarity)) * both + SLACK)
+        )
+
+    return close
+
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
@@ -227,12 +264,10 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _alike(texts: DataFrame, nodes: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
-    """Keeps pairs whose filter bits are near and whose shingle sets are alike; sets are read for those pairs' nodes only."""
+    """Keeps pairs whose shingle sets are alike; sets are read for those pairs' nodes only."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda end: nodes.select(F.col("node").alias(end), F.col("filter").alias(f"f_{end}"))
-        apart = sum((F.bit_count(F.col("f_src")[k].bitwiseXOR(F.col("f_dst")[k])) for k in range(FILTER_BITS // 64)), F.lit(0))
-        near = cut(pairs.join(side("src"), "src").join(side("dst"), "dst").filter(apart <= FILTER_DISTANCE).select("src", "dst"))
+        near = cut(pairs)
         ends = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         chosen = cut(nodes.join(ends, "node", "left_semi").select("node", "row_id", "row_hash"))
         sets = cut(texts.join(chosen, ["row_id", "row_hash"]).select("node", "text").mapInPandas(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
@@ -253,15 +288,18 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: s
     to long; a null id never names a group unless there is no other.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), *row_key(id_col, text_col), whole_text(text_col).alias("text"))
-    wide = cut(texts.mapInPandas(_wide, "id long, row_id long, row_hash long, node long, bands array<long>, filter array<long>"))
+    hot = docs.sparkSession.sparkContext.broadcast(_hot(texts, similarity))
+    wide = cut(texts.mapInPandas(_profiles(hot, similarity), "id long, row_id long, row_hash long, node long, size int, keys array<long>, parity array<long>"))
     nodes = cut(
         wide.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), F.min("id").alias("first"),
-            *[F.first(c).alias(c) for c in ("row_id", "row_hash", "bands", "filter")],
+            *[F.first(c).alias(c) for c in ("row_id", "row_hash", "size", "keys", "parity")],
         )
     )
-    rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    found = links(rows, lambda x, y: F.lit(True), _alike(texts, nodes, similarity))
+    shared = cut(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key"))
+    met = cut(nodes.select(F.posexplode("keys").alias("place", "key"), "node").join(shared, "key", "left_semi"))
+    rows = cut(met.join(nodes.select("node", "n", "size", "parity"), "node").select("key", "node", "n", "place", "size", "parity"))
+    found = links(rows, _may_be_alike(similarity), _alike(texts, nodes, similarity))
     named = cut(nodes.join(components(found), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     member = cut(named.join(least, "component").select("node", "component", "component_id"))
