@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from barflow.llm import simhash
+from barflow.llm import line_dedup, simhash
 
 
 def test_every_pair_at_the_similarity_is_found(spark):
@@ -44,3 +44,15 @@ def test_hot_shingles_lose_no_pair(spark):
                 x, y = sorted((find(a), find(b)))
                 group[y] = x
     assert got == {i: find(i) for i in sets}
+
+
+def test_boilerplate_that_is_the_longest_line_leaves(spark):
+    notice = " ".join(f"notice{k}" for k in range(60))
+    rows = [(k, f"first own line {k}\nsecond own line {k}\nline of them all\n{notice}", f"s{k}") for k in range(20)]
+    copy = " ".join(f"copied{k}" for k in range(60))
+    rows += [(100 + k, f"{copy}\nsame line one here\nsame line two here" + ("\nand one more line" if k % 2 else ""), f"s{k}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in line_dedup.strip_boilerplate(docs).collect()}
+    for k in range(20):
+        assert (got[k]["text"], got[k]["n_lines_removed"]) == (f"first own line {k}\nsecond own line {k}", 2)
+    assert all(got[100 + k]["n_lines_removed"] == 0 for k in range(6))
