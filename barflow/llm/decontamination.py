@@ -5,6 +5,10 @@ substitutions at ignored places. Training texts are hashed under every mask in t
 scan; a Bloom filter of fixed size over the benchmark's seeds drops nearly all seeds that
 no benchmark item has, and none that one has. What is left joins the benchmark's seed
 table, and each joined diagonal is verified by extending over both word sequences.
+
+Items of few words may lose every such seed to the substitutions they tolerate. They are
+cut into one piece more than that: a piece stays whole, and its first three words are a
+seed.
 """
 
 from __future__ import annotations
@@ -23,8 +27,12 @@ ship(__name__)
 
 #: Which words of a span count, for each mask. Six words count in each.
 MASKS = ("111111", "11011011", "1011010011", "1100110011", "10101010101")
+#: What counts in the first words of a piece of a short item.
+PIECE = "111"
 #: A leak is an extension whose matches less twice its substitutions reach this, or a whole item that is shorter.
 MIN_SCORE, MISMATCH = 10, 2
+#: A leak is a whole item, too, of which this share of words is equal; items of fewer words are matched as they stand.
+SAME, MIN_TOLERANT = 0.8, 6
 #: Words kept on either side of hits for the extension, and bits of the filter (16 MB whatever the benchmark's size).
 AROUND, FILTER_BITS = 256, 27
 
@@ -43,9 +51,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def seeds(hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, seeds) for each mask over texts laid end to end; ``ends`` has each word's end of text."""
-    for number, mask in enumerate(MASKS):
+def seeds(hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """The mask's number and (places, seeds) for each mask, that of pieces last, over texts laid end to end; ``ends`` has each word's end of text."""
+    for number, mask in enumerate((*MASKS, PIECE)):
         n = len(hashes) - len(mask) + 1
         if n <= 0:
             continue
@@ -54,7 +62,7 @@ def seeds(hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np
             if bit == "1":
                 total = _mix(total * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n])
         inside = np.flatnonzero(np.arange(len(mask), n + len(mask)) <= ends[:n])
-        yield inside, total[inside]
+        yield number, (inside, total[inside])
 
 
 def _probes(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +77,24 @@ def _laid_out(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), starts, np.repeat(starts + sizes, sizes)
 
 
+def pieces(n: int) -> list[int]:
+    """Where an item of n words has its pieces' seeds; none where the score finds all that ``SAME`` allows."""
+    if n < len(PIECE) or n * (SAME - MISMATCH * (1 - SAME)) >= MIN_SCORE:
+        return []
+    wrong = n - int(np.ceil(SAME * n - 1e-6)) if n >= MIN_TOLERANT else 0
+    return [n * k // (wrong + 1) for k in range(wrong + 1)]
+
+
 def _benchmark_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         hashes, starts, ends = _laid_out(batch["text"])
-        owner = np.repeat(np.arange(len(batch)), np.diff([*starts, len(hashes)]))
-        for places, found in seeds(hashes, ends):
+        sizes = np.diff([*starts, len(hashes)])
+        owner = np.repeat(np.arange(len(batch)), sizes)
+        heads = [start + k for start, n in zip(starts, sizes) for k in pieces(int(n))]
+        for number, (places, found) in seeds(hashes, ends):
+            if number == len(MASKS):
+                chosen = np.isin(places, heads)
+                places, found = places[chosen], found[chosen]
             who = owner[places]
             yield pd.DataFrame({"seed": found.view(np.int64), "item": batch["item"].to_numpy()[who], "item_at": (places - starts[who]).astype(np.int32)})
 
@@ -111,7 +132,7 @@ def _regions(filter_of: "object") -> "object":
                 batch = whole.iloc[part : part + 512]
                 hashes, starts, ends = _laid_out(batch["text"])
                 hits = []
-                for places, found in seeds(hashes, ends):
+                for _, (places, found) in seeds(hashes, ends):
                     one, two = _probes(found)
                     keep = np.flatnonzero(has(one))
                     keep = keep[has(two[keep]).astype(bool)]
@@ -152,11 +173,21 @@ def _score(words: Column, item: Column, diagonal: Column) -> Column:
     return F.when(last >= first, state["best"]).otherwise(0)
 
 
+def _same_share(words: Column, item: Column, diagonal: Column) -> Column:
+    """Share of an item's words that are equal where the whole item stands in the words; zero where it does not."""
+    inside = (diagonal >= 0) & (diagonal + F.size(item) <= F.size(words))
+    here = F.slice(words, F.greatest(diagonal, F.lit(0)) + 1, F.size(item))
+    same = F.aggregate(F.zip_with(item, here, lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    return F.when(inside, same / F.size(item)).otherwise(0.0)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_id, row_hash, item_id, score) of every benchmark item that a document holds, with substitutions.
 
-    ``row_id`` and ``row_hash`` are ``row_key`` of the document. Items of fewer than six
-    words have no seed and leak nowhere. Nulls and empty texts hold nothing; repeated
+    ``row_id`` and ``row_hash`` are ``row_key`` of the document. An item leaks where
+    its best run reaches the score, or where it stands whole with ``SAME`` of its words.
+    Items of fewer than six words leak as they stand; those of one or two words have no
+    seed and leak nowhere. Nulls and empty texts hold nothing; repeated
     rows give one set of results.
     """
     items = cut(
@@ -181,10 +212,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     aligned = found.join(regions.select("row_id", "row_hash", "region", "words").dropDuplicates(["row_id", "row_hash", "region"]), ["row_id", "row_hash", "region"])
     scored = aligned.join(items.select("item", "item_words"), "item").select(
         "row_id", "row_hash", "item",
-        _score(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("score"), F.size("item_words").alias("n"),
+        _score(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("score"),
+        _same_share(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("same"), F.size("item_words").alias("n"),
     )
+    tolerant = (F.col("n") >= MIN_TOLERANT) & (F.col("same") >= SAME - 1e-6)
     return (
-        scored.filter(F.col("score") >= F.least(F.lit(MIN_SCORE), F.col("n")))
+        scored.filter((F.col("score") >= F.least(F.lit(MIN_SCORE), F.col("n"))) | tolerant)
         .groupBy("row_id", "row_hash", F.col("item").alias("item_id")).agg(F.max("score").alias("score"))
     )
 

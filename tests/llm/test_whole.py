@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from barflow.llm import line_dedup, simhash
+from barflow.llm import decontamination, line_dedup, simhash
 
 
 def test_every_pair_at_the_similarity_is_found(spark):
@@ -56,3 +56,16 @@ def test_boilerplate_that_is_the_longest_line_leaves(spark):
     for k in range(20):
         assert (got[k]["text"], got[k]["n_lines_removed"]) == (f"first own line {k}\nsecond own line {k}", 2)
     assert all(got[100 + k]["n_lines_removed"] == 0 for k in range(6))
+
+
+def test_short_items_leak_with_substitutions(spark):
+    item = lambda i, n: [f"i{i}w{k}" for k in range(n)]
+    swap = lambda i, n, *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(item(i, n)))
+    bench = spark.createDataFrame([(i, " ".join(item(i, n))) for i, n in ((1, 12), (2, 15), (3, 6), (4, 4), (5, 10), (6, 24))], "item_id long, text string")
+    rows = [
+        (1, swap(1, 12, 6), 1), (2, swap(2, 15, 5, 10), 2), (3, swap(3, 6, 3), 3), (4, swap(4, 4), 4), (5, swap(5, 10, 3, 6), 5), (6, swap(6, 24, 4, 9, 14, 19), 6),
+        (10, swap(3, 6, 1, 4), None), (11, swap(4, 4, 3), None), (12, swap(5, 10, 2, 5, 8), None), (13, " ".join(item(1, 12)[:9]), None),
+    ]
+    docs = spark.createDataFrame([(i, f"before it {t} and after it") for i, t, _ in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["best_item"] for r in decontamination.report(docs, bench).collect()}
+    assert got == {i: b for i, _, b in rows}
