@@ -10,8 +10,9 @@ anchor, where batches of them get suffix arrays: the array of a new batch is mer
 against the levels that exist, windows that are found are marked on both sides, and the
 rest becomes a level; levels of equal size merge, so n batches leave log n levels.
 
-Anchors that very many different runs share are split by the first bytes of each window,
-which equal windows have in common.
+Anchors that very many different runs share are split by a hash of each window's bytes,
+which equal windows have in common. The family of a partition lives as long as its task:
+a lost executor's partitions are built anew from the stored runs.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ ship(__name__)
 
 MATCH, PIECE = 200, 41
 SPAN = MATCH - PIECE + 1  # pieces in a window
-#: Bytes laid end to end at a time, windows per suffix array, and runs of one anchor in one part.
-CHUNK, BATCH_WINDOWS, PART_RUNS, HEAD = 1 << 20, 100_000, 20_000, 16
+#: Bytes laid end to end at a time, windows per suffix array, runs of one anchor in one part, and windows that a task should hold.
+CHUNK, BATCH_WINDOWS, PART_RUNS, TASK_WINDOWS = 1 << 20, 100_000, 2_000, 400_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -156,9 +157,6 @@ class SuffixFamily:
         for b in np.unique(batch):
             self.marked[b][owners[batch == b] - sizes[b]] = True
 
-    def marks(self) -> np.ndarray:
-        return np.concatenate(self.marked) if self.marked else np.empty(0, bool)
-
 
 def _windows(data: bytes, starts: np.ndarray) -> np.ndarray:
     view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), MATCH)
@@ -180,7 +178,7 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if parts == 1:
                     rows.append((run["h"], 0, row_id, row_hash, p, starts, piece))
                     continue
-                part = np.array([xxhash.xxh3_64_intdigest(piece[s : s + HEAD]) % parts for s in range(n)])
+                part = np.array([xxhash.xxh3_64_intdigest(piece[s : s + MATCH]) % parts for s in range(n)])
                 rows += [(run["h"], x, row_id, row_hash, p, starts[part == x], piece) for x in np.unique(part).tolist()]
             if len(rows) > 5000:
                 yield pd.DataFrame(rows, columns=["h", "part", "row_id", "row_hash", "p", "starts", "data"])
@@ -194,28 +192,30 @@ SPANS = "row_id long, row_hash long, p int, n int"
 
 def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spans of windows, in one partition of anchors, that occur again there."""
-    family, owners, held, size = SuffixFamily(), [], [], 0
+    family, owners = SuffixFamily(), []
     for batch in batches:
-        for row_id, row_hash, p, starts, data in zip(batch["row_id"], batch["row_hash"], batch["p"], batch["starts"], batch["data"]):
-            starts = np.asarray(starts)
-            held.append(_windows(data, starts))
-            owners.append(pd.DataFrame({"row_id": row_id, "row_hash": row_hash, "at": p + starts}))
-            size += len(starts)
-            if size >= BATCH_WINDOWS:
-                family.add(np.concatenate(held))
-                owners, held, size = [pd.concat(owners)], [], 0
-    if held:
-        family.add(np.concatenate(held))
-    if not owners:
+        counts = np.array([len(x) for x in batch["starts"]], np.int64)
+        sizes = np.array([len(x) for x in batch["data"]], np.int64)
+        flat, starts = b"".join(batch["data"]), np.concatenate(list(batch["starts"])).astype(np.int64)
+        place = starts + np.repeat(np.cumsum(sizes) - sizes, counts)
+        ids, hashes = np.repeat(batch["row_id"].to_numpy(), counts), np.repeat(batch["row_hash"].to_numpy(), counts)
+        at = starts + np.repeat(batch["p"].to_numpy(), counts)
+        for k in range(0, len(place), BATCH_WINDOWS):
+            part = slice(k, k + BATCH_WINDOWS)
+            family.add(_windows(flat, place[part]))
+            owners.append((ids[part], hashes[part], at[part]))
+    ids, hashes, at = (
+        np.concatenate([x[c][m] for x, m in zip(owners, family.marked)] or [np.empty(0, np.int64)]) for c in range(3)
+    )
+    if not len(at):
         return
-    found = pd.concat(owners)[family.marks()].drop_duplicates()
-    at, ids, hashes = (found[c].to_numpy() for c in ("at", "row_id", "row_hash"))
     order = np.lexsort((at, hashes, ids))
     at, ids, hashes = at[order], ids[order], hashes[order]
-    if len(at):
-        new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(ids) != 0) | (np.diff(hashes) != 0)])
-        n = np.diff(np.r_[new, len(at)])
-        yield pd.DataFrame({"row_id": ids[new], "row_hash": hashes[new], "p": at[new].astype(np.int32), "n": n.astype(np.int32)})
+    new = np.r_[True, (np.diff(at) != 0) | (np.diff(ids) != 0) | (np.diff(hashes) != 0)]  # repeated rows have the same windows
+    at, ids, hashes = at[new], ids[new], hashes[new]
+    new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(ids) != 0) | (np.diff(hashes) != 0)])
+    n = np.diff(np.r_[new, len(at)])
+    yield pd.DataFrame({"row_id": ids[new], "row_hash": hashes[new], "p": at[new].astype(np.int32), "n": n.astype(np.int32)})
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,12 +235,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     doubt = groups.join(shared, "h").select(
         "row_id", "row_hash", F.struct("h", "p", "n", F.ceil(F.col("k") / PART_RUNS).cast("int").alias("parts")).alias("run")
     )
-    by_row = doubt.groupBy("row_id", "row_hash").agg(F.collect_list("run").alias("runs"))
+    by_row = cut(doubt.groupBy("row_id", "row_hash").agg(F.collect_list("run").alias("runs")))
+    discard(groups)
+    free_shuffles(docs.sparkSession)
+    windows = by_row.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["n"])).alias("n")).first()["n"] or 0
     pieces = texts.join(by_row, ["row_id", "row_hash"]).mapInPandas(_cut_out, CUT)
-    # A number of its own keeps small partitions apart: a task holds the windows of its partition.
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A number of its own: a task holds the windows of its partition.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), windows // TASK_WINDOWS + 1)
     partial = cut(pieces.repartition(parts, "h", "part").mapInPandas(_repeats, SPANS))
-    discard(groups)
+    discard(by_row)
     free_shuffles(docs.sparkSession)
     return whole.union(partial)
 
