@@ -8,7 +8,8 @@ table, and each joined diagonal is verified by extending over both word sequence
 
 Items of few words may lose every such seed to the substitutions they tolerate. They are
 cut into one piece more than that: a piece stays whole, and its first three words are a
-seed.
+seed. Items of one or two words would be found in any text; they leak only where they are
+the whole of one.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ PIECE = "111"
 MIN_SCORE, MISMATCH = 10, 2
 #: A leak is a whole item, too, of which this share of words is equal; items of fewer words are matched as they stand.
 SAME, MIN_TOLERANT = 0.8, 6
-#: Words kept on either side of hits for the extension, and bits of the filter (16 MB whatever the benchmark's size).
-AROUND, FILTER_BITS = 256, 27
+#: Words kept on either side of hits for the extension.
+AROUND = 256
+#: log2 of the filter's bits: at least, at most (64 MB), and the bits it should have per seed of the benchmark.
+MIN_BITS, MAX_BITS, BITS_A_SEED = 20, 29, 16
 
 _SEPARATORS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _TO_SPACE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
@@ -52,7 +55,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def seeds(hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
-    """The mask's number and (places, seeds) for each mask, that of pieces last, over texts laid end to end; ``ends`` has each word's end of text."""
+    """Number and (places, seeds) for each mask, that of pieces and whole short texts last, over texts laid end to end; ``ends`` has each word's end of text."""
     for number, mask in enumerate((*MASKS, PIECE)):
         n = len(hashes) - len(mask) + 1
         if n <= 0:
@@ -63,11 +66,19 @@ def seeds(hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, tuple[np.
                 total = _mix(total * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n])
         inside = np.flatnonzero(np.arange(len(mask), n + len(mask)) <= ends[:n])
         yield number, (inside, total[inside])
+    place = np.arange(len(hashes))
+    first = place == np.r_[0, ends[:-1]][: len(ends)]
+    for size in range(1, len(PIECE)):  # texts of fewer words than any mask
+        whole = np.flatnonzero(first & (ends - place == size))
+        total = np.full(len(whole), len(MASKS) + 1 + size, np.uint64)
+        for k in range(size):
+            total = _mix(total * np.uint64(0xD6E8FEB86659FD93) + hashes[whole + k])
+        yield len(MASKS) + size, (whole, total)
 
 
-def _probes(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bits = np.uint64((1 << FILTER_BITS) - 1)
-    return (found & bits).astype(np.int64), ((found >> np.uint64(64 - FILTER_BITS)) & bits).astype(np.int64)
+def _probes(found: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    bits = np.uint64((1 << log_bits) - 1)
+    return (found & bits).astype(np.int64), ((found >> np.uint64(64 - log_bits)) & bits).astype(np.int64)
 
 
 def _laid_out(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,20 +115,25 @@ def _item_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([word_hashes(t).view(np.int64) for t in texts])
 
 
-def _filter_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _filter_words(log_bits: int):
     """Set words of the filter, one row each, merged by bit_or afterwards."""
-    for batch in batches:
-        found = np.concatenate(_probes(batch["seed"].to_numpy().view(np.uint64)))
-        word, inverse = np.unique(found >> 6, return_inverse=True)
-        bits = np.zeros(len(word), np.uint64)
-        np.bitwise_or.at(bits, inverse, np.uint64(1) << (found & 63).astype(np.uint64))
-        yield pd.DataFrame({"word": word, "bits": bits.view(np.int64)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = np.concatenate(_probes(batch["seed"].to_numpy().view(np.uint64), log_bits))
+            word, inverse = np.unique(found >> 6, return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, inverse, np.uint64(1) << (found & 63).astype(np.uint64))
+            yield pd.DataFrame({"word": word, "bits": bits.view(np.int64)})
+
+    return run
 
 
 def _filter(bench: DataFrame) -> np.ndarray:
-    """The Bloom filter; at most 2 ** (FILTER_BITS - 6) words reach the driver."""
-    words = bench.select("seed").mapInPandas(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    """The Bloom filter: of a size for the benchmark's seeds, but of ``MAX_BITS`` at most; no more than its words reach the driver."""
+    log_bits = min(MAX_BITS, max(MIN_BITS, int(bench.count() * BITS_A_SEED).bit_length()))
+    words = bench.select("seed").mapInPandas(_filter_words(log_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(1 << (log_bits - 6), np.uint64)
     rows = words.toArrow()
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
@@ -126,6 +142,7 @@ def _filter(bench: DataFrame) -> np.ndarray:
 def _regions(filter_of: "object") -> "object":
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = filter_of.value
+        log_bits = 5 + len(table).bit_length()
         has = lambda p: (table[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
         for whole in batches:
             for part in range(0, len(whole), 512):  # bounds the hash arrays, not the rows
@@ -133,7 +150,7 @@ def _regions(filter_of: "object") -> "object":
                 hashes, starts, ends = _laid_out(batch["text"])
                 hits = []
                 for _, (places, found) in seeds(hashes, ends):
-                    one, two = _probes(found)
+                    one, two = _probes(found, log_bits)
                     keep = np.flatnonzero(has(one))
                     keep = keep[has(two[keep]).astype(bool)]
                     hits.append((places[keep], found[keep]))
@@ -186,16 +203,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     ``row_id`` and ``row_hash`` are ``row_key`` of the document. An item leaks where
     its best run reaches the score, or where it stands whole with ``SAME`` of its words.
-    Items of fewer than six words leak as they stand; those of one or two words have no
-    seed and leak nowhere. Nulls and empty texts hold nothing; repeated
-    rows give one set of results.
+    Items of three to five words leak as they stand, those of one or two only where they
+    are a whole text. An item with a null id is an item like any other and is told apart
+    by its row; one id may have several texts, which give a row each. Nulls and empty
+    texts hold nothing; repeated rows give one set of results.
     """
     items = cut(
-        benchmark.select(F.col("item_id").alias("item"), whole_text("text").alias("text")).distinct()
-        .withColumn("item_words", F.pandas_udf(_item_words, "array<long>")("text"))
+        benchmark.select("item_id", whole_text("text").alias("text")).distinct()
+        .withColumns({"item": F.monotonically_increasing_id(), "item_words": F.pandas_udf(_item_words, "array<long>")("text")})
     )
-    kind = items.schema["item"].dataType.simpleString()
-    bench = cut(items.select("item", "text").mapInPandas(_benchmark_seeds, f"seed long, item {kind}, item_at int"))
+    bench = cut(items.select("item", "text").mapInPandas(_benchmark_seeds, "seed long, item long, item_at int"))
     shared = docs.sparkSession.sparkContext.broadcast(_filter(bench))
     texts = docs.select(*row_key(id_col, text_col), whole_text(text_col).alias("text"))
     regions = cut(
@@ -210,15 +227,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         .join(bench, "seed").select("row_id", "row_hash", "region", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     )
     aligned = found.join(regions.select("row_id", "row_hash", "region", "words").dropDuplicates(["row_id", "row_hash", "region"]), ["row_id", "row_hash", "region"])
-    scored = aligned.join(items.select("item", "item_words"), "item").select(
-        "row_id", "row_hash", "item",
+    scored = aligned.join(items.select("item", "item_id", "item_words"), "item").select(
+        "row_id", "row_hash", "item", "item_id",
         _score(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("score"),
         _same_share(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("same"), F.size("item_words").alias("n"),
     )
     tolerant = (F.col("n") >= MIN_TOLERANT) & (F.col("same") >= SAME - 1e-6)
     return (
         scored.filter((F.col("score") >= F.least(F.lit(MIN_SCORE), F.col("n"))) | tolerant)
-        .groupBy("row_id", "row_hash", F.col("item").alias("item_id")).agg(F.max("score").alias("score"))
+        .groupBy("row_id", "row_hash", "item").agg(F.max("score").alias("score"), F.first("item_id").alias("item_id"))
+        .select("row_id", "row_hash", "item_id", "score")
     )
 
 
