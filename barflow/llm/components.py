@@ -20,7 +20,7 @@ def _star(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (src, dst), both long; a component is named by its least node.
+    """Stored table (node, component) for every node of ``edges`` (src, dst), both long; a component is named by its least node.
 
     Self loops and repeated edges are ignored, rows with a null end are dropped, and no
     edges give no rows. The number of rounds is logarithmic in the longest path.
@@ -49,4 +49,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark = state
     named = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return named.union(roots)
+    found = cut(named.union(roots))
+    discard(now)
+    return found

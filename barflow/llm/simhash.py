@@ -1,15 +1,17 @@
 """SimHash near-duplicates by pivot distance tables.
 
-A fingerprint's table row holds its Hamming distances to reference fingerprints
-(pivots). Since |d(x, p) - d(y, p)| <= d(x, y), a pair whose coordinates differ by more
-than the link distance somewhere cannot link; what survives the largest difference over
-all coordinates is verified on the fingerprints.
-
-The 64 bits are cut into ``BLOCKS`` runs. Besides whole distances, the table has the
-distances inside each run. At most ``LINK_BITS`` = 4 differing bits touch at most four of
-six runs, so linked fingerprints have equal coordinates in two runs at least: the join
-keys are the coordinates of each pair of runs, and no link is lost. The pivots inside a
-run are such that equal coordinates mean equal bits, about 21 bits a key.
+A fingerprint's table row holds its Hamming distances to many reference fingerprints
+(pivots), the same for all. Since |d(x, p) - d(y, p)| <= d(x, y), a pair whose
+coordinates differ by more than the link distance somewhere cannot link and is
+discarded; the fingerprints of the survivors are compared.
+
+Coordinates discard pairs but cannot name them: two unrelated fingerprints agree within
+four at one pivot in 57 of 100 cases, and sixteen pivots leave one such pair in a
+thousand or fewer. So pairs to discard come from a pigeonhole rule. The 64 bits are cut
+into runs; links differ in ``LINK_BITS`` = 4 bits at most, which touch at most four runs,
+so linked fingerprints have all other runs in common. There is a join key for each choice
+of these, and no link is lost. The number of runs grows with the number of fingerprints
+(``runs_for``): more runs make longer keys, which few unrelated fingerprints share.
 
 Copies share one fingerprint and one row here. A dense group of near copies is not
 compared pair by pair: first every fingerprint is compared with one hub of its bucket
@@ -20,6 +22,10 @@ with their hub are compared with their bucket.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import combinations
+from math import comb
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -28,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, row_key, ship, whole_text
+from .common import cut, discard, free_shuffles, row_key, ship, whole_text
 from .components import components
 
 ship(__name__)
 
-SHINGLE, SEED, LINK_BITS, BLOCKS, PIVOTS = 4, 42, 4, 6, 8
+SHINGLE, SEED, LINK_BITS, PIVOTS = 4, 42, 4, 16
+#: Fewest and most runs of bits, and what a row of a key costs as compared with a pair.
+MIN_RUNS, MAX_RUNS, ROW_COST = 6, 10, 20
 
 
 def _signed(x: int) -> int:
@@ -45,12 +53,18 @@ def _references(n: int) -> list[int]:
     return [((k + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1) for k in range(n)]
 
 
-def _runs() -> list[int]:
-    """A mask for each run of bits."""
-    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+def _runs(n: int) -> list[int]:
+    """A mask for each of n runs of bits."""
+    edges = [64 * k // n for k in range(n + 1)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
 
+def runs_for(n: int) -> int:
+    """Runs at which n fingerprints cost least: rows of all keys, and pairs that share one by chance."""
+    cost = lambda r: comb(r, LINK_BITS) * (ROW_COST * n + n * n / 2 ** (64 * (r - LINK_BITS) // r + 1))
+    return min(range(MIN_RUNS, MAX_RUNS + 1), key=cost)
+
+
 def fingerprint(text: str) -> int:
     """64-bit SimHash of a text's word shingles, as a signed long; zero without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -85,29 +99,22 @@ def _distance(x: Column | int, y: Column) -> Column:
     return F.bit_count(F.lit(x).bitwiseXOR(y) if isinstance(x, int) else x.bitwiseXOR(y))
 
 
-def pivot_table(classes: DataFrame) -> DataFrame:
-    """classes (fp, n): with ``pivots``, the whole distances packed in bytes of a long, and ``keys``, one for each pair of runs."""
-    fp, packed = F.col("fp"), F.lit(0).cast("long")
+def pivot_table(classes: DataFrame, runs: int = MIN_RUNS) -> DataFrame:
+    """classes (fp, n): with ``pivots``, the distances to all references in bytes of longs, and ``keys``, one for each choice of runs."""
+    fp, packed = F.col("fp"), []
     for k, p in enumerate(_references(PIVOTS)):
-        packed = packed.bitwiseOR(F.shiftleft(_distance(_signed(p), fp).cast("long"), 8 * k))
-    runs = []
-    for mask in _runs():
-        low, width = (mask & -mask).bit_length() - 1, mask.bit_count()
-        inside = [0, *(1 << (low + b) for b in range(width))]
-        runs.append(F.array(*[F.bit_count(F.lit(_signed(p)).bitwiseXOR(fp).bitwiseAND(F.lit(_signed(mask)))) for p in inside]))
-    table = classes.select("fp", "n", packed.alias("pivots"), *[F.xxhash64(r, F.lit(k)).alias(f"_r{k}") for k, r in enumerate(runs)])
-    keys = [F.xxhash64(f"_r{a}", f"_r{b}") for a in range(BLOCKS) for b in range(a)]
-    return table.select("fp", "n", "pivots", F.array(*keys).alias("keys"))
+        if k % 8 == 0:
+            packed.append(F.lit(0).cast("long"))
+        packed[-1] = packed[-1].bitwiseOR(F.shiftleft(_distance(_signed(p), fp).cast("long"), 8 * (k % 8)))
+    masks = [sum(chosen) for chosen in combinations(_runs(runs), runs - LINK_BITS)]
+    keys = [F.xxhash64(fp.bitwiseAND(F.lit(_signed(m))), F.lit(k)) for k, m in enumerate(masks)]
+    return classes.select("fp", "n", F.array(*packed).alias("pivots"), F.array(*keys).alias("keys"))
 
 
 def _may_link(x: str, y: str) -> Column:
     """Largest coordinate difference within the link distance."""
-    at = lambda side, k: F.shiftrightunsigned(F.col(f"{side}.pivots"), 8 * k).bitwiseAND(F.lit(255))
-    close = [F.abs(at(x, k) - at(y, k)) <= LINK_BITS for k in range(PIVOTS)]
-    out = close[0]
-    for c in close[1:]:
-        out = out & c
-    return out
+    at = lambda side, k: F.shiftrightunsigned(F.col(f"{side}.pivots")[k // 8], 8 * (k % 8)).bitwiseAND(F.lit(255))
+    return reduce(and_, [F.abs(at(x, k) - at(y, k)) <= LINK_BITS for k in range(PIVOTS)])
 
 
 def _link(x: str, y: str) -> Column:
@@ -115,13 +122,13 @@ def _link(x: str, y: str) -> Column:
 
 
 def links(
-    rows: DataFrame, close: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs
+    rows: DataFrame, close: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] = cut
 ) -> DataFrame:
-    """Links (src, dst) that connect what the full link graph connects.
+    """Stored links (src, dst) that connect what the full link graph connects.
 
     rows: a stored table (key, node, n, ...); only nodes that share a key can link. A pair
-    links if ``close``, over the aliases it gets, holds and ``verify`` keeps it. First
-    each node is compared with the hub of each of its buckets, the node of largest n. Then
+    links if ``close``, over the aliases it gets, holds and ``verify``, which stores what
+    it is given, keeps it. First each node is compared with the hub of each of its buckets, the node of largest n. Then
     nodes that are not connected with a hub of theirs are compared with their whole
     bucket. A dense bucket, all in one component by then, gives nothing more.
     """
@@ -132,16 +139,21 @@ def links(
     hubs = cut(hubs.select("key", "hub.*"))
     pairs = lambda df, x, y: df.select(F.col(f"{x}.node").alias("src"), F.col(f"{y}.node").alias("dst")).distinct()
     near_hub = rows.alias("x").join(hubs.alias("h"), F.col("x.key") == F.col("h.key"))
-    spokes = cut(verify(pairs(near_hub.filter((F.col("x.node") != F.col("h.node")) & close("x", "h")), "x", "h")))
-    named = cut(components(spokes))
+    spokes = verify(pairs(near_hub.filter((F.col("x.node") != F.col("h.node")) & close("x", "h")), "x", "h"))
+    named = components(spokes)
     component = lambda df, out: df.join(named, "node", "left").select(*df.columns, F.coalesce("component", "node").alias(out))
     hub_of = component(hubs.select("key", "node"), "hub_c").select("key", "hub_c")
     known = cut(component(rows.select("key", *payload), "c").join(hub_of, "key"))
+    free_shuffles(rows.sparkSession)
     apart = known.filter("c <> hub_c")
     met = apart.alias("x").join(known.alias("y"), F.col("x.key") == F.col("y.key")).filter(
         (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.hub_c")) | (F.col("x.node") < F.col("y.node"))) & close("x", "y")
     )
-    return spokes.union(verify(pairs(met, "x", "y")))
+    more = verify(pairs(met, "x", "y"))
+    found = cut(spokes.union(more))
+    discard(hubs, spokes, named, known, more)
+    free_shuffles(rows.sparkSession)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,8 +165,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "fp"))
     classes = cut(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")))
-    rows = cut(pivot_table(classes).select(F.explode("keys").alias("key"), F.col("fp").alias("node"), "n", "pivots"))
-    named = components(links(rows, _link))
+    table = pivot_table(classes, runs_for(classes.count()))
+    rows = cut(table.select(F.explode("keys").alias("key"), F.col("fp").alias("node"), "n", "pivots"))
+    found = links(rows, _link)
+    discard(rows)
+    named = components(found)
+    discard(found)
     class_of = cut(classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     ))
@@ -182,14 +198,13 @@ SLACK = 1e-6
 def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's five-word shingles (the whole text if it has fewer words; none without words)."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(1, len(words) - SET_SHINGLE + 1)
-    starts, stops = [0, *(ends[: n - 1] + 1).tolist()], ends[min(SET_SHINGLE, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh3_64_digest
-    return np.unique(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, stops)]), np.uint64))
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    size = min(SET_SHINGLE, len(words))
+    total = np.full(len(words) - size + 1 if size else 0, size, np.uint64)
+    for k in range(size):
+        total = (total ^ each[k : k + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return np.unique(total)
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -198,18 +213,21 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def _firsts(similarity: float):
+    """Shingles at which each text may meet another, and the number of texts of the batch that have them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                s = shingle_set(text)
-                yield pd.DataFrame({"shingle": s[: 2 * prefix_size(len(s), similarity)].view(np.int64)})
+            sets = [shingle_set(t) for t in batch["text"]]
+            firsts = [s[: 2 * prefix_size(len(s), similarity)] for s in sets]
+            shingles, n = np.unique(np.concatenate(firsts) if firsts else np.empty(0, np.uint64), return_counts=True)
+            yield pd.DataFrame({"shingle": shingles.view(np.int64), "n": n})
 
     return run
 
 
 def _hot(texts: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and the binary order of magnitude of their texts."""
-    counts = texts.select("text").mapInPandas(_firsts(similarity), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.select("text").mapInPandas(_firsts(similarity), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") >= HOT).orderBy(F.desc("n"), "shingle").limit(MAX_HOT).toArrow()
     shingles, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(shingles)
@@ -273,9 +291,14 @@ def _alike(texts: DataFrame, nodes: DataFrame, similarity: float) -> Callable[[D
         sets = cut(texts.join(chosen, ["row_id", "row_hash"]).select("node", "text").mapInPandas(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
         of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s_{end}"))
         both = F.size(F.array_intersect("s_src", "s_dst"))
-        return near.join(of("src"), "src").join(of("dst"), "dst").filter(
-            both >= F.lit(similarity) * (F.size("s_src") + F.size("s_dst") - both)
-        ).select("src", "dst")
+        alike = cut(
+            near.join(of("src"), "src").join(of("dst"), "dst").filter(
+                both >= F.lit(similarity) * (F.size("s_src") + F.size("s_dst") - both)
+            ).select("src", "dst")
+        )
+        discard(near, chosen, sets)
+        free_shuffles(near.sparkSession)
+        return alike
 
     return verify
 
@@ -290,20 +313,31 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: s
     texts = docs.select(F.col(id_col).cast("long").alias("id"), *row_key(id_col, text_col), whole_text(text_col).alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(_hot(texts, similarity))
     wide = cut(texts.mapInPandas(_profiles(hot, similarity), "id long, row_id long, row_hash long, node long, size int, keys array<long>, parity array<long>"))
+    who = cut(wide.select("id", "row_id", "row_hash", "node"))
     nodes = cut(
         wide.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), F.min("id").alias("first"),
             *[F.first(c).alias(c) for c in ("row_id", "row_hash", "size", "keys", "parity")],
         )
     )
+    discard(wide)
+    free_shuffles(docs.sparkSession)
     shared = cut(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key"))
     met = cut(nodes.select(F.posexplode("keys").alias("place", "key"), "node").join(shared, "key", "left_semi"))
+    free_shuffles(docs.sparkSession)
     rows = cut(met.join(nodes.select("node", "n", "size", "parity"), "node").select("key", "node", "n", "place", "size", "parity"))
+    discard(shared, met)
+    free_shuffles(docs.sparkSession)
     found = links(rows, _may_be_alike(similarity), _alike(texts, nodes, similarity))
-    named = cut(nodes.join(components(found), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
+    discard(rows)
+    groups = components(found)
+    named = cut(nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
+    discard(found, groups, nodes)
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     member = cut(named.join(least, "component").select("node", "component", "component_id"))
-    return wide.select("row_id", "row_hash", "id", "node").join(member, "node").drop("node")
+    discard(named)
+    free_shuffles(docs.sparkSession)
+    return who.select("row_id", "row_hash", "id", "node").join(member, "node").drop("node")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
