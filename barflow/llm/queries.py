@@ -32,7 +32,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.verified())
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.planted(docs))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,9 +111,8 @@ l AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts
 e AS (SELECT k, i, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t,
   len(list_filter(regexp_split_to_array(line, '[ 	-
 ]+'), lambda x: x <> '')) >= 3 AS ok FROM l),
-fam AS (SELECT k, arg_max(line, {'n': length(line), 'line': line}) AS fam FROM l GROUP BY k),
-fs AS (SELECT fam, min(site) AS first FROM fam JOIN d USING (k) GROUP BY fam),
-bad AS (SELECT t FROM e JOIN fam USING (k) JOIN fs USING (fam) WHERE ok GROUP BY t HAVING count(DISTINCT first) >= 5),
+fs AS (SELECT text, min(site) AS first FROM d GROUP BY text),
+bad AS (SELECT t FROM e JOIN d USING (k) JOIN fs USING (text) WHERE ok GROUP BY t HAVING count(DISTINCT first) >= 5),
 kept AS (SELECT k, count(*) FILTER (ok AND t IN (SELECT t FROM bad)) AS n,
   string_agg(line, chr(10) ORDER BY i) FILTER (NOT (ok AND t IN (SELECT t FROM bad))) AS text FROM e GROUP BY k)
 SELECT doc_id, n::BIGINT AS n_lines_removed, md5(coalesce(kept.text, '')) AS text_md5 FROM kept JOIN d USING (k)

@@ -1,9 +1,11 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-A candidate is a word with a digit and twelve characters or more of the kind that keys
-are made of. Its features are its length, its character transitions, how much of it the
+A candidate is a run of twelve characters or more of the kind that keys are made of, cut
+out of its word at quotes, commas, colons and the like, with a digit or with capitals
+inside. Its features are its length, its character transitions, how much of it the
 corpus's own vocabulary covers, where it was found (the path's rate of candidates) and
-the words beside it. The forest learns from labelled findings.
+the words beside it. The forest learns from labelled findings, a table of snippets whose
+candidates are known to be secrets or not.
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, whole_text, words_of
 
-#: An assignment may be written without spaces, as in name="value".
-_PREFIX = r"^[^A-Za-z0-9]*(?:[A-Za-z_.\-]+[=:][\"'`]?)?"
-CANDIDATE = r"(?=.*[0-9])" + _PREFIX + r"[A-Za-z0-9][A-Za-z0-9_\-+/=.@]{10,}[A-Za-z0-9=][^A-Za-z0-9]*$"
+#: A run of key characters, and what a candidate must have besides.
+RUN = r"[A-Za-z0-9][A-Za-z0-9_\-+/=.]{10,}[A-Za-z0-9=]"
+MIXED = "[0-9]|[a-z][A-Z]"
 #: Words that name a secret.
 KEYWORDS = ("auth", "bearer", "credential", "key", "passwd", "password", "pwd", "secret", "token")
 #: Labelled findings that the forest is fitted on at most (those of least hash), trees and depth.
@@ -29,26 +31,32 @@ THRESHOLD = 0.5
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(id, path, place, value, before2, before, after): one row per candidate word, place counting words from 0."""
+    """(_id, path, place, head, value, before2, before, after): one row per candidate.
+
+    ``place`` counts words from 0, ``head`` is what stands before the value in its own
+    word. Equal values of one word are one candidate.
+    """
     df = docs.select(
         F.col(id_col).alias("_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"),
         words_of(whole_text(text_col)).alias("_words"),
     )
     words = F.col("_words")
     beside = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+    runs = lambda w: F.array_distinct(F.filter(F.regexp_extract_all(w, F.lit(RUN), F.lit(0)), lambda r: r.rlike(MIXED)))
     found = F.filter(
         F.transform(
             words,
             lambda w, i: F.when(
-                (F.length(w) >= 12) & w.rlike(CANDIDATE),
-                F.struct(i.alias("place"), w.alias("word"), beside(i - 2).alias("before2"), beside(i - 1).alias("before"), beside(i + 1).alias("after")),
+                (F.length(w) >= 12) & w.rlike(MIXED),
+                F.struct(i.alias("place"), w.alias("word"), runs(w).alias("values"), beside(i - 2).alias("before2"), beside(i - 1).alias("before"), beside(i + 1).alias("after")),
             ),
         ),
-        lambda c: c.isNotNull(),
+        lambda c: c.isNotNull() & (F.size(c["values"]) > 0),
     )
     rows = df.select("_id", "path", F.explode(found).alias("c")).select("_id", "path", "c.*")
-    value = F.regexp_extract("word", _PREFIX + r"(.*?)[^A-Za-z0-9=]*$", 1)
-    return rows.select("_id", "path", "place", "word", value.alias("value"), "before2", "before", "after")
+    rows = rows.select("_id", "path", "place", "word", F.explode("values").alias("value"), "before2", "before", "after")
+    head = F.left("word", F.expr("locate(value, word) - 1"))
+    return rows.select("_id", "path", "place", head.alias("head"), "value", "before2", "before", "after")
 
 
 def _letter_runs(col: Column) -> Column:
@@ -75,19 +83,21 @@ def _letter_words(text_col: str) -> Column:
 
 FEATURES = (
     "length", "digits", "uppers", "hexes", "digit_to_letter", "letter_to_digit", "lower_to_upper", "vowel_to_consonant",
-    "distinct_characters", "covered", "path_rate", "keyword_before", "assigned", "quoted", "keyword_after",
+    "distinct_characters", "longest_digits", "separators", "covered", "path_rate", "keyword_before", "assigned", "quoted", "keyword_after",
 )
 
 
 def features(found: DataFrame, docs: DataFrame, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """Candidates with one double column per entry of ``FEATURES``."""
+    """Candidates with one double column per entry of ``FEATURES``; what they say of the corpus is counted in ``docs``."""
     rates = docs.groupBy(F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path")).agg(F.count(F.lit(1)).alias("docs")).join(
-        found.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path"
-    ).select("path", (F.col("n") / F.col("docs")).alias("path_rate"))
+        found.filter("label is null").groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left"
+    ).select("path", (F.coalesce("n", F.lit(0)) / F.col("docs")).alias("path_rate"))
     value, size = F.col("value"), F.greatest(F.lit(1), F.length("value"))
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / size
     names = "(?i)" + "|".join(KEYWORDS)
-    df = found.join(cut(coverage(found, docs, text_col)), "value").join(cut(rates), "path")
+    df = found.join(cut(coverage(found, docs, text_col)).hint("merge"), "value").join(cut(rates).hint("merge"), "path", "left").withColumn(
+        "path_rate", F.coalesce("path_rate", F.lit(0.0))
+    )
     columns = {
         "length": F.length("value"),
         "digits": share("[0-9]"),
@@ -98,9 +108,11 @@ def features(found: DataFrame, docs: DataFrame, text_col: str = "text", path_col
         "lower_to_upper": share("[a-z](?=[A-Z])"),
         "vowel_to_consonant": share("[aeiouAEIOU](?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])"),
         "distinct_characters": F.size(F.array_distinct(F.split(value, ""))) / size,
-        "keyword_before": (F.col("before").rlike(names) | F.col("before2").rlike(names)),
-        "assigned": F.col("before").rlike("[=:]$") | F.col("word").rlike("^[A-Za-z_]+[=:]"),
-        "quoted": F.col("word").rlike("^[\"'`]"),
+        "longest_digits": F.array_max(F.transform(F.split(value, "[^0-9]+"), lambda x: F.length(x))) / size,
+        "separators": share("[_+/=.-]"),
+        "keyword_before": F.col("head").rlike(names) | F.col("before").rlike(names) | F.col("before2").rlike(names),
+        "assigned": F.col("head").rlike("[=:][\"'`]?$") | (F.col("before").rlike("[=:][\"'`]?$") & ~F.col("head").rlike("[A-Za-z0-9]")),
+        "quoted": F.col("head").rlike("[\"'`]$"),
         "keyword_after": F.col("after").rlike(names),
     }
     return df.withColumns({k: v.cast("double") for k, v in columns.items()}).withColumn("features", _vector())
@@ -124,33 +136,82 @@ def fit(labelled: DataFrame):
 
 
 def scan(
-    docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD
+    docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD
 ) -> DataFrame:
     """One row per candidate: id, place, length and SHA-256 of the value, score, and whether it is a secret.
 
-    ``label`` is an expression over the candidate columns: 1 for a true finding, 0 for a
-    false one, null where nobody has looked. It is no feature. If one class is missing, no
-    forest can be fitted and the score is the known class, or zero without labels.
-    Null texts hold no candidate, null paths are one path; repeated documents are scanned
-    each. Extra columns are not read.
+    ``labelled`` has the known findings: (snippet, path, label), where label 1 says that
+    the candidates of the snippet are secrets, 0 that none is; a null label or snippet
+    tells nothing. If one class is missing, no forest can be fitted and the score is the
+    known class, or zero without labels. Null texts hold no candidate, null paths are one
+    path; repeated documents are scanned each. Extra columns are not read.
     """
-    found = cut(candidates(docs, id_col, text_col, path_col).withColumn("label", label))
+    known = labelled.select(F.col("label").cast("int").alias("_id"), F.col("snippet").alias("text"), F.col("path").alias("source")).filter("_id is not null")
+    found = cut(
+        candidates(docs, id_col, text_col, path_col).withColumn("label", F.lit(None).cast("int")).unionByName(
+            candidates(known, "_id", "text", "source").withColumns({"label": F.col("_id"), "_id": F.lit(None).cast(docs.schema[id_col].dataType)})
+        )
+    )
     table = cut(features(found, docs, text_col, path_col))
-    model = fit(table)
+    model, rows = fit(table), table.filter("label is null")
     if model is None:
-        known = table.agg(F.max("label")).first()[0] or 0
-        scored = table.withColumn("score", F.lit(float(known)))
+        only = table.agg(F.max("label")).first()[0] or 0
+        scored = rows.withColumn("score", F.lit(float(only)))
     else:
-        scored = model.transform(table).withColumn("score", vector_to_array("probability")[1])
+        scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
     return scored.select(
         F.col("_id").alias(id_col), "place", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"),
         F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"),
     )
 
 
-def verified(exclude_share: int = 5) -> Column:
-    """Labels by verification of the format: a quoted run of forty hexadecimal digits is a key, plain numbers and addresses are none."""
-    looked = F.pmod(F.crc32("value"), F.lit(exclude_share)) != 0
-    key = F.col("word").rlike("^[\"'][0-9a-f]{40}[\"']")
-    none = F.col("value").rlike("^[0-9.]+$") | F.col("value").contains("@")
-    return F.when(looked & key, 1).when(looked & none, 0)
+#: What stands before a planted secret, and before a planted value that is none. {} is the value.
+TRUE_CONTEXTS = (
+    'token = "{}"', "password={}", "secret: {}", '{"api_key":"{}"}', "Authorization: Bearer {}", "export AWS_SECRET_ACCESS_KEY='{}'",
+    "postgres://app:{}@db.internal/main", "client_secret, {},", "auth_key = {}", "Passwd : '{}'", 'TOKEN = "{}"', "PWD={};",
+)
+FALSE_CONTEXTS = (
+    "commit {}", "sha256:{}", 'etag="{}"', "request id: {}", "see {} for more", '<img src="img/{}.png">', "primary key: {}", "invoice number = {}",
+    "mail user@{} now", "version {} of", "token count: {}", "{}", "at {} we", 'checksum = "{}"',
+)
+
+
+def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", most: int = MAX_TRAIN) -> DataFrame:
+    """Labelled findings (snippet, path, label, fold) for corpora without any: values made from hashes, planted between words of ``most`` documents.
+
+    Secrets are hexadecimal, Base64, Base32 and prefixed keys and token triples; others
+    are digests, UUIDs, numbers, times, addresses, versions and names of several words.
+    Forty hexadecimal digits are a secret in one context and a commit in another, so
+    neither shape nor context alone tells the classes apart. The documents are those of
+    least hash; ``fold`` is 0 to 4 by hash, to hold findings out.
+    """
+    chosen = docs.select(
+        F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.filter(words_of(whole_text(text_col)), lambda w: F.length(w) < 12).alias("w"),
+        F.xxhash64(F.col(id_col).cast("string"), whole_text(text_col)).alias("h"),
+    ).orderBy("h").limit(most)
+    part = lambda k, n: F.pmod(F.xxhash64("h", F.lit(k)), F.lit(n)).cast("int")
+    hexes, packed = F.sha2(F.col("h").cast("string"), 256), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("h").cast("string")), 256)))
+    plain = F.regexp_replace(packed, "[+/=]", "x")
+    digits = F.lpad(F.abs("h").cast("string"), 18, "7")
+    word = lambda k: F.coalesce(F.get("w", part(k, 5)), F.lit("name"))
+    joined = F.concat(word(8), F.lit("_"), word(9), F.initcap(word(10)), part(11, 100).cast("string"))
+    mixed = F.when(part(3, 2) == 0, F.upper(hexes)).otherwise(hexes)
+    true_kinds = (
+        F.left(mixed, F.lit(40)), F.left(mixed, F.lit(32)), mixed, F.left(packed, part(4, 24) + 14), F.left(plain, part(4, 20) + 14),
+        F.concat(F.lit("AKIA"), F.left(F.upper(plain), F.lit(16))), F.concat(F.lit("ghp_"), F.left(plain, F.lit(36))),
+        F.concat_ws(".", F.concat(F.lit("eyJ"), F.left(plain, F.lit(17))), F.left(plain, F.lit(30)), F.right(plain, F.lit(27))),
+    )
+    false_kinds = (
+        F.left(hexes, F.lit(40)), hexes, F.left(mixed, F.lit(32)),
+        F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)),
+        F.left(digits, part(4, 7) + 12), F.concat_ws(".", *[(part(k, 156) + 100).cast("string") for k in (12, 13, 14, 15)]),
+        F.date_format(F.timestamp_seconds(part(5, 2_000_000_000)), "yyyy-MM-dd'T'HH:mm:ss"), F.concat(F.lit("mail"), part(5, 99).cast("string"), F.lit(".example.com")),
+        joined, F.concat_ws(".", part(5, 30).cast("string"), part(6, 30).cast("string"), F.lit("0-build"), part(7, 9000).cast("string")),
+    )
+    one_of = lambda values, k: F.element_at(F.array(*values), part(k, len(values)) + 1)
+    label = part(1, 2)
+    value = F.when(label == 1, one_of(true_kinds, 2)).otherwise(one_of(false_kinds, 2))
+    frame = F.when(label == 1, one_of([F.lit(c) for c in TRUE_CONTEXTS], 16)).otherwise(one_of([F.lit(c) for c in FALSE_CONTEXTS], 16))
+    inside = F.replace(frame, F.lit("{}"), value)
+    near = lambda a: F.array_join(F.slice("w", a, 3), " ")
+    return chosen.select(F.concat_ws(" ", near(1), inside, near(4)).alias("snippet"), "path", label.alias("label"), part(17, 5).alias("fold"))
