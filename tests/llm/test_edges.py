@@ -82,11 +82,10 @@ def test_filter_keeps_columns(spark):
 
 
 def test_one_class_of_findings_scores_as_that_class(spark):
-    from pyspark.sql import functions as F
-
     docs = spark.createDataFrame([(1, 'token = "0123456789abcdef0123456789abcdef01234567" and more', "s")], "doc_id long, text string, source string")
-    assert [r["score"] for r in secret_scan.scan(docs, F.lit(1)).collect()] == [1.0]
-    assert [r["score"] for r in secret_scan.scan(docs, F.lit(None).cast("int")).collect()] == [0.0]
+    for rows, score in (([("key = 00aa11bb22cc33dd44ee", "s", 1), (None, None, None)], 1.0), ([("key = 00aa11bb22cc33dd44ee", "s", None)], 0.0), ([], 0.0)):
+        known = spark.createDataFrame(rows, "snippet string, path string, label int")
+        assert [r["score"] for r in secret_scan.scan(docs, known).collect()] == [score]
 
 
 def test_hosts_without_rules_are_allowed(spark):

@@ -144,10 +144,38 @@ def test_secrets_are_found_and_numbers_are_not(spark):
 
     truth = set()
     for r in table(spark, small, "documents").collect():
-        for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"]):
+        for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r["text"]):
             truth.add((r["doc_id"], hashlib.sha256(m[1].encode()).hexdigest()))
     got = registered.QUERIES["op5_secret_scan"](spark, small).collect()
-    assert {(r["doc_id"], r["value_sha256"]) for r in got if r["is_secret"]} == truth and truth
+    found = {(r["doc_id"], r["value_sha256"]) for r in got if r["is_secret"]}
+    assert truth and truth <= found and len(found) <= 1.05 * len(truth)
+    assert len(got) > 1.5 * len(truth)
+
+
+def test_held_out_findings(spark):
+    """Precision and recall on a fifth of the labelled findings, on which the forest was not fitted."""
+    from barflow.llm import secret_scan
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    known = simhash.cut(secret_scan.planted(docs))
+    asked = known.filter("fold = 0").select(F.monotonically_increasing_id().alias("doc_id"), F.col("snippet").alias("text"), F.col("path").alias("source"), "label")
+    asked = simhash.cut(asked)
+    got = secret_scan.scan(asked.drop("label"), known.filter("fold > 0")).groupBy("doc_id").agg(F.max("is_secret").alias("found"))
+    n = asked.join(got, "doc_id", "left").groupBy("label", F.coalesce("found", F.lit(False)).alias("found")).count().collect()
+    n = {(r["label"], r["found"]): r["count"] for r in n}
+    recall, precision = n[1, True] / (n[1, True] + n[1, False]), n[1, True] / (n[1, True] + n.get((0, True), 0))
+    print("recall", recall, "precision", precision)
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_candidates_are_cut_out_of_compact_text(spark):
+    from barflow.llm import secret_scan
+
+    rows = [(1, '{"api_key":"0a1b2c3d4e5f60718293"}'), (2, 'KEY1="0a1b2c3d4e5f60718293"'), (3, "a,0a1b2c3d4e5f60718293,b"), (4, "postgres://u:pa55wordpa55word@host/db"), (5, "Xy AbCdEfGhIjKlMnOp qrs"), (6, "plain words only")]
+    got = secret_scan.candidates(spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")).collect()
+    assert {(r["_id"], r["value"]) for r in got} >= {(1, "0a1b2c3d4e5f60718293"), (2, "0a1b2c3d4e5f60718293"), (3, "0a1b2c3d4e5f60718293"), (4, "pa55wordpa55word"), (5, "AbCdEfGhIjKlMnOp")}
+    assert not any(r["_id"] == 6 for r in got)
+    assert next(r["head"] for r in got if r["_id"] == 1) == '{"api_key":"'
 
 
 def test_leaks_with_substitutions(spark):
@@ -236,6 +264,21 @@ def test_bpe_on_odd_texts_and_separate_decoding(spark):
         assert bytes(got[k]["decoded"]) == (t or "").encode()
 
 
+def test_long_pieces_are_cut_as_the_library_does(spark):
+    """A hundred thousand letters without a break, in the reach of the longest token and one pair a round."""
+    path, rng = public_tokenizers.path(registered.BPE_RANKS), np.random.default_rng(5)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    letters = lambda n, m: "".join(map(chr, 97 + rng.integers(0, m, n)))
+    long = [letters(100_000, 26), letters(3000, 2), "a" * 5001, "ab" * 999 + "a", "\u65e5\u672c\u8a9e" * 700, "=" * 777, "1" * 800, *(letters(int(n), 4) for n in rng.integers(90, 400, 40))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(long)], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, path, public_tokenizers.PATTERN).collect()}
+    assert all(got[k] == known.encode_ordinary(t) for k, t in enumerate(long))
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    assert codec.exact_reach()
+    codec._exact_reach = False
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(long[7:])] == [got[k] for k in range(7, len(long))]
+
+
 def test_simhash_components(docs, texts):
     got = by_id(simhash.near_duplicates(docs))
     prints = {}

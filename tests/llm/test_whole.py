@@ -49,8 +49,7 @@ def test_hot_shingles_lose_no_pair(spark):
 def test_boilerplate_that_is_the_longest_line_leaves(spark):
     notice = " ".join(f"notice{k}" for k in range(60))
     rows = [(k, f"first own line {k}\nsecond own line {k}\nline of them all\n{notice}", f"s{k}") for k in range(20)]
-    copy = " ".join(f"copied{k}" for k in range(60))
-    rows += [(100 + k, f"{copy}\nsame line one here\nsame line two here" + ("\nand one more line" if k % 2 else ""), f"s{k}") for k in range(6)]
+    rows += [(100 + k, "a text that was copied as a whole\nsame line one here\nsame line two here", f"s{k}") for k in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in line_dedup.strip_boilerplate(docs).collect()}
     for k in range(20):
@@ -58,6 +57,20 @@ def test_boilerplate_that_is_the_longest_line_leaves(spark):
     assert all(got[100 + k]["n_lines_removed"] == 0 for k in range(6))
 
 
+def test_a_footer_on_forty_sites_leaves_all_its_documents(spark):
+    """The sketches decide what is far from the threshold, the exact count what is near; a footer may be the longest line or the only one shared."""
+    rows = [(k, f"own words of page {k}\nall rights reserved by the owners of this site and of all its pages", f"s{k}") for k in range(40)]
+    rows += [(100 + k, f"another page says {k}\nseen on thirty nine sites only", f"s{k}") for k in range(39)]
+    rows += [(200 + k, f"a page of its own {k}\nseen on far too many sites", f"s{k}") for k in range(200)]
+    rows += [(500 + k, f"the last kind of page {k}\nseen on a few sites", f"s{k % 10}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in line_dedup.strip_boilerplate(docs, min_sites=40).collect()}
+    for i, text, _ in rows:
+        assert got[i]["n_lines_removed"] == (i < 40 or 200 <= i < 500)
+        assert got[i]["text"] == (text.split("\n")[0] if i < 40 or 200 <= i < 500 else text)
+    assert all(r["n_lines_removed"] == 1 for r in line_dedup.strip_boilerplate(docs).collect())
+
+
 def test_short_items_leak_with_substitutions(spark):
     item = lambda i, n: [f"i{i}w{k}" for k in range(n)]
     swap = lambda i, n, *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(item(i, n)))
@@ -69,3 +82,34 @@ def test_short_items_leak_with_substitutions(spark):
     docs = spark.createDataFrame([(i, f"before it {t} and after it") for i, t, _ in rows], "doc_id long, text string")
     got = {r["doc_id"]: r["best_item"] for r in decontamination.report(docs, bench).collect()}
     assert got == {i: b for i, _, b in rows}
+
+
+def test_recall_with_substituted_words(spark):
+    """Items of 15 to 80 words in which none, one and two of ten words are replaced at random places."""
+    rng = np.random.default_rng(21)
+    items = [[f"i{i}w{k}" for k in range(int(rng.integers(15, 81)))] for i in range(120)]
+    rows = []
+    for i, words in enumerate(items):
+        for tenths in (0, 1, 2):
+            gone = rng.choice(len(words), len(words) * tenths // 10, replace=False)
+            rows.append((10 * i + tenths, " ".join([f"d{i}x{k}" for k in range(30)] + [f"x{k}" if k in gone else w for k, w in enumerate(words)] + ["and", "more"])))
+        rows.append((10 * i + 9, " ".join(f"clean{k}" for k in rng.integers(0, 10**6, 60))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r["best_item"] for r in decontamination.report(docs, bench).collect()}
+    found = [sum(got[10 * i + t] == i for i in range(120)) for t in (0, 1, 2)]
+    assert found[0] == found[1] == 120 and found[2] >= 0.9 * 120
+    assert not any(got[10 * i + 9] is not None for i in range(120))
+
+
+def test_items_without_id_and_of_one_or_two_words(spark):
+    bench = spark.createDataFrame(
+        [(None, "an item without any id that has a dozen words or so here"), (None, "another one without an id and with other words than that one"), (1, "Paris"), (2, "two words"), (3, "Paris"), (4, None)],
+        "item_id long, text string",
+    )
+    rows = [(1, "so an item without any id that has a dozen words or so here"), (2, "paris!"), (3, "in Paris there"), (4, "two words"), (5, "only two words"), (6, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["leaked"], r["n_items"], r["best_item"]) for r in decontamination.report(docs, bench).collect()}
+    no = (False, 0, None)
+    assert got == {1: (True, 1, None), 2: (True, 2, 1), 3: no, 4: (True, 1, 2), 5: no, 6: no, 7: no}
+    assert {r["doc_id"] for r in decontamination.drop_leaked(docs, bench).collect()} == {3, 5, 6, 7}
