@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.operators import metrics
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -63,20 +65,82 @@ def decide(prob: Column, side: Column, price: Column, atr: Column, confident: Co
     }
 
 
+def hold_unless(columns: dict[str, Column], allowed: Column, reason: str) -> dict[str, Column]:
+    """The columns of ``decide``, held for ``reason`` and without a probability where ``allowed`` is false."""
+    held = {"signal": F.lit("HOLD"), "suggested_position_pct": F.lit(0.0), "reason": F.lit(reason)}
+    blank = ("win_probability", "stop_loss", "take_profit")
+    return {k: F.when(allowed, v).otherwise(held[k]) if k in held else F.when(allowed, v) if k in blank else v for k, v in columns.items()}
+
+
+def hold_for_schema(rows: DataFrame, missing: list[str], shown: int = 12) -> DataFrame:
+    """A HOLD for each row (symbol, ts) whose features lack columns that the model knows; no rows if none is missing."""
+    if not missing:
+        rows = rows.limit(0)
+    more = f",+{len(missing) - shown}more" if len(missing) > shown else ""
+    tag = f"feature_schema_mismatch({','.join(missing[:shown])}{more})"
+    none = F.lit(None).cast("double")
+    return rows.select(
+        "symbol", "ts", F.lit("HOLD").alias("signal"), F.lit("feature_schema_mismatch").alias("reason"), F.lit(tag).alias("tag"),
+        none.alias("win_probability"), F.lit(0.0).alias("suggested_position_pct"), none.alias("stop_loss"), none.alias("take_profit"),
+        F.lit(False).alias("confident"), F.array(*[F.lit(c) for c in missing]).cast("array<string>").alias("missing"),
+    )
+
+
 def independent(events: DataFrame, rules: Rules) -> DataFrame:
-    """Each trade alone on the whole equity, compounding: size, pnl and equity after each event in order of t0.
+    """Each trade alone on the whole equity, compounding: size, pnl, halted and equity after each event in order of t0.
 
-    The daily halt needs the running equity and is not applied here.
+    A day (of t0) is halted once the product of its own gains has fallen by the daily
+    limit: that depends on the day's earlier trades alone, so days are independent.
     """
     enters = F.col("confident") & (F.col("prob") >= rules.prob_threshold)
-    size = F.when(enters, position_size(F.col("prob"), rules)).otherwise(0.0)
-    rows = events.filter("prob is not null and ret is not null").withColumn("size", size)
-    cost = F.col("size") * (2 * (rules.fee + rules.slip) + rules.funding * F.col("bars_held"))
-    rows = rows.withColumn("pnl", F.col("size") * (F.exp("ret") - 1) - cost)
+    wanted = F.when(enters, position_size(F.col("prob"), rules)).otherwise(0.0)
+    rows = events.filter("prob is not null and ret is not null").withColumn("_size", wanted)
+    cost = F.col("_size") * (2 * (rules.fee + rules.slip) + rules.funding * F.col("bars_held"))
+    rows = rows.withColumn("_pnl", F.col("_size") * (F.exp("ret") - 1) - cost)
+    day = Window.partitionBy("symbol", F.to_date("t0")).orderBy("t0")
+    halted = F.lit(False)
+    if rules.daily_drawdown > 0:
+        rows = rows.withColumn("_run", F.exp(F.sum(F.log1p("_pnl")).over(day.rowsBetween(Window.unboundedPreceding, 0))))
+        lowest = F.min("_run").over(day.rowsBetween(Window.unboundedPreceding, -1))
+        halted = F.coalesce(lowest <= 1 - rules.daily_drawdown, F.lit(False))
+    rows = rows.withColumn("halted", halted).withColumns({
+        "size": F.when(F.col("halted"), 0.0).otherwise(F.col("_size")), "pnl": F.when(F.col("halted"), 0.0).otherwise(F.col("_pnl")),
+    }).drop("_size", "_pnl", "_run")
     w = Window.partitionBy("symbol").orderBy("t0").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("equity", F.exp(F.sum(F.log1p("pnl")).over(w)))
 
 
+def rollup(trades: DataFrame, by: str = "symbol") -> DataFrame:
+    """Metrics of a back-test per symbol; ratios a year count overlapping trades by their uniqueness."""
+    traded = F.col("size") > 0
+    peak = F.max("equity").over(Window.partitionBy(by).orderBy("t0").rowsBetween(Window.unboundedPreceding, 0))
+    seconds = F.unix_micros(F.max("t0").cast("timestamp")) / 1e6 - F.unix_micros(F.min("t0").cast("timestamp")) / 1e6
+    base = trades.withColumn("_down", (F.col("equity") - peak) / peak).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_events"), F.count(F.when(traded, 1)).alias("n_trades"), F.count(F.when(F.col("halted"), 1)).alias("n_halted"),
+        (F.max_by("equity", "t0") - 1).alias("total_return"), F.min("_down").alias("max_drawdown"),
+        F.coalesce(F.avg(F.when(traded, (F.col("pnl") > 0).cast("double"))), F.lit(0.0)).alias("win_rate"),
+        F.coalesce(F.avg(F.when(traded, F.col("pnl"))), F.lit(0.0)).alias("avg_pnl"), (seconds / 86400).alias("_days"),
+    )
+    unique = metrics.time_uniqueness(trades.filter(traded), by).groupBy(by).agg(F.avg("uniq").alias("avg_uniqueness"))
+    out = base.join(unique, by, "left").join(metrics.per_trade_sharpe(trades, "pnl", [by]), by).withColumn("avg_uniqueness", F.coalesce("avg_uniqueness", F.lit(1.0)))
+    out = out.withColumn("n_trades_effective", F.col("n_trades") * F.col("avg_uniqueness"))
+    counts = (F.col("n_events") >= 2) & (F.col("n_trades_effective") >= 2) & (F.col("_days") > 0)
+    a_year = F.when(counts, F.col("n_trades_effective") / F.nullif(F.col("_days") / 365.25, F.lit(0.0))).otherwise(0.0)
+    out = out.withColumn("periods_per_year", a_year)
+    return out.withColumns({
+        "sharpe_annualized": F.col("sharpe") * F.sqrt("periods_per_year"), "calmar": F.col("total_return") / (F.abs("max_drawdown") + 1e-9),
+    }).drop("_days")
+
+
+def combination_ratios(rows: DataFrame, rules: Rules) -> DataFrame:
+    """(symbol, expert, combo, n_trades, sharpe): the independent back-test of each combination's test rows."""
+    name = F.concat_ws("|", "symbol", "expert", F.col("combo").cast("string"))
+    trades = independent(rows.withColumns({"_symbol": F.col("symbol"), "symbol": name}), rules)
+    ratios = metrics.per_trade_sharpe(trades, "pnl", ["symbol"])
+    n = trades.groupBy("symbol", "_symbol", "expert", "combo").agg(F.count(F.when(F.col("size") > 0, 1)).alias("n_trades"))
+    return n.join(ratios, "symbol").select(F.col("_symbol").alias("symbol"), "expert", "combo", "n_trades", "sharpe")
+
+
 DETAIL = "symbol string, t0 timestamp_ntz, t1 timestamp_ntz, size double, pnl double, entry_equity double, halted boolean, skipped_capacity boolean"
 POINTS = "symbol string, ts timestamp_ntz, seq long, equity double, marked double"
 

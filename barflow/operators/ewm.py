@@ -20,42 +20,46 @@ CHUNK = 512
 
 def _carried(k: int, q: float) -> Callable[[Column, Column], Column]:
     """Adds to the values carried into chunks the one after chunk e, for mean number k."""
-    return lambda a, e: F.concat(a, F.array(F.element_at(a, -1) * F.pow(F.lit(q), e["_len"].cast("double")) + e[f"_end{k}"]))
+    return lambda a, e: F.concat(a, F.array(F.element_at(a, -1) * F.pow(F.lit(q), e[f"_len{k}"].cast("double")) + e[f"_end{k}"]))
+
+
+def _first(k: int) -> Callable[[Column], Column]:
+    """The first value of chunk e, for mean number k."""
+    return lambda e: e[f"_x{k}"]
 
 
 def ewm(df: DataFrame, means: dict[str, tuple[str, float]], by: str = "symbol", order: str = "ts") -> DataFrame:
     """``df`` with a column out = mean of col by alpha for each out: (col, alpha).
 
-    Rows where the first named column is null get null and are passed over; the first
-    other row starts each mean.
+    Rows where its column is null have no mean and are passed over; the first other row
+    starts it. All means of one call share one pass, so name them together.
     """
-    first = next(iter(means.values()))[0]
     chunk = int(min([CHUNK, *(500 / -log(1 - alpha) for _, alpha in means.values() if alpha < 1)]))
     names = df.columns
-    valid = F.col(first).isNotNull()
-    seen = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    base = df.withColumn("_n", F.sum(valid.cast("long")).over(seen) - 1)
-    base = base.withColumn("_chunk", F.floor(F.col("_n") / chunk)).withColumn("_k", F.pmod("_n", F.lit(chunk)) + 1)
+    base = df.withColumn("_chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / chunk))
     inside = Window.partitionBy(by, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local, parts, folds = {}, [F.max("_k").alias("_len")], []
+    columns = {c: k for k, c in enumerate(dict.fromkeys(c for c, _ in means.values()))}
+    base = base.withColumns({f"_k{k}": F.count(c).over(inside) for c, k in columns.items()})
+    local, parts, folds = {}, [], []
     for k, (col, alpha) in enumerate(means.values()):
-        q, up = 1 - alpha, F.col("_k").cast("double")
-        term = F.when(valid, alpha * F.col(col) * F.pow(F.lit(q), -up))
-        local[f"_y{k}"] = F.pow(F.lit(q), up) * F.sum(term).over(inside)
-        parts += [F.max_by(f"_y{k}", "_k").alias(f"_end{k}"), F.min_by(col, "_k").alias(f"_x{k}")]
-
-        start = F.array(F.col("_e")[0][f"_x{k}"])
-        folds.append(F.aggregate("_e", start, _carried(k, q)).alias(f"_carry{k}"))
+        q, seen = 1 - alpha, F.col(f"_k{columns[col]}").cast("double")
+        term = F.when(F.col(col).isNotNull(), alpha * F.col(col) * F.pow(F.lit(q), -seen))
+        local[f"_y{k}"] = F.coalesce(F.pow(F.lit(q), seen) * F.sum(term).over(inside), F.lit(0.0))
+        first = F.min_by(col, F.when(F.col(col).isNotNull(), seen))
+        parts += [F.max(seen).alias(f"_len{k}"), F.max_by(f"_y{k}", seen).alias(f"_end{k}"), first.alias(f"_x{k}")]
+        start = F.get(F.filter(F.transform("_e", _first(k)), lambda x: x.isNotNull()), F.lit(0))
+        folds.append(F.aggregate("_e", F.array(start), _carried(k, q)).alias(f"_carry{k}"))
     base = base.withColumns(local)
-    ends = base.filter(valid).groupBy(by, "_chunk").agg(*parts)
-    columns = ["_chunk", "_len", *(f"_{p}{k}" for k in range(len(means)) for p in ("end", "x"))]
-    folded = ends.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_e")).select(by, *folds)
+    ends = base.groupBy(by, "_chunk").agg(*parts)
+    held = ["_chunk", *(f"_{p}{k}" for k in range(len(means)) for p in ("len", "end", "x"))]
+    folded = ends.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*held))).alias("_e")).select(by, *folds)
     carry = folded.select(by, F.posexplode(F.arrays_zip(*[f"_carry{k}" for k in range(len(means))])).alias("_chunk", "_c"))
     carry = carry.select(F.col(by), F.col("_chunk").cast("long").alias("_chunk"), "_c")
     joined = base.join(carry, [by, "_chunk"], "left")
     values = {}
-    for k, (out, (_, alpha)) in enumerate(means.items()):
-        values[out] = F.when(valid, F.col(f"_y{k}") + F.pow(F.lit(1 - alpha), F.col("_k").cast("double")) * F.col("_c")[f"_carry{k}"])
+    for k, (out, (col, alpha)) in enumerate(means.items()):
+        back = F.pow(F.lit(1 - alpha), F.col(f"_k{columns[col]}").cast("double")) * F.col("_c")[f"_carry{k}"]
+        values[out] = F.when(F.col(col).isNotNull(), F.col(f"_y{k}") + back)
     return joined.withColumns(values).select(*[c for c in names if c not in means], *means)
 
 
@@ -63,30 +67,45 @@ def span(n: int) -> float:
     return 2 / (n + 1)
 
 
+def moves(df: DataFrame) -> DataFrame:
+    """df with rises, falls and true ranges; the first bar neither rises nor falls."""
+    before = lagged(F.col("close"), 1)
+    change = F.col("close") - before
+    return df.withColumns({
+        "_up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_down": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
+        "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)),
+    })
+
+
+def indicators(df: DataFrame, rsi: dict[str, int] | None = None, atr: dict[str, int] | None = None, macd: bool = False) -> DataFrame:
+    """df with the named RSIs and ATRs (name: window) and, if asked, MACD: one pass, and one more for MACD's signal."""
+    rsi, atr = rsi or {}, atr or {}
+    means = {f"_{side}_{out}": (f"_{side}", 1 / n) for out, n in rsi.items() for side in ("up", "down")}
+    means |= {out: ("_tr", 1 / n) for out, n in atr.items()}
+    if macd:
+        means |= {"_fast": ("close", span(12)), "_slow": ("close", span(26))}
+    out = ewm(moves(df) if rsi or atr else df, means)
+    made = {name: F.col(name) for name in atr}
+    made |= {name: 100 - 100 / (1 + F.col(f"_up_{name}") / (F.col(f"_down_{name}") + EPS)) for name in rsi}
+    if macd:
+        out = ewm(out.withColumn("_macd", F.col("_fast") - F.col("_slow")), {"_signal": ("_macd", span(9))})
+        close = F.col("close") + EPS
+        made |= {
+            "macd": F.col("_macd") / close, "macd_signal": F.col("_signal") / close, "macd_hist": (F.col("_macd") - F.col("_signal")) / close,
+        }
+    return out.select(*[c for c in df.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+
+
 def rsi(df: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
     """Relative strength by Wilder means of rises and falls; the first bar has none."""
-    change = F.col("close") - lagged(F.col("close"), 1)
-    moves = df.withColumn("_d", change).withColumns({
-        "_up": F.when(F.col("_d").isNotNull(), F.greatest(F.col("_d"), F.lit(0.0))),
-        "_down": F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0))),
-    })
-    means = ewm(moves, {"_mu": ("_up", 1 / n), "_md": ("_down", 1 / n)})
-    return means.withColumn(out, 100 - 100 / (1 + F.col("_mu") / (F.col("_md") + EPS))).select(*df.columns, out)
+    return indicators(df, rsi={out: n})
 
 
 def atr(df: DataFrame, n: int = 14, out: str = "atr") -> DataFrame:
     """Wilder mean of the true range."""
-    before = lagged(F.col("close"), 1)
-    ranges = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    return ewm(df.withColumn("_tr", ranges), {out: ("_tr", 1 / n)}).select(*df.columns, out)
+    return indicators(df, atr={out: n})
 
 
 def macd(df: DataFrame) -> DataFrame:
     """macd, macd_signal and macd_hist relative to the close."""
-    two = ewm(df, {"_fast": ("close", span(12)), "_slow": ("close", span(26))}).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    three = ewm(two, {"_signal": ("_macd", span(9))})
-    close = F.col("close") + EPS
-    return three.select(
-        *df.columns, (F.col("_macd") / close).alias("macd"), (F.col("_signal") / close).alias("macd_signal"),
-        ((F.col("_macd") - F.col("_signal")) / close).alias("macd_hist"),
-    )
+    return indicators(df, macd=True)

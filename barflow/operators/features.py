@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions import windows as W
 from barflow.operators.asof import asof
-from barflow.operators.ewm import atr, macd, rsi
+from barflow.operators.ewm import indicators
 from barflow.sources.bars import resample
 
 
@@ -23,7 +23,7 @@ def ffd_weights(d: float, least: float, most: int = 10_000) -> list[float]:
     return out
 
 
-def fractional_difference(x: Column, d: float = 0.4, least: float = 1e-2) -> Column:
+def fractional_difference(x: Column, d: float = 0.4, least: float = 1e-4) -> Column:
     """Fixed-width fractional difference; null until the window is full of values."""
     weights = ffd_weights(d, least)
     frame = W.series().rowsBetween(-(len(weights) - 1), 0)
@@ -38,12 +38,11 @@ def technical(bars: DataFrame, windows: tuple[int, ...] = (7, 14), vol_window: i
     close = F.col("close")
     df = bars.withColumn("logret_1", W.log_return(close))
     for n in windows:
-        df = rsi(df, n, f"rsi_{n}")
         df = df.withColumns({
             f"ret_{n}": W.momentum(close, n), f"mom_{n}": W.momentum(close, n), f"vol_{n}": W.rolling(F.stddev_samp, F.col("logret_1"), n),
             f"zscore_{n}": W.zscore(close, n), f"bb_pos_{n}": W.band_position(close, n), f"vol_ratio_{n}": W.ratio_to_mean(F.col("volume"), n),
         })
-    df = atr(macd(df), 14, "atr_14")
+    df = indicators(df, rsi={f"rsi_{n}": n for n in windows}, atr={"atr_14": 14}, macd=True)
     return df.withColumns({"atr_norm": F.col("atr_14") / (close + W.EPS), "rv": W.rolling(F.stddev_samp, F.col("logret_1"), vol_window)})
 
 
@@ -57,7 +56,7 @@ def coarse_features(
     p, close, df = f"tf{hours}h", F.col("close"), resample(bars, hours)
     own = {}
     if indicators:
-        df = atr(macd(rsi(df, rsi_window, f"{p}_rsi_{rsi_window}")), 14, "_atr")
+        df = indicators(df, rsi={f"{p}_rsi_{rsi_window}": rsi_window}, atr={"_atr": 14}, macd=True)
         own = {f"{p}_macd_hist": F.col("macd_hist"), f"{p}_atr_norm": F.col("_atr") / (close + W.EPS)}
     df = df.withColumn("_lr", W.log_return(close))
     df = df.withColumns({f"{p}_ret_{n}": W.momentum(close, n) for n in lookbacks} | own | {

@@ -121,15 +121,23 @@ def first_touch(bars: DataFrame, take: float = 1.5, stop: float = 1.5, bars_ahea
 
 
 def concurrency(bars: DataFrame, events: DataFrame) -> DataFrame:
-    """(symbol, ts, concurrent): open events per bar over closed intervals, by running sums of starts and ends."""
-    place = bars.select("symbol", "ts", F.row_number().over(W.series()).alias("rn"))
-    start = events.groupBy("symbol", F.col("t0").alias("ts")).agg(F.count(F.lit(1)).alias("s"))
-    end = events.groupBy("symbol", F.col("t1").alias("ts")).agg(F.count(F.lit(1)).alias("e"))
-    both = place.join(start, ["symbol", "ts"], "left").join(end, ["symbol", "ts"], "left")
+    """(symbol, ts, rn, concurrent): open events per bar over closed intervals, by running sums of starts and ends.
+
+    Bars, starts and ends are stacked and summed per time, so there is no join. Ends of
+    events must be times of bars.
+    """
+    one, none = F.lit(1), F.lit(0)
+    stacked = bars.select("symbol", "ts", one.alias("bar"), none.alias("s"), none.alias("e")).union(
+        events.select("symbol", F.explode(F.array(
+            F.struct(F.col("t0").alias("ts"), none.alias("bar"), one.alias("s"), none.alias("e")),
+            F.struct(F.col("t1").alias("ts"), none.alias("bar"), none.alias("s"), one.alias("e")),
+        )).alias("x")).select("symbol", "x.*")
+    )
+    times = stacked.groupBy("symbol", "ts").agg(F.max("bar").alias("bar"), F.sum("s").alias("s"), F.sum("e").alias("e")).filter("bar = 1")
     w = W.series()
-    opened = F.sum(F.coalesce("s", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    closed = F.coalesce(F.sum(F.coalesce("e", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return both.select("symbol", "ts", "rn", (opened - closed).alias("concurrent"))
+    opened = F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    closed = F.coalesce(F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return times.select("symbol", "ts", F.row_number().over(w).alias("rn"), (opened - closed).alias("concurrent"))
 
 
 def uniqueness(bars: DataFrame, events: DataFrame) -> DataFrame:
@@ -155,3 +163,9 @@ def time_decay(events: DataFrame, oldest: float = 0.5) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy("t0")) - 1
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     return events.withColumn("w_decay", oldest + (1 - oldest) * rank / F.greatest(n - 1, F.lit(1)))
+
+
+def combined_weights(events: DataFrame) -> DataFrame:
+    """Events with ``w``: return weight times time decay, of mean one per symbol; ``uniq`` must be there."""
+    df = time_decay(return_weights(events)).withColumn("_raw", F.col("w") * F.col("w_decay"))
+    return df.withColumn("w", F.col("_raw") / (F.avg("_raw").over(Window.partitionBy("symbol")) + W.EPS)).drop("_raw", "w_decay")

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions import windows as W
+from barflow.operators import metrics, validation
+from barflow.operators.asof import asof
+from barflow.stored import stored
 
 
 def vectors(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,6 +25,32 @@ EXPERTS = {
 }
 
 
+def ended_hits(events: DataFrame, last: int = 20) -> DataFrame:
+    """(symbol, side, _key, t1, wins, n): wins among the last labels of a symbol and side that had ended at t1, itself included."""
+    w = Window.partitionBy("symbol", "side").orderBy("t1", "t0").rowsBetween(-(last - 1), 0)
+    ended = events.select("symbol", "side", "t0", "t1", F.sum("bin").over(w).alias("wins"), F.count(F.lit(1)).over(w).alias("n"))
+    one = ended.groupBy("symbol", "side", "t1").agg(F.max_by(F.struct("wins", "n"), "t0").alias("h"))
+    return one.select("symbol", "side", _key(), "t1", "h.wins", "h.n")
+
+
+def _key() -> Column:
+    return F.concat_ws("|", "symbol", F.col("side").cast("string")).alias("_key")
+
+
+def hit_rate(events: DataFrame, last: int = 20, at: str = "t0", history: DataFrame | None = None) -> DataFrame:
+    """events with ``prob`` and ``confident``: the expert that expects the wins of late to go on.
+
+    The probability is the smoothed share of wins among the last labels of the same symbol
+    and side that had ended by ``at``; without ``last`` of them it is not confident. The
+    event's own label is never among them. ``history``, if given, has the labels.
+    """
+    ended = ended_hits(events if history is None else history, last)
+    df = asof(events.withColumn("_key", _key()), ended, F.col(at), F.col("t1"), ["wins", "n"], by="_key", prefix="_")
+    wins, n = F.coalesce("_wins", F.lit(0)), F.coalesce("_n", F.lit(0))
+    prob = F.round((wins + 1) / (n + 2), 4)
+    return df.withColumns({"prob": prob, "confident": n == last}).select(*[c for c in events.columns if c not in ("prob", "confident")], "prob", "confident")
+
+
 def naive_scores(bars: DataFrame, horizon: int = 24) -> DataFrame:
     """(symbol, ts, score): mean of the last 23 log returns times the horizon, over the volatility of the last 63."""
     lr = F.ln(F.col("close") + 1e-9) - F.lag(F.ln(F.col("close") + 1e-9)).over(W.series())
@@ -33,14 +62,14 @@ def naive_scores(bars: DataFrame, horizon: int = 24) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, columns: list[str], n_folds: int = 3, experts: dict | None = None) -> DataFrame:
-    """(symbol, t0, expert, fold, prob): each expert's probability for events it was not fitted on.
+    """(symbol, t0, t1, expert, fold, prob, bin, w): each expert's probability for events it was not fitted on.
 
     Folds are contiguous in time over the whole set; training rows whose labels meet the
     test fold are purged. One Spark job per expert and fold; the driver holds models only.
     """
     place = Window.partitionBy("symbol").orderBy("t0")
     rows = vectors(df, columns).withColumn("fold", F.ntile(n_folds).over(place) - 1).select("symbol", "t0", "t1", "bin", "w", "features", "fold")
-    rows = rows.persist()
+    rows = stored(rows)
     out = None
     for fold in range(n_folds):
         test = rows.filter(F.col("fold") == fold)
@@ -49,27 +78,81 @@ def out_of_fold(df: DataFrame, columns: list[str], n_folds: int = 3, experts: di
         for name, make in (experts or EXPERTS).items():
             estimator: Estimator = make()
             scored = estimator.fit(train).transform(test).select(
-                "symbol", "t0", F.lit(name).alias("expert"), "fold", vector_to_array("probability")[1].alias("prob"), "bin", "w"
+                "symbol", "t0", "t1", F.lit(name).alias("expert"), "fold", vector_to_array("probability")[1].alias("prob"), "bin", "w"
             )
             out = scored if out is None else out.union(scored)
-    return out
+    return stored(out)
+
+
+def select_experts(oof: DataFrame, min_auc: float = 0.5, pseudo: tuple[str, ...] = (), min_rows: int = 20) -> DataFrame:
+    """(expert, auc, kept, reason): which experts the meta model may read. A row per expert.
+
+    Experts that were not refitted in the folds (``pseudo``) never enter. Weak ones are
+    told by their AUC on the earlier half of each symbol's events, so that the later half
+    stays fit for reports; fewer than ``min_rows`` events are all judged. If all are weak,
+    the best one stays. An expert without an AUC (one class only) is kept.
+    """
+    w = Window.partitionBy("symbol", "expert")
+    placed = oof.withColumns({"_i": F.row_number().over(w.orderBy("t0")), "_n": F.count(F.lit(1)).over(w)})
+    early = placed.filter((F.col("_n") < min_rows) | (F.col("_i") <= F.greatest(F.floor(F.col("_n") / 2), F.lit(10))))
+    scores = metrics.auc(early, "prob", "bin", ["expert"])
+    false = F.lit(False)
+    is_pseudo = F.coalesce(F.col("expert").isin(*pseudo), false) if pseudo else false
+    weak = F.coalesce(F.col("auc") < min_auc, false)
+    usable = Window.partitionBy(is_pseudo)  # a handful of experts
+    all_weak = F.min(weak.cast("int")).over(usable) == 1
+    best = F.row_number().over(usable.orderBy(F.desc("auc"), "expert")) == 1
+    reason = F.when(is_pseudo, "not_refitted_in_folds").when(weak & ~(all_weak & best), "low_auc").when(weak, "best_of_weak_experts")
+    return scores.select("expert", "auc", (~is_pseudo & (~weak | (all_weak & best))).alias("kept"), reason.alias("reason"))
 
 
 def stack(oof: DataFrame, c: float = 1.0) -> DataFrame:
-    """(symbol, t0, bin, prob): a logistic meta model over the experts' probabilities, cross-fitted over folds."""
+    """(symbol, t0, t1, bin, prob): a logistic meta model over the experts' probabilities, cross-fitted over folds.
+
+    With fewer than two rows a fold the meta model is fitted and applied on the same rows,
+    and ``fallback`` says so.
+    """
     names = [r[0] for r in oof.select("expert").distinct().orderBy("expert").collect()]  # one row per expert
-    wide = vectors(oof.groupBy("symbol", "t0", "fold", "bin", "w").pivot("expert", names).agg(F.first("prob")).dropna(), names).persist()
-    folds, total = sorted(r[0] for r in wide.select("fold").distinct().collect()), wide.agg(F.sum("w")).first()[0] or 1.0
+    keys = ("symbol", "t0", "t1", "fold", "bin", "w")
+    wide = stored(vectors(oof.groupBy(*keys).pivot("expert", names).agg(F.first("prob")).dropna(), names))
+    folds = {r["fold"]: (r["n"], r["w"]) for r in wide.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()}  # one row per fold
+    total, few = sum(w for _, w in folds.values()) or 1.0, sum(n for n, _ in folds.values()) < 2 * max(len(folds), 1)
     out = None
-    for fold in folds:
+    for fold in sorted(folds):
         meta = LogisticRegression(labelCol="bin", weightCol="w", regParam=1 / (c * total), standardization=False)
-        scored = meta.fit(wide.filter(F.col("fold") != fold)).transform(wide.filter(F.col("fold") == fold)).select(
-            "symbol", "t0", "bin", vector_to_array("probability")[1].alias("prob")
+        train = wide if few else wide.filter(F.col("fold") != fold)
+        scored = meta.fit(train).transform(wide.filter(F.col("fold") == fold)).select(
+            "symbol", "t0", "t1", "bin", vector_to_array("probability")[1].alias("prob"), F.lit(few).alias("fallback")
         )
         out = scored if out is None else out.union(scored)
     return out
 
 
+def refit_combinations(df: DataFrame, columns: list[str], n: int = 6, k: int = 2, embargo: float = 0.02, experts: dict | None = None) -> DataFrame:
+    """(symbol, combo, expert, t0, prob): test probabilities of experts fitted anew on the train rows of each combination."""
+    df = stored(df)
+    rows = vectors(df, columns).select("symbol", "t0", "bin", "w", "features")
+    parts = validation.combinatorial_folds(df, n, k, embargo)
+    dealt = stored(rows.join(parts, ["symbol", "t0"]))
+    out = None
+    for combo in range(len(validation.combinations(n, k))):
+        mine = dealt.filter(F.col("combo") == combo)
+        for name, make in (experts or {"logistic": EXPERTS["logistic"]}).items():
+            scored = make().fit(mine.filter("part = 'train'")).transform(mine.filter("part = 'test'")).select(
+                "symbol", "combo", F.lit(name).alias("expert"), "t0", vector_to_array("probability")[1].alias("prob")
+            )
+            out = scored if out is None else out.union(scored)
+    return out
+
+
+def early_stop_split(train: DataFrame, cutoff: Column, val_share: float = 0.15) -> DataFrame:
+    """train with ``is_val``: the last share of each symbol's rows whose labels had ended before ``cutoff``; none after it validates."""
+    before = F.col("t1") < cutoff
+    w = Window.partitionBy("symbol", before)
+    late = F.row_number().over(w.orderBy(F.desc("t0"))) <= F.floor(F.count(F.lit(1)).over(w) * F.lit(val_share))
+    return train.withColumn("is_val", before & late)
+
+
 def calibrate(fit_on: DataFrame, apply_to: DataFrame, prob: str = "prob", label: str = "bin", kind: str = "isotonic") -> DataFrame:
     """``apply_to`` with ``calibrated``: isotonic, or a logistic curve (platt)."""
     if kind == "isotonic":

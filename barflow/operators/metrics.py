@@ -39,18 +39,17 @@ def classification_report(df: DataFrame, prob: str, label: str, by: list[str]) -
 
 
 def conformal_quantile(df: DataFrame, prob: str, label: str, by: list[str], alpha: float = 0.1) -> DataFrame:
-    """(by, qhat): the corrected quantile of one less the probability of the true class, with linear interpolation."""
+    """(by, qhat): the corrected quantile of one less the probability of the true class, linear between values."""
     score = F.when(F.col(label) == 1, 1 - F.col(prob)).otherwise(F.col(prob))
-    placed = df.select(*by, score.alias("score")).filter("score is not null")
+    # Equal scores are one row before anything is ordered.
+    counts = df.select(*by, score.alias("score")).filter("score is not null").groupBy(*by, "score").agg(F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy(*by)
-    placed = placed.withColumns({"i": F.row_number().over(w.orderBy("score")) - 1, "n": F.count(F.lit(1)).over(w)})
+    placed = counts.withColumns({"to": F.sum("k").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("k").over(w)})
     level = F.least(F.ceil((F.col("n") + 1) * F.lit(1 - alpha)) / F.col("n"), F.lit(1.0))
-    at = level * (F.col("n") - 1)
-    placed = placed.withColumn("at", at)
-    low, high = F.floor("at"), F.ceil("at")
-    share = F.col("at") - low
-    weight = F.when(F.col("i") == low, 1 - share).otherwise(0.0) + F.when((F.col("i") == high) & (high != low), share).otherwise(0.0)
-    return placed.groupBy(*by).agg(F.sum(F.col("score") * weight).alias("qhat"))
+    placed = placed.withColumn("at", level * (F.col("n") - 1))
+    value = lambda place: F.min(F.when(F.col("to") > place(F.col("at")), F.col("score")))
+    low, share = value(F.floor), F.first(F.col("at") - F.floor("at"))
+    return placed.groupBy(*by).agg((low + share * (value(F.ceil) - low)).alias("qhat"))
 
 
 def conformal_flags(prob: Column, qhat: Column) -> dict[str, Column]:
@@ -112,17 +111,32 @@ def peak_exposure(trades: DataFrame, by: str = "symbol") -> DataFrame:
     return flows.withColumn("open", F.sum("d").over(w)).groupBy(by).agg(F.max("open").alias("peak"))
 
 
-def deflated_sharpe(sharpe: float, trials: int, n: int, skew: float = 0.0, kurt: float = 3.0) -> float | None:
-    """Probability that the true ratio is above what the best of ``trials`` would show by luck; None if undefined."""
-    if trials < 2 or n < 2:
-        return None
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution function by a rational approximation, right to seven digits.
+
+    Fixed values: Abramowitz and Stegun, Handbook of Mathematical Functions, 26.2.17.
+    """
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-z * z / 2) / 2.5066282746310002 * series
+    return F.when(z >= 0, 1 - tail).otherwise(tail)
+
+
+def expected_maximum(trials: int) -> float:
+    """What the best of ``trials`` ratios without skill shows by luck, in deviations."""
     normal, gamma = NormalDist(), 0.5772156649
-    luck = (1 - gamma) * normal.inv_cdf(1 - 1 / trials) + gamma * normal.inv_cdf(1 - 1 / (trials * e))
-    variance = max((1 - skew * sharpe + (kurt - 1) / 4 * sharpe**2) / (n - 1), 0.0)
-    if variance <= 0:
-        return None
-    deviation = variance**0.5
-    return normal.cdf((sharpe - luck * deviation) / (deviation + EPS))
+    return (1 - gamma) * normal.inv_cdf(1 - 1 / trials) + gamma * normal.inv_cdf(1 - 1 / (trials * e))
+
+
+def deflated_sharpe(sharpe: Column, trials: int, n: Column, skew: Column | float = 0.0, kurt: Column | float = 3.0) -> Column:
+    """Probability that the true ratio is above what the best of ``trials`` would show by luck; null if undefined."""
+    if trials < 2:
+        return F.lit(None).cast("double")
+    skew, kurt = (F.lit(x) if isinstance(x, float) else x for x in (skew, kurt))
+    variance = F.greatest((1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
+    deviation = F.sqrt(variance)
+    z = (sharpe - F.lit(expected_maximum(trials)) * deviation) / (deviation + EPS)
+    return F.when((n >= 2) & (deviation > 0), normal_cdf(z))
 
 
 def sample_moments(df: DataFrame, x: str, by: list[str]) -> DataFrame:

@@ -87,7 +87,10 @@ def embargo_times(events: DataFrame, share: float) -> DataFrame:
 
 
 def overlaps(folds: DataFrame) -> DataFrame:
-    """Per symbol and fold, train rows whose label meets the test labels' hull; must be zero."""
+    """Per symbol and fold, train rows whose label meets the test labels' hull (must be none), and all such rows that are no test."""
     hull = folds.filter("part = 'test'").groupBy("symbol", "fold").agg(F.min("t0").alias("a"), F.max("t1").alias("b"))
-    hit = (F.col("part") == "train") & (F.col("t1") >= F.col("a")) & (F.col("t0") <= F.col("b"))
-    return folds.join(F.broadcast(hull), ["symbol", "fold"]).groupBy("symbol", "fold").agg(F.sum(hit.cast("long")).alias("n_overlaps"))
+    meets = (F.col("t1") >= F.col("a")) & (F.col("t0") <= F.col("b"))
+    n = lambda c: F.sum((c & meets).cast("long"))
+    return folds.join(F.broadcast(hull), ["symbol", "fold"]).groupBy("symbol", "fold").agg(
+        n(F.col("part") == "train").alias("n_overlaps"), n(F.col("part") != "test").alias("n_before_purge")
+    )

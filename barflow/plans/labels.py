@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions import windows as W
 from barflow.functions.windows import rounded
-from barflow.operators import ewm, labels, metrics, validation
+from barflow.operators import ewm, labels, learning, metrics, validation
 from barflow.plans import sql
 from barflow.plans.features import shown
 from barflow.plans.registry import query
@@ -24,23 +24,9 @@ def all_labels(spark: SparkSession, folder: str) -> DataFrame:
     return labels.first_touch(panel(spark, folder))
 
 
-def sparse_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels of every sixth bar of a symbol."""
-    bars = panel(spark, folder).withColumn("rn", F.row_number().over(W.series()))
-    labelled = labels.first_touch(bars)
-    chosen = bars.filter(F.pmod("rn", F.lit(6)) == 0).select("symbol", F.col("ts").alias("t0"))
-    return labelled.join(chosen, ["symbol", "t0"], "left_semi")
-
-
-def with_probabilities(events: DataFrame) -> DataFrame:
-    """Events with a made-up but fixed probability and confidence from their place, for what reads model output."""
-    k = F.row_number().over(Window.partitionBy("symbol").orderBy("t0"))
-    prob = F.round(0.35 + 0.3 * F.pmod(k * 37, F.lit(101)) / 100.0 + 0.1 * F.col("bin"), 4)
-    return events.withColumns({"prob": prob, "confident": F.pmod(k, F.lit(5)) != 0, "k": k})
-
-
-PROBS = """pr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t0) AS k FROM ev),
-pe AS (SELECT *, round(0.35::DOUBLE + 0.3::DOUBLE * ((k * 37) % 101) / 100 + 0.1::DOUBLE * bin, 4) AS prob, k % 5 <> 0 AS confident FROM pr)"""
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels with the hit-rate expert's probability."""
+    return learning.hit_rate(all_labels(spark, folder))
 
 
 @query(f"""WITH {sql.BARS} SELECT symbol, ts, CASE WHEN close / lag(close, 24) OVER w - 1 >= 0 THEN 1 WHEN close / lag(close, 24) OVER w - 1 < 0 THEN -1 END::DOUBLE AS side FROM bars {sql.W}""")
@@ -86,6 +72,17 @@ def event_sampling(spark: SparkSession, folder: str) -> DataFrame:
     return times.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_events"), F.max("full_sampling").alias("full_sampling"))
 
 
+@query(f"""{_CUSUM}, {sql.LABELLED}, n AS (SELECT symbol, count(*) FILTER (hit) AS n FROM c GROUP BY symbol)
+SELECT l.symbol, t0, t1, round(ret, 6) + 0 AS ret, bin, n < 50 AS full_sampling FROM labels_all l JOIN c ON c.symbol = l.symbol AND c.rn = l.r0 JOIN n ON n.symbol = l.symbol
+WHERE CASE WHEN n < 50 THEN l.r0 > 24 ELSE hit END""")
+def cusum_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of the sampled events: CUSUM events, or every bar after the lookback where a symbol has too few."""
+    bars = panel(spark, folder)
+    times = labels.event_times(bars, labels.expanding_median(F.col("trgt")), min_events=50)
+    found = labels.first_touch(bars).join(times.withColumnRenamed("ts", "t0"), ["symbol", "t0"])
+    return found.select("symbol", "t0", "t1", rounded(F.col("ret")).alias("ret"), "bin", "full_sampling")
+
+
 @query(f"WITH {sql.BARS} SELECT * FROM (SELECT symbol, ts, lead(ts, 24) OVER w AS t1 FROM bars {sql.W}) WHERE t1 IS NOT NULL")
 def vertical_barrier(spark: SparkSession, folder: str) -> DataFrame:
     df = source.hourly(spark, folder).select("symbol", "ts", F.lead("ts", 24).over(W.series()).alias("t1"))
@@ -109,7 +106,7 @@ def label_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {sql.EVENTS} SELECT s.symbol, s.ts, count(e.r0) AS concurrent FROM sided s LEFT JOIN ev e ON e.symbol = s.symbol AND s.rn BETWEEN e.r0 AND e.r1 GROUP BY ALL""")
 def event_concurrency(spark: SparkSession, folder: str) -> DataFrame:
-    return labels.concurrency(panel(spark, folder), sparse_events(spark, folder)).select("symbol", "ts", "concurrent")
+    return labels.concurrency(source.hourly(spark, folder), all_labels(spark, folder)).select("symbol", "ts", "concurrent")
 
 
 _CONC = """cc AS (SELECT s.symbol, s.rn, count(e.r0) AS c FROM sided s JOIN ev e ON e.symbol = s.symbol AND s.rn BETWEEN e.r0 AND e.r1 GROUP BY ALL),
@@ -118,20 +115,29 @@ un AS (SELECT e.symbol, e.t0, e.t1, e.ret, avg(1.0::DOUBLE / c) AS uniq FROM ev
 
 @query(f"WITH {sql.EVENTS}, {_CONC} SELECT symbol, t0, round(uniq, 6) + 0 AS uniq FROM un")
 def avg_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
-    df = labels.uniqueness(panel(spark, folder), sparse_events(spark, folder))
+    df = labels.uniqueness(source.hourly(spark, folder), all_labels(spark, folder))
     return shown(df, "uniq", keys=("symbol", "t0"))
 
 
 @query(f"""WITH {sql.EVENTS}, {_CONC} SELECT symbol, t0, round(abs(ret) * uniq / (avg(abs(ret) * uniq) OVER (PARTITION BY symbol) + 1e-12), 6) + 0 AS w FROM un""")
 def sample_weights(spark: SparkSession, folder: str) -> DataFrame:
-    df = labels.return_weights(labels.uniqueness(panel(spark, folder), sparse_events(spark, folder)))
+    df = labels.return_weights(labels.uniqueness(source.hourly(spark, folder), all_labels(spark, folder)))
     return shown(df, "w", keys=("symbol", "t0"))
 
 
 @query(f"""WITH {sql.EVENTS} SELECT symbol, t0, round(0.5 + 0.5 * (row_number() OVER (PARTITION BY symbol ORDER BY t0) - 1)
 / greatest(count(*) OVER (PARTITION BY symbol) - 1, 1), 6) + 0 AS w_decay FROM ev""")
 def time_decay(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(labels.time_decay(sparse_events(spark, folder)), "w_decay", keys=("symbol", "t0"))
+    return shown(labels.time_decay(all_labels(spark, folder)), "w_decay", keys=("symbol", "t0"))
+
+
+@query(f"""WITH {sql.EVENTS}, {_CONC}, r AS (SELECT symbol, t0, abs(ret) * uniq / (avg(abs(ret) * uniq) OVER (PARTITION BY symbol) + 1e-12)
+  * (0.5 + 0.5 * (row_number() OVER (PARTITION BY symbol ORDER BY t0) - 1) / greatest(count(*) OVER (PARTITION BY symbol) - 1, 1)) AS raw FROM un)
+SELECT symbol, t0, round(raw / (avg(raw) OVER (PARTITION BY symbol) + 1e-12), 6) + 0 AS w FROM r""")
+def combined_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """What learners are fitted with: return weight times time decay, of mean one."""
+    df = labels.combined_weights(labels.uniqueness(source.hourly(spark, folder), all_labels(spark, folder)))
+    return shown(df, "w", keys=("symbol", "t0"))
 
 
 GROUPS = """gr AS (SELECT symbol, t0, t1, ntile({n}) OVER (PARTITION BY symbol ORDER BY t0, t1) - 1 AS grp FROM ev),
@@ -143,14 +149,14 @@ jd AS (SELECT g.symbol, b.fold, g.t0, g.t1, g.grp = b.fold AS test, g.t1 >= b.a
 
 @query(f"""WITH {sql.EVENTS}, {GROUPS.format(n=5)} SELECT symbol, fold::INT AS fold, t0, CASE WHEN test THEN 'test' WHEN pur THEN 'purged' WHEN emb THEN 'embargoed' ELSE 'train' END AS part FROM jd""")
 def purged_kfold_train_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return validation.purged_folds(sparse_events(spark, folder), 5, 0.02).select("symbol", "fold", "t0", "part")
+    return validation.purged_folds(all_labels(spark, folder), 5, 0.02).select("symbol", "fold", "t0", "part")
 
 
 @query(f"""WITH {sql.EVENTS}, {GROUPS.format(n=5)} SELECT symbol, fold::INT AS fold, count(*) FILTER (NOT test AND NOT pur AND emb) AS n_embargoed,
 min(t0) FILTER (NOT test AND NOT pur AND emb) AS first_embargoed FROM jd GROUP BY ALL""")
 def embargo_rows(spark: SparkSession, folder: str) -> DataFrame:
     out = F.col("part") == "embargoed"
-    return validation.purged_folds(sparse_events(spark, folder), 5, 0.02).groupBy("symbol", "fold").agg(
+    return validation.purged_folds(all_labels(spark, folder), 5, 0.02).groupBy("symbol", "fold").agg(
         F.count(F.when(out, 1)).alias("n_embargoed"), F.min(F.when(out, F.col("t0"))).alias("first_embargoed")
     )
 
@@ -159,26 +165,28 @@ def embargo_rows(spark: SparkSession, folder: str) -> DataFrame:
 m AS (SELECT symbol, combo, t0, bool_or(test) AS test, bool_or(pur OR emb) AS dropped FROM jd JOIN pairs ON fold = a OR fold = b GROUP BY ALL)
 SELECT symbol, combo::INT AS combo, count(*) FILTER (test) AS n_test, count(*) FILTER (NOT test AND dropped) AS n_out, count(*) FILTER (NOT test AND NOT dropped) AS n_train FROM m GROUP BY ALL""")
 def cpcv_combos(spark: SparkSession, folder: str) -> DataFrame:
-    parts = validation.combinatorial_folds(sparse_events(spark, folder), 6, 2, 0.02)
+    parts = validation.combinatorial_folds(all_labels(spark, folder), 6, 2, 0.02)
     n = lambda p: F.count(F.when(F.col("part") == p, 1)).alias(f"n_{p}")
     return parts.groupBy("symbol", "combo").agg(n("test"), n("out"), n("train"))
 
 
-@query(f"WITH {sql.EVENTS}, {GROUPS.format(n=5)} SELECT symbol, fold::INT AS fold, 0::BIGINT AS n_overlaps FROM bo")
+@query(f"""WITH {sql.EVENTS}, {GROUPS.format(n=5)}, hu AS (SELECT symbol, fold, min(t0) AS a, max(t1) AS b FROM jd WHERE test GROUP BY ALL)
+SELECT jd.symbol, jd.fold::INT AS fold, count(*) FILTER (NOT test AND NOT pur AND NOT emb AND t1 >= a AND t0 <= b) AS n_overlaps,
+  count(*) FILTER (NOT test AND t1 >= a AND t0 <= b) AS n_before_purge FROM jd JOIN hu ON hu.symbol = jd.symbol AND hu.fold = jd.fold GROUP BY ALL""")
 def cv_overlap_count(spark: SparkSession, folder: str) -> DataFrame:
-    return validation.overlaps(validation.purged_folds(sparse_events(spark, folder), 5, 0.02))
+    return validation.overlaps(validation.purged_folds(all_labels(spark, folder), 5, 0.02))
 
 
 @query(f"""WITH {sql.EVENTS}, o AS (SELECT symbol, t0, row_number() OVER (PARTITION BY symbol ORDER BY t0) AS p, floor(count(*) OVER (PARTITION BY symbol) * 0.05) AS s, max(t0) OVER (PARTITION BY symbol) AS last FROM ev)
 SELECT a.symbol, a.t0, coalesce(b.t0, a.last) AS embargo_until FROM o a LEFT JOIN o b ON b.symbol = a.symbol AND b.p = a.p + a.s""")
 def embargo_times(spark: SparkSession, folder: str) -> DataFrame:
-    return validation.embargo_times(sparse_events(spark, folder), 0.05)
+    return validation.embargo_times(all_labels(spark, folder), 0.05)
 
 
-@query(f"""WITH {sql.EVENTS}, {PROBS} SELECT symbol, count(*) AS n, count(*) FILTER (bin IS NULL OR ret IS NULL) AS n_missing, round(avg(bin), 6) + 0 AS positive_rate,
+@query(f"""WITH {sql.EVENTS}, {sql.PROBS} SELECT symbol, count(*) AS n, count(*) FILTER (bin IS NULL OR ret IS NULL) AS n_missing, round(avg(bin), 6) + 0 AS positive_rate,
 count(*) FILTER (t1 < t0) AS n_reversed, stddev_pop(bars_held) = 0 AS constant_feature FROM pe GROUP BY symbol""")
 def dataset_sanity(spark: SparkSession, folder: str) -> DataFrame:
-    df = with_probabilities(sparse_events(spark, folder))
+    df = scored(spark, folder)
     return df.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("bin").isNull() | F.col("ret").isNull(), 1)).alias("n_missing"),
         rounded(F.avg("bin")).alias("positive_rate"), F.count(F.when(F.col("t1") < F.col("t0"), 1)).alias("n_reversed"),
@@ -192,4 +200,4 @@ c AS (SELECT g.symbol, g.a, g.b, count(*) AS c FROM g JOIN ev e ON e.symbol = g.
 SELECT e.symbol, e.t0, round(sum((c.b - c.a) / c.c) / (any_value(epoch_us(e.t1) - epoch_us(e.t0)) / 1e6), 6) + 0 AS uniq FROM ev e
 JOIN c ON c.symbol = e.symbol AND epoch_us(e.t0) / 1e6 <= c.a AND epoch_us(e.t1) / 1e6 >= c.b GROUP BY ALL""")
 def time_weighted_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(metrics.time_uniqueness(sparse_events(spark, folder)), "uniq", keys=("symbol", "t0"))
+    return shown(metrics.time_uniqueness(all_labels(spark, folder)), "uniq", keys=("symbol", "t0"))

@@ -17,17 +17,17 @@ from barflow.sources import bars as source
 GOOD, BAD = ("with", "avec", "mit", "para"), ("not", "pas", "nicht", "no")
 
 
-def _hits(words: tuple[str, ...], col: str = "title") -> str:
+def _hits(words: tuple[str, ...], col: str = "body") -> str:
     return " + ".join(f"regexp_matches(lower({col}), '(^|[^a-z0-9]){w}([^a-z0-9]|$)')::INT" for w in words)
 
 
 _SENT = f"(CASE WHEN ({_hits(GOOD)}) + ({_hits(BAD)}) = 0 THEN 0 ELSE (({_hits(GOOD)}) - ({_hits(BAD)}))::DOUBLE / (({_hits(GOOD)}) + ({_hits(BAD)})) END)"
-_TOKENS = "list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9一-鿿 ]', ' ', 'g'), ' '), lambda x: x <> ''))"
+_TOKENS = "list_distinct(list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9一-鿿 ]', ' ', 'g'), ' '), lambda x: x <> ''))"
 
 
 @query(f"WITH {sql.NEWS} SELECT item_id, round({_SENT}, 6) + 0 AS sentiment FROM items")
 def lexicon_sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    return news.items(spark, folder).select("item_id", rounded(T.sentiment(F.col("title"), GOOD, BAD)).alias("sentiment"))
+    return news.items(spark, folder).select("item_id", rounded(T.sentiment(F.col("body"), GOOD, BAD)).alias("sentiment"))
 
 
 @query("""SELECT doc_id AS item_id, list_sort(CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'ing') THEN CASE WHEN contains(lower(text), 'ment') THEN ['EN', 'FR'] ELSE ['EN'] END
@@ -47,9 +47,9 @@ def language_ratio(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {sql.NEWS}, b AS (SELECT item_id, symbol, published_at::DATE AS day, {_TOKENS} AS w FROM items)
 SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) + 0 AS similarity
 FROM b x JOIN b y ON x.symbol = y.symbol AND x.day = y.day AND x.item_id < y.item_id
-WHERE len(x.w) > 0 AND len(y.w) > 0 AND len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.3""")
+WHERE len(x.w) > 0 AND len(y.w) > 0 AND len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.6""")
 def token_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return news.similar_pairs(news.items(spark, folder), 0.3).select("a", "b", rounded(F.col("similarity")).alias("similarity"))
+    return news.similar_pairs(news.items(spark, folder), 0.6).select("a", "b", rounded(F.col("similarity")).alias("similarity"))
 
 
 _PANEL = f"""sn AS (SELECT *, 1 AS corroboration, {_SENT} AS s,
@@ -63,7 +63,7 @@ def plain_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
-    return news.bucket_panel(plain_items(spark, folder), T.sentiment(F.col("title"), GOOD, BAD))
+    return news.bucket_panel(plain_items(spark, folder), T.sentiment(F.col("body"), GOOD, BAD))
 
 
 @query(f"""WITH {sql.NEWS}, {_PANEL} SELECT symbol, bucket_end, sentiment + 0 AS sentiment, n_items, max_authority, corroboration, '情绪:' || CASE WHEN raw > 0.15 THEN '偏多' WHEN raw < -0.15 THEN '偏空' ELSE '中性' END
@@ -85,9 +85,29 @@ def asof_ttl_decay(spark: SparkSession, folder: str) -> DataFrame:
     return shown(df, "news_sentiment", "news_sentiment_raw", "news_n_items", "news_max_authority", "news_age_hours", "has_recent_news")
 
 
-@query(f"WITH {_ALIGNED} SELECT symbol, round(avg(fresh::INT), 6) + 0 AS news_coverage FROM fr GROUP BY symbol")
+@query(f"WITH {_ALIGNED} SELECT symbol, round(avg(fresh::INT), 6) + 0 AS news_coverage, CASE WHEN avg(fresh::INT) < 0.9 THEN 'low_news_coverage' END AS tag FROM fr GROUP BY symbol")
 def news_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(news.coverage(news.align_panel(source.hourly(spark, folder), panel(spark, folder))), "news_coverage", keys=("symbol",))
+    return shown(news.coverage(news.align_panel(source.hourly(spark, folder), panel(spark, folder)), 0.9), "news_coverage", keys=("symbol", "tag"))
+
+
+@query(f"""WITH {sql.NEWS}, w AS (SELECT *, symbol || ',' || ['view', 'click', 'error'][item_id % 3 + 1] AS symbols FROM items)
+SELECT item_id, published_at, source, symbols FROM w WHERE published_at BETWEEN '2024-01-05' AND '2024-01-25' AND list_contains(string_split(symbols, ','), 'view')
+AND lower(trim(coalesce(source, ''))) <> 'src1' AND NOT starts_with(lower(trim(coalesce(source, ''))), 'src1:')""")
+def corpus_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of three weeks that name one of two symbols, without those of a marked source."""
+    second = F.get(F.array(*[F.lit(x) for x in ("view", "click", "error")]), F.pmod("item_id", F.lit(3)).cast("int"))
+    rows = news.items(spark, folder).withColumn("symbols", F.concat_ws(",", "symbol", second))
+    return news.select_items(rows, "2024-01-05", "2024-01-25", "view", marker="src1").select("item_id", "published_at", "source", "symbols")
+
+
+@query("SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS at FROM events")
+def timestamp_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    """Times of ticks, written in the spellings that feeds use and read again."""
+    rows = spark.read.parquet(f"{folder}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("t"))
+    feed, iso = F.date_format("t", "d MMM yyyy HH:mm:ss"), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss")
+    spelt = (F.concat(F.date_format("t", "EEE"), F.lit(", "), feed, F.lit(" GMT")), F.concat(feed, F.lit(" +0000")), F.concat(iso, F.lit("Z")), iso)
+    written = F.get(F.array(*spelt), F.pmod("event_id", F.lit(4)).cast("int"))
+    return rows.select("event_id", T.parse_time(written).cast("timestamp_ntz").alias("at"))
 
 
 @query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id) AS k FROM documents) SELECT doc_id, source, n_chars FROM x WHERE k = 1""")
@@ -121,10 +141,10 @@ def chat_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def dedup_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Point-in-time corroboration of similar headlines."""
-    return news.snapshots(news.items(spark, folder))
+    """Point-in-time corroboration of similar reports."""
+    return news.snapshots(news.items(spark, folder)).drop("body")
 
 
 @query()
 def corroborated_panel(spark: SparkSession, folder: str) -> DataFrame:
-    return news.bucket_panel(news.snapshots(news.items(spark, folder)), T.sentiment(F.col("title"), GOOD, BAD))
+    return news.bucket_panel(news.snapshots(news.items(spark, folder)), T.sentiment(F.col("body"), GOOD, BAD))

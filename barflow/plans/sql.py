@@ -32,8 +32,7 @@ SIDES = f"""sided AS (SELECT *, CASE WHEN close / lag(close, 24) OVER w - 1 >= 0
   WHEN close / lag(close, 24) OVER w - 1 < 0 THEN -1.0::DOUBLE END AS side, atr_14 / nullif(close, 0) AS trgt,
   row_number() OVER w AS rn FROM atr {W})"""
 #: Triple-barrier labels of every bar, by a range join on row numbers.
-LABELS = f"""{BARS}, {ATR}, {SIDES},
-cand AS (SELECT a.symbol, a.rn, a.ts AS t0, a.side, a.trgt, a.close, e.ts AS te, e.close AS ce,
+LABELLED = """cand AS (SELECT a.symbol, a.rn, a.ts AS t0, a.side, a.trgt, a.close, e.ts AS te, e.close AS ce,
   a.close + a.side * 1.5::DOUBLE * greatest(a.trgt, 0) * a.close AS tp, a.close - a.side * 1.5::DOUBLE * greatest(a.trgt, 0) * a.close AS sl
   FROM sided a JOIN sided e ON e.symbol = a.symbol AND e.rn = a.rn + 24 WHERE a.side IS NOT NULL AND a.trgt > 0),
 touch AS (SELECT c.symbol, c.rn,
@@ -48,8 +47,14 @@ held AS (SELECT *, CASE WHEN stopped THEN s WHEN t IS NOT NULL THEN t ELSE 24 EN
 labels_all AS (SELECT h.symbol, h.t0, b.ts AS t1, h.side, h.trgt, h.close, h.ret, h.rn AS r0, h.rn + h.held AS r1,
   CASE WHEN stopped THEN 0 WHEN t IS NOT NULL THEN 1 ELSE (ret > 0)::INT END AS bin, held::INT AS bars_held
   FROM held h JOIN sided b ON b.symbol = h.symbol AND b.rn = h.rn + h.held)"""
-#: Every sixth label, for the operators that read sparse events.
-EVENTS = f"{LABELS}, ev AS (SELECT * FROM labels_all WHERE r0 % 6 = 0)"
+LABELS = f"{BARS}, {ATR}, {SIDES}, {LABELLED}"
+#: All labels, by the name that the statements on events read.
+EVENTS = f"{LABELS}, ev AS (SELECT * FROM labels_all)"
+#: What the hit-rate expert says of each event: wins among the last 20 labels of its symbol and side that had ended.
+PROBS = """en AS (SELECT symbol, side, t1, t0, sum(bin) OVER x AS wins, count(*) OVER x AS n FROM ev WINDOW x AS (PARTITION BY symbol, side ORDER BY t1, t0 ROWS 19 PRECEDING)),
+el AS (SELECT symbol, side, t1, arg_max(wins, t0) AS wins, arg_max(n, t0) AS n FROM en GROUP BY ALL),
+pe AS (SELECT ev.*, round((coalesce(el.wins, 0) + 1) / (coalesce(el.n, 0) + 2), 4) AS prob, coalesce(el.n, 0) = 20 AS confident
+  FROM ev ASOF LEFT JOIN el ON el.symbol = ev.symbol AND el.side = ev.side AND ev.t0 >= el.t1)"""
 NEWS = """items AS (SELECT doc_id AS item_id, TIMESTAMP '2024-01-01' + to_minutes((doc_id * 37) % 43200) AS published_at,
-  substring(text, 1, 60) AS title, source, (1 + doc_id % 4)::INT AS tier,
+  string_split(coalesce(text, ''), chr(10))[1] AS title, coalesce(text, '') AS body, source, (1 + doc_id % 4)::INT AS tier,
   ['click', 'error', 'purchase', 'signup', 'view'][doc_id % 5 + 1] AS symbol FROM documents)"""
