@@ -137,6 +137,7 @@ def links(
         F.count(F.lit(1)).alias("size"), F.max_by(F.struct(*payload), F.struct("n", "node")).alias("hub")
     ).filter("size > 1")
     hubs = cut(hubs.select("key", "hub.*"))
+    free_shuffles(rows.sparkSession)
     pairs = lambda df, x, y: df.select(F.col(f"{x}.node").alias("src"), F.col(f"{y}.node").alias("dst")).distinct()
     near_hub = rows.alias("x").join(hubs.alias("h"), F.col("x.key") == F.col("h.key"))
     spokes = verify(pairs(near_hub.filter((F.col("x.node") != F.col("h.node")) & close("x", "h")), "x", "h"))
@@ -288,7 +289,9 @@ def _alike(texts: DataFrame, nodes: DataFrame, similarity: float) -> Callable[[D
         near = cut(pairs)
         ends = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         chosen = cut(nodes.join(ends, "node", "left_semi").select("node", "row_id", "row_hash"))
+        free_shuffles(near.sparkSession)
         sets = cut(texts.join(chosen, ["row_id", "row_hash"]).select("node", "text").mapInPandas(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+        free_shuffles(near.sparkSession)
         of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s_{end}"))
         both = F.size(F.array_intersect("s_src", "s_dst"))
         alike = cut(
@@ -312,6 +315,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: s
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), *row_key(id_col, text_col), whole_text(text_col).alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(_hot(texts, similarity))
+    free_shuffles(docs.sparkSession)
     wide = cut(texts.mapInPandas(_profiles(hot, similarity), "id long, row_id long, row_hash long, node long, size int, keys array<long>, parity array<long>"))
     who = cut(wide.select("id", "row_id", "row_hash", "node"))
     nodes = cut(
@@ -324,6 +328,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: s
     free_shuffles(docs.sparkSession)
     shared = cut(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key"))
     met = cut(nodes.select(F.posexplode("keys").alias("place", "key"), "node").join(shared, "key", "left_semi"))
+    slim = cut(nodes.drop("keys"))
+    discard(nodes)
+    nodes = slim
     free_shuffles(docs.sparkSession)
     rows = cut(met.join(nodes.select("node", "n", "size", "parity"), "node").select("key", "node", "n", "place", "size", "parity"))
     discard(shared, met)
