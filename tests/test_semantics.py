@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barflow.functions import text as T
-from barflow.operators import backtest, ewm, features, labels, metrics, news, validation
+from barflow.operators import backtest, calibration, ewm, features, labels, learning, metrics, news, validation
 from barflow.operators.asof import asof
 from barflow.operators.backtest import Rules
 
@@ -83,7 +83,7 @@ def test_corroboration_is_point_in_time(spark):
     items = spark.createDataFrame(
         [(1, "s", hour(0), "big coin fund approved today", "a:x", 3), (2, "s", hour(6), "big coin fund approved today!", "b", 1)],
         "item_id long, symbol string, published_at timestamp_ntz, title string, source string, tier int",
-    )
+    ).withColumn("body", F.col("title"))
     got = {r["item_id"]: (r["corroboration"], r["tier"], r["sources"]) for r in news.snapshots(items).collect()}
     assert got == {1: (1, 3, "a"), 2: (2, 1, "a,b")}
 
@@ -134,8 +134,9 @@ def test_ledger_reconciles_and_exposure_is_capped(spark, sf_dir):
 def test_no_train_label_meets_the_test_fold(spark, sf_dir):
     from barflow.plans import labels as plans
 
-    folds = validation.purged_folds(plans.sparse_events(spark, sf_dir), 5, 0.02)
-    assert validation.overlaps(folds).agg(F.sum("n_overlaps")).first()[0] == 0
+    folds = validation.purged_folds(plans.all_labels(spark, sf_dir), 5, 0.02)
+    row = validation.overlaps(folds).agg(F.sum("n_overlaps"), F.sum("n_before_purge")).first()
+    assert row[0] == 0 and row[1] > 0
 
 
 def test_features_do_not_read_the_future(spark, sf_dir):
@@ -178,9 +179,95 @@ def test_weights_of_fractional_differences():
     assert len(features.ffd_weights(0.4, 1e-4)) == 282 and len(features.ffd_weights(0.4, 1e-2)) == 11
 
 
-def test_deflated_sharpe():
-    assert metrics.deflated_sharpe(0.0, 50, 100) < 0.05 < 0.5 < metrics.deflated_sharpe(0.9, 50, 100)
-    assert metrics.deflated_sharpe(0.1, 50, 1) is None
+def test_deflated_sharpe(spark):
+    from statistics import NormalDist
+
+    rows = spark.createDataFrame([(0.0, 100), (0.9, 100), (0.1, 1)], "sr double, n long")
+    low, high, none = (r[0] for r in rows.select(metrics.deflated_sharpe(F.col("sr"), 50, F.col("n"))).collect())
+    assert low < 0.05 < 0.5 < high and none is None
+    z = spark.createDataFrame([(float(x) / 4,) for x in range(-20, 21)], "z double")
+    assert all(r[1] == pytest.approx(NormalDist().cdf(r[0]), abs=1e-7) for r in z.select("z", metrics.normal_cdf(F.col("z"))).collect())
+
+
+def labelled(spark, bins, ahead=2):
+    rows = [("s", hour(k), hour(k + ahead), 1.0, 0.01 if b else -0.01, b, ahead) for k, b in enumerate(bins)]
+    return spark.createDataFrame(rows, "symbol string, t0 timestamp_ntz, t1 timestamp_ntz, side double, ret double, bin int, bars_held int")
+
+
+def test_the_expert_reads_ended_labels_only(spark):
+    bins = [(k * 7) % 3 > 0 for k in range(40)]
+    got = {r["t0"]: r for r in learning.hit_rate(labelled(spark, list(map(int, bins))), last=5).collect()}
+    for k in range(40):
+        ended = [b for j, b in enumerate(bins) if j + 2 <= k][-5:]
+        assert got[hour(k)]["prob"] == pytest.approx(round((sum(ended) + 1) / (len(ended) + 2), 4), abs=1e-9)
+        assert got[hour(k)]["confident"] == (len(ended) == 5)
+
+
+def test_a_day_is_halted_by_its_own_losses(spark):
+    from math import log
+
+    rules = Rules(fee=0, slip=0, kelly=10.0, max_position=0.3, daily_drawdown=0.05)
+    rows = [("s", hour(k), hour(k + 1), 1.0, log(0.8), 0, 1, 0.9, True) for k in range(4)] + [("s", hour(24 + k), hour(25 + k), 1.0, log(0.99), 0, 1, 0.9, True) for k in range(3)]
+    got = backtest.independent(events(spark, rows), rules).orderBy("t0").collect()
+    assert [r["halted"] for r in got] == [False, True, True, True, False, False, False]
+    assert got[3]["equity"] == pytest.approx(0.94) and got[6]["equity"] == pytest.approx(0.94 * 0.997**3)
+
+
+def test_weak_and_frozen_experts_stay_out(spark):
+    rows = []
+    for k in range(60):
+        b = k % 2
+        rows += [("s", hour(k), hour(k + 1), "good", 0, 0.4 + 0.2 * b, b, 1.0), ("s", hour(k), hour(k + 1), "bad", 0, 0.6 - 0.2 * b, b, 1.0), ("s", hour(k), hour(k + 1), "frozen", 0, float(b), b, 1.0)]
+    oof = spark.createDataFrame(rows, "symbol string, t0 timestamp_ntz, t1 timestamp_ntz, expert string, fold int, prob double, bin int, w double")
+    got = {r["expert"]: (r["kept"], r["reason"]) for r in learning.select_experts(oof, pseudo=("frozen",)).collect()}
+    assert got == {"good": (True, None), "bad": (False, "low_auc"), "frozen": (False, "not_refitted_in_folds")}
+    only = {r["expert"]: (r["kept"], r["reason"]) for r in learning.select_experts(oof.filter("expert = 'bad'")).collect()}
+    assert only == {"bad": (True, "best_of_weak_experts")}
+
+
+def test_few_rows_are_said_to_be_few(spark):
+    rows = [("s", hour(k), hour(k + 1), "a", k % 2, 0.5 + 0.01 * k, k % 2, 1.0) for k in range(3)]
+    oof = spark.createDataFrame(rows, "symbol string, t0 timestamp_ntz, t1 timestamp_ntz, expert string, fold int, prob double, bin int, w double")
+    assert all(r["fallback"] for r in learning.stack(oof).collect())
+    one_class = labelled(spark, [1] * 30).withColumn("prob", F.lit(0.6))
+    got = calibration.cross_fit(one_class).collect()
+    assert all(r["confident"] and r["tag"] == "conformal_fold_skipped" and r["calibrated"] == 1.0 for r in got)
+    few = calibration.cross_fit(labelled(spark, [1, 0, 1]).withColumn("prob", F.lit(0.6))).collect()
+    assert all(r["calibrated"] is None and r["confident"] for r in few)
+    _, said = calibration.deploy_fit(labelled(spark, [1, 0] * 10).withColumn("prob", F.lit(0.6)))
+    assert said.first()["tag"] == "fitted_and_judged_on_the_same_rows"
+
+
+def test_isotonic_fit_pools_what_falls(spark):
+    rows = [("s", 0.1, 0)] * 4 + [("s", 0.3, 1)] * 2 + [("s", 0.4, 0)] * 2 + [("s", 0.8, 1)] * 3
+    fit = calibration.isotonic(spark.createDataFrame(rows, "symbol string, prob double, bin int"), "prob", "bin", ["symbol"])
+    got = {r["point"]: r["value"] for r in fit.collect()}
+    assert len(got) == 101 and (got[0], got[10], got[30], got[40], got[80], got[100]) == (0, 0, 0.5, 0.5, 1, 1)
+    assert got[20] == pytest.approx(0.25) and got[60] == pytest.approx(0.75)
+
+
+def test_early_stopping_never_validates_on_the_future(spark):
+    split = learning.early_stop_split(labelled(spark, [1, 0] * 20), F.lit(hour(20)), 0.25).collect()
+    chosen = [r["t0"] for r in split if r["is_val"]]
+    assert chosen and max(chosen) < hour(20) and all(r["t1"] < hour(20) for r in split if r["is_val"])
+
+
+def test_schema_mismatch_holds_and_sources_are_refused(spark):
+    bars = prices(spark, [100, 101])
+    df, missing = features.align_schema(bars, ["close", "x", "y"])
+    rows = backtest.hold_for_schema(df, missing).collect()
+    assert missing == ["x", "y"] and all(r["signal"] == "HOLD" and r["stop_loss"] is None and not r["confident"] for r in rows)
+    assert backtest.hold_for_schema(bars, []).count() == 0
+    news.check_sources(True, True)
+    for bad in ((False, True, ()), (False, False, ("synthetic",))):
+        with pytest.raises(ValueError):
+            news.check_sources(*bad)
+
+
+def test_times_in_the_spellings_of_feeds(spark):
+    rows = spark.createDataFrame([("Mon, 1 Jan 2024 10:00:00 GMT",), ("1 Jan 2024 12:00:00 +0200",), ("2024-01-01T10:00:00Z",), ("soon",), (None,)], "t string")
+    got = [r[0] for r in rows.select(F.date_format(T.parse_time(F.col("t")), "yyyy-MM-dd HH:mm")).collect()]
+    assert got == ["2024-01-01 10:00"] * 3 + [None, None]
 
 
 def test_the_audit_passes(spark, sf_dir):
