@@ -185,10 +185,14 @@ def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     neither shape nor context alone tells the classes apart. The documents are those of
     least hash; ``fold`` is 0 to 4 by hash, to hold findings out.
     """
-    chosen = docs.select(
-        F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.filter(words_of(whole_text(text_col)), lambda w: F.length(w) < 12).alias("w"),
-        F.xxhash64(F.col(id_col).cast("string"), whole_text(text_col)).alias("h"),
-    ).orderBy("h").limit(most)
+    words = F.slice(F.filter(words_of(whole_text(text_col)), lambda w: F.length(w) < 12), 1, 6)
+    h = F.xxhash64(F.col(id_col).cast("string"), whole_text(text_col))
+    # Little more than ``most`` rows, and few words of each, are left to be put in order.
+    share = 1.2 * most / max(docs.count(), 1)
+    chosen = docs.select(F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), h.alias("h"), words.alias("w"))
+    if share < 1:
+        chosen = chosen.filter(F.shiftrightunsigned("h", 32) < int(share * 2**32))
+    chosen = chosen.orderBy("h").limit(most)
     part = lambda k, n: F.pmod(F.xxhash64("h", F.lit(k)), F.lit(n)).cast("int")
     hexes, packed = F.sha2(F.col("h").cast("string"), 256), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("h").cast("string")), 256)))
     plain = F.regexp_replace(packed, "[+/=]", "x")
