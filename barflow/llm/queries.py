@@ -13,7 +13,7 @@ BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "edge_source")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

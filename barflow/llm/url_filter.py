@@ -53,10 +53,11 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", domain_edges: bool = True) -> DataFrame:
-    """(src, dst, weight) between different hosts: pages that link from one to the other.
+    """(src, dst, weight, links) between different hosts; ``links`` counts the hyperlinks from one's pages to the other.
 
     With ``domain_edges``, a host and its parent domain (of three labels or more) count
-    as linked both ways with weight 1, so what is known of a site reaches its subdomains.
+    as linked both ways with weight 1, so what is known of a site reaches its subdomains;
+    such an edge alone has no ``links``.
     """
     found = F.regexp_extract_all(
         F.coalesce(html_col, F.lit("")), F.lit(r"""(?is)\b(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""), F.lit(1)
@@ -64,6 +65,7 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", d
     links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.array_distinct(found)).alias("link"))
     links = links.select("src", host_of(F.concat(F.when(F.col("link").startswith("//"), "http:").otherwise(""), "link")).alias("dst"))
     edges = links.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    edges = edges.withColumn("links", F.col("weight").cast("long"))
     if not domain_edges:
         return edges
     hosts = pages.select(host_of(F.col(url_col)).alias("host")).distinct()
@@ -71,16 +73,16 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", d
     both = up.select(F.explode(F.array(
         F.struct("host", "parent"), F.struct(F.col("parent").alias("host"), F.col("host").alias("parent"))
     )).alias("e"))
-    both = both.select(F.col("e.host").alias("src"), F.col("e.parent").alias("dst"), F.lit(1.0).alias("weight"))
-    return edges.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    both = both.select(F.col("e.host").alias("src"), F.col("e.parent").alias("dst"), F.lit(1.0).alias("weight"), F.lit(0).cast("long").alias("links"))
+    return edges.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.sum("links").alias("links"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust) after personalised PageRank from seeds (host, trusted, blocked).
 
     Seed weights are shares of all judged pages, so the two scores of a host compare.
-    A host without out-edges passes its score back to the seeds' own restart, that is,
-    it keeps nothing for others.
+    What a host without out-edges would pass on is dropped, so scores sum up to less than
+    the seeds' weight; to give it back to the seeds would scale each side by a constant.
     """
     flows = edges.select(F.lit("t").alias("kind"), "src", "dst", "weight").union(
         edges.select(F.lit("d"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -124,7 +126,9 @@ def judge(
     Without a rule, the host's scores decide; a host that neither trust nor distrust
     reaches is allowed. A null url, or one without ``://``, has an empty host and path and
     is allowed; null html has no links. Repeated pages each get a row and count as often
-    as they occur. Extra columns are not read.
+    as they occur. Extra columns are not read. ``edge_source`` says what the host's scores
+    may rest on: links, if a hyperlink joins it with another host, domains, if only its
+    parent or a subdomain does, else null.
     """
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -133,11 +137,15 @@ def judge(
     seeds = parts.filter("host <> '' and _rule is not null").groupBy("host").agg(
         count("allow").alias("trusted"), count("block").alias("blocked")
     )
-    scores = propagate(host_edges(pages, url_col, html_col), cut(seeds))
+    edges = cut(host_edges(pages, url_col, html_col))
+    scores = propagate(edges, cut(seeds))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("host"), "links").groupBy("host").agg(
+        F.when(F.max("links") > 0, "links").otherwise("domains").alias("edge_source")
+    )
     share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
     named = cut(scores.select("host", "trust", "distrust", (share > block_share).alias("_blocked")))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked"), "block"), F.lit("allow"))
-    return parts.join(named, "host", "left").select(
+    return parts.join(named, "host", "left").join(cut(ends), "host", "left").select(
         F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"),
-        F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
+        F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "edge_source",
     )

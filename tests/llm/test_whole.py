@@ -1,8 +1,9 @@
 """Rows that shortcuts of the training-data operators used to lose."""
 
 import numpy as np
+import pytest
 
-from barflow.llm import decontamination, line_dedup, simhash
+from barflow.llm import decontamination, line_dedup, simhash, url_filter
 
 
 def test_every_pair_at_the_similarity_is_found(spark):
@@ -113,3 +114,52 @@ def test_items_without_id_and_of_one_or_two_words(spark):
     no = (False, 0, None)
     assert got == {1: (True, 1, None), 2: (True, 2, 1), 3: no, 4: (True, 1, 2), 5: no, 6: no, 7: no}
     assert {r["doc_id"] for r in decontamination.drop_leaked(docs, bench).collect()} == {3, 5, 6, 7}
+
+
+def test_verdicts_on_linked_hosts(spark):
+    """All of judge on pages with hyperlinks between hosts, against plain Python."""
+    rng = np.random.default_rng(31)
+    hosts = ["good.org", "a.net", "b.net", "c.net", "d.net", "shop.com", "e.net", "f.net", "www.f.net", "x.www.f.net", "lonely.net"]
+    rows, edges, seeds = [], {}, {}
+    for k in range(160):
+        host = hosts[int(rng.integers(0, len(hosts)))]
+        path = {"good.org": "/", "shop.com": ("/de/", "/fr/", "/x/")[int(rng.integers(0, 3))]}.get(host, "/p")
+        # a to d link among themselves and to good.org, e and f to shop.com, nobody to lonely.net
+        to = {"a.net": ["good.org", "b.net"], "b.net": ["c.net"], "good.org": ["a.net", "d.net"], "e.net": ["shop.com"], "f.net": ["e.net", "shop.com"]}.get(host, [])
+        to = [t for t in to if rng.random() < 0.8]
+        rows.append((k, f"https://{host}{path}{k}", "".join(f'<a href="http://{t}/{k}">x</a>' for t in to)))
+        for t in to:
+            edges[host, t] = edges.get((host, t), 0) + 1
+        rule = {"good.org": "allow", "shop.com": {"/de/": "block", "/fr/": "allow"}.get(path)}.get(host)
+        if rule:
+            seeds[rule, host] = seeds.get((rule, host), 0) + 1
+    linked = {h for e in edges for h in e}
+    for child, parent in (("www.f.net", None), ("x.www.f.net", "www.f.net")):
+        if parent and any(h in url for _, url, _ in rows for h in (f"//{child}/",)):
+            edges[child, parent] = edges.get((child, parent), 0) + 1
+            edges[parent, child] = edges.get((parent, child), 0) + 1
+    total, score = sum(seeds.values()), {}
+    for kind, verdict in (("t", "allow"), ("d", "block")):
+        flow = {(s, t) if kind == "t" else (t, s): w for (s, t), w in edges.items()}
+        out, seed = {}, {h: n / total for (v, h), n in seeds.items() if v == verdict}
+        for (s, _), w in flow.items():
+            out[s] = out.get(s, 0) + w
+        now = dict(seed)
+        for _ in range(url_filter.ROUNDS):
+            then = {h: 0.15 * x for h, x in seed.items()}
+            for (s, t), w in flow.items():
+                then[t] = then.get(t, 0) + 0.85 * now.get(s, 0) * w / out[s]
+            now = then
+        score[kind] = now
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    blocked = 0
+    for k, url, _ in rows:
+        host, _, path = url.removeprefix("https://").partition("/")
+        t, d = score["t"].get(host, 0), score["d"].get(host, 0)
+        assert (got[k]["trust"], got[k]["distrust"]) == (pytest.approx(t), pytest.approx(d))
+        rule = "allow" if host == "good.org" else {"de": "block", "fr": "allow"}.get(path[:2]) if host == "shop.com" else None
+        method = "block" if t + d and d / (t + d) > url_filter.BLOCK_SHARE else "allow"
+        assert got[k]["verdict"] == (rule or method)
+        assert got[k]["edge_source"] == ("links" if host in linked else "domains" if host.endswith("www.f.net") else None)
+        blocked += rule is None and method == "block"
+    assert blocked > 10
