@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.operators import backtest, ewm, metrics, validation
 from barflow.operators.backtest import Rules
+from barflow.stored import stored
 
 
 def check(df: DataFrame, name: str, value: Column, holds) -> DataFrame:
@@ -18,9 +19,10 @@ def check(df: DataFrame, name: str, value: Column, holds) -> DataFrame:
 
 
 def audit(bars: DataFrame, events: DataFrame, rules: Rules, folds: int = 5, embargo: float = 0.02) -> DataFrame:
-    """(name, status, value) for every check; nothing is collected."""
+    """(name, status, value) for every check; nothing is collected. What several checks read is stored once."""
+    events, bars = stored(events), stored(bars)
     split = validation.purged_folds(events, folds, embargo)
-    detail = backtest.portfolio(events, bars, rules)
+    detail = stored(backtest.portfolio(events, bars, rules))
     points = backtest.portfolio(events, bars, rules, "points").filter("equity is not null")
     ends = points.groupBy("symbol").agg(F.max_by("equity", F.struct("ts", "seq")).alias("end"))
     sums = detail.groupBy("symbol").agg((1 + F.sum(F.col("entry_equity") * F.col("pnl"))).alias("total"))
