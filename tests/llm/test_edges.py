@@ -68,6 +68,19 @@ def test_pipeline_stages(spark, folders, kind):
             assert not rows
 
 
+def test_stages_one_after_another(spark, folders, tmp_path):
+    """Rule failures go, lines stay, one of the equal sets stays, the benchmark's text goes, and what is left is encoded."""
+    docs = spark.read.parquet(f"{folders['odd']}/documents.parquet")
+    left = {"quality_rules": ["1", "1", "6", "None"], "line_dedup": ["1", "1", "6", "None"], "simhash_near_dedup": ["1", "None"], "decontamination": ["None"]}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folders["odd"]).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name in left:
+            assert sorted(str(r["doc_id"]) for r in docs.collect()) == left[name]
+    row = docs.collect()[0]
+    assert docs.count() == 1 and row["round_trip"] and row["n_tokens"] == len(row["ids"]) > 0
+
+
 def test_equal_sets_keep_one_and_ids_may_be_null(spark):
     rows = spark.createDataFrame(ROWS, SCHEMA)
     got = simhash.keep_one(rows).collect()
