@@ -36,8 +36,8 @@ MIN_SCORE, MISMATCH = 10, 2
 SAME, MIN_TOLERANT = 0.8, 6
 #: Words kept on either side of hits for the extension.
 AROUND = 256
-#: log2 of the filter's bits: at least, at most (64 MB), and the bits it should have per seed of the benchmark.
-MIN_BITS, MAX_BITS, BITS_A_SEED = 20, 29, 16
+#: log2 of the filter's bits: at least (16 MB), at most (64 MB), and the bits it should have per seed of the benchmark.
+MIN_BITS, MAX_BITS, BITS_A_SEED = 27, 29, 64
 
 _SEPARATORS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _TO_SPACE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
