@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, quality_classifier, quality_rules, secret_scan, sharding, simhash, suffix_dedup, url_filter
+from . import bpe, decontamination, language_id, line_dedup, quality_classifier, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from . import token_alignment, url_filter, whitening
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +66,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, basis = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*[F.lit(float(v)) for v in basis.explained]) if basis else F.array(F.lit(0.0))
+    return rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(basis.n if basis else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("place")).alias("explained"),
+        F.lit(basis.identity_error if basis else 0.0).alias("identity_error"),
+    )
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(language_id.sample(docs)))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = token_alignment.align(table(spark, sf_dir, "documents"), left, right, digest=True)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -76,6 +102,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_language_id": op12_language_id,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
