@@ -285,9 +285,10 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType())]
     fields += [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     run_type = pa.list_(pa.struct([("start", pa.int32()), ("n_bytes", pa.int32()), ("lang", pa.string())]))
-    schema = T.StructType(fields)
     if runs:
-        schema = schema.add("runs", "array<struct<start:int,n_bytes:int,lang:string>>")
+        one = [T.StructField("start", T.IntegerType()), T.StructField("n_bytes", T.IntegerType()), T.StructField("lang", T.StringType())]
+        fields.append(T.StructField("runs", T.ArrayType(T.StructType(one))))
+    schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
