@@ -36,6 +36,9 @@ def folders(spark, tmp_path_factory):
         spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, None), (None, "")][:n], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
         pages = [(1, "http://a.Example.com/de/1?x", '<a href="https://b.example.org/en/2">'), (None, None, None), (2, "no scheme", ""), (3, "x://", "<a href=//c>"), (1, "http://a.Example.com/de/1?x", None)]
         spark.createDataFrame(pages[:n], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "path", "rule", "_id", "kind")}).write.parquet(f"{d}/pages.parquet")
+        vectors = [(1, [0.1, 0.2]), (1, [0.1, 0.2]), (2, [0.3, -0.5]), (None, [0.5, 0.5]), (3, None), (4, [None, 0.0]), (5, [float("nan"), 0.0])]
+        embeddings = spark.createDataFrame(vectors[:n], "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("x", "_id", "n", "place")})
+        embeddings.write.parquet(f"{d}/embeddings.parquet")
         out[name] = str(d)
     return out
 
@@ -50,6 +53,8 @@ def test_queries(spark, folders, name, kind):
         assert all(r["doc_id"] == 4 or not r["is_secret"] for r in rows)
     elif name == "op1_url_filter":
         assert len(rows) == 5 and sum(r["host"] == "" for r in rows) == 3
+    elif name == "op11_embedding_whitening":
+        assert sorted(str(r["vec_id"]) for r in rows) == ["1"] * 4 + ["2"] * 2 + ["None"] * 2
     else:
         assert len(rows) == len(ROWS)
         assert [r["doc_id"] for r in rows].count(None) == 2
