@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import log
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions import windows as W
+from barflow.operators.chunks import chunked, expanding_median, folded
 
 PRIOR = 0.005
 
@@ -32,42 +29,55 @@ def barrier_target(df: DataFrame, kind: str = "atr") -> DataFrame:
     return df.withColumn("_unit", unit).withColumn("trgt", W.forward_fill(F.col("_unit"))).drop("_unit")
 
 
-def expanding_median(x: Column, min_periods: int = 50, prior: float = PRIOR) -> Column:
-    """Median of all values so far, the prior until there are ``min_periods``."""
-    frame = W.series().rowsBetween(Window.unboundedPreceding, 0)
-    enough = F.count(x).over(frame) >= max(min_periods, 5)
-    return F.coalesce(F.when(enough, F.percentile(x, 0.5).over(frame)), F.lit(prior))
-
-
-def _cusum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One pass over bars in order of symbol and time; the state is two sums and the last price."""
-    symbol = before = None
-    up = down = 0.0
-    for batch in batches:
-        hit = []
-        for s, close, limit in zip(batch["symbol"], batch["close"], batch["threshold"]):
-            if s != symbol:
-                symbol, before, up, down = s, None, 0.0, 0.0
-            move = log(close) - log(before) if before else 0.0
-            before = close
-            limit = limit if limit is not None and limit > 0 else PRIOR
-            up, down = max(0.0, up + move), min(0.0, down + move)
-            fell = down < -limit
-            rose = not fell and up > limit
-            down, up = (0.0 if fell else down), (0.0 if rose else up)
-            hit.append(fell or rose)
-        yield batch.loc[hit, ["symbol", "ts"]]
+def cusum_threshold(bars: DataFrame, value: str = "trgt") -> DataFrame:
+    """``bars`` with ``threshold``, the median of all barrier units so far."""
+    return expanding_median(bars, value, "threshold", prior=PRIOR)
+
+
+def _cusum_step(hits: bool):  # noqa: ANN202
+    """One bar: both sums after it, and with ``hits`` the times at which one left its band."""
+
+    def step(state: Column, bar: Column) -> Column:
+        move = F.coalesce(bar["log"] - state["log"], F.lit(0.0))
+        up, down = F.greatest(F.lit(0.0), state["up"] + move), F.least(F.lit(0.0), state["down"] + move)
+        fell = down < -bar["limit"]
+        rose = ~fell & (up > bar["limit"])
+        after = [
+            F.when(rose, 0.0).otherwise(up).alias("up"), F.when(fell, 0.0).otherwise(down).alias("down"), bar["log"].alias("log"),
+        ]
+        if hits:
+            after.append(F.when(fell | rose, F.concat(state["hits"], F.array(bar["ts"]))).otherwise(state["hits"]).alias("hits"))
+        return F.struct(*after)
+
+    return step
 
 
 def cusum_events(bars: DataFrame, threshold: Column) -> DataFrame:
     """(symbol, ts) where the cumulated log return leaves a symmetric band; only the side that fired starts anew.
 
-    Resets make this a true sequence, so it is folded in time order. The fold keeps two
-    numbers per symbol and never holds a symbol's rows together.
+    Resets make this a true sequence. A series is cut into stretches that are folded side by
+    side; the sums of one that began elsewhere than its predecessor ended are folded again
+    (``folded``). A sum forgets where it began as soon as it is reset or turns back to
+    zero, so two or three rounds do for prices that go up and down.
     """
-    rows = bars.select("symbol", "ts", "close", threshold.alias("threshold"))
-    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", "ts")
-    return ordered.mapInPandas(_cusum, "symbol string, ts timestamp_ntz")
+    limit = F.when(threshold > 0, threshold).otherwise(PRIOR)
+    bar = F.struct("ts", F.ln("close").alias("log"), limit.alias("limit"))
+    cut = chunked(bars.select("symbol", "ts", bar.alias("bar")))
+    steps = cut.groupBy("symbol", "_chunk").agg(F.sort_array(F.collect_list("bar")).alias("_bars"))
+    last = F.lag(F.element_at("_bars", -1)["log"]).over(Window.partitionBy("symbol").orderBy("_chunk"))
+    steps = steps.withColumn("_log", last)
+    none = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
+
+    def begin(state: Column, *more: Column) -> Column:
+        return F.struct(state["up"].alias("up"), state["down"].alias("down"), F.col("_log").alias("log"), *more)
+
+    def fold(state: Column) -> Column:
+        return F.aggregate("_bars", begin(state), _cusum_step(False), lambda s: F.struct(s["up"].alias("up"), s["down"].alias("down")))
+
+    known = folded(steps, "_state", none, fold)
+    none_yet = F.array().cast("array<timestamp_ntz>").alias("hits")
+    hits = F.aggregate("_bars", begin(F.col("_state"), none_yet), _cusum_step(True), lambda s: s["hits"])
+    return known.select("symbol", F.explode(hits).alias("ts"))
 
 
 def event_times(bars: DataFrame, threshold: Column, min_events: int = 50, lookback: int = 24) -> DataFrame:

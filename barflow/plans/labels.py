@@ -12,6 +12,7 @@ from barflow.plans import sql
 from barflow.plans.features import shown
 from barflow.plans.registry import query
 from barflow.sources import bars as source
+from barflow.stored import stored
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +47,7 @@ _THRESHOLD = """th AS (SELECT *, coalesce(CASE WHEN count(trgt) OVER (PARTITION
 
 @query(f"WITH {sql.BARS}, {sql.ATR}, {sql.SIDES}, {_THRESHOLD} SELECT symbol, ts, round(threshold, 6) + 0 AS threshold FROM th")
 def expanding_median_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(panel(spark, folder).withColumn("threshold", labels.expanding_median(F.col("trgt"))), "threshold")
+    return shown(labels.cusum_threshold(panel(spark, folder)), "threshold")
 
 
 _CUSUM = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {sql.SIDES}, {_THRESHOLD},
@@ -59,16 +60,15 @@ c AS (SELECT symbol, ts, rn, 0::DOUBLE AS up, 0::DOUBLE AS down, false AS hit FR
 
 @query(f"{_CUSUM} SELECT symbol, ts FROM c WHERE hit")
 def cusum_events(spark: SparkSession, folder: str) -> DataFrame:
-    bars = panel(spark, folder)
-    return labels.cusum_events(bars, labels.expanding_median(F.col("trgt")))
+    return labels.cusum_events(labels.cusum_threshold(panel(spark, folder)), F.col("threshold"))
 
 
 @query(f"""{_CUSUM}, n AS (SELECT symbol, count(*) FILTER (hit) AS n FROM c GROUP BY symbol)
 SELECT c.symbol, count(*) FILTER (CASE WHEN n < 400 THEN rn > 24 ELSE hit END) AS n_events, bool_or(n < 400) AS full_sampling FROM c JOIN n USING (symbol) GROUP BY c.symbol""")
 def event_sampling(spark: SparkSession, folder: str) -> DataFrame:
     """CUSUM events, or every bar where a symbol has too few of them."""
-    bars = panel(spark, folder)
-    times = labels.event_times(bars, labels.expanding_median(F.col("trgt")), min_events=400)
+    bars = stored(labels.cusum_threshold(panel(spark, folder)))
+    times = labels.event_times(bars, F.col("threshold"), min_events=400)
     return times.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_events"), F.max("full_sampling").alias("full_sampling"))
 
 
@@ -77,8 +77,8 @@ SELECT l.symbol, t0, t1, round(ret, 6) + 0 AS ret, bin, n < 50 AS full_sampling
 WHERE CASE WHEN n < 50 THEN l.r0 > 24 ELSE hit END""")
 def cusum_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of the sampled events: CUSUM events, or every bar after the lookback where a symbol has too few."""
-    bars = panel(spark, folder)
-    times = labels.event_times(bars, labels.expanding_median(F.col("trgt")), min_events=50)
+    bars = stored(labels.cusum_threshold(panel(spark, folder)))
+    times = labels.event_times(bars, F.col("threshold"), min_events=50)
     found = labels.first_touch(bars).join(times.withColumnRenamed("ts", "t0"), ["symbol", "t0"])
     return found.select("symbol", "t0", "t1", rounded(F.col("ret")).alias("ret"), "bin", "full_sampling")
 

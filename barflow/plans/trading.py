@@ -313,10 +313,10 @@ SELECT symbol, ts, CASE WHEN reason IS NOT NULL THEN 'HOLD' WHEN side > 0 THEN '
   CASE WHEN reason IS NULL THEN round(close + side * 1.5::DOUBLE * unit, 2) + 0 END AS take_profit, reason FROM r""")
 def latest_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """The decision on each symbol's last complete bar; a bar that is no sampled event is held."""
-    bars = panel(spark, folder)
+    bars = stored(labels.cusum_threshold(panel(spark, folder)))
     complete = bars.filter("side is not null and trgt is not null")
     last = source.keep_first(complete, ["symbol"], [F.desc("ts")])
-    times = labels.event_times(bars, labels.expanding_median(F.col("trgt")), min_events=50)
+    times = labels.event_times(bars, F.col("threshold"), min_events=50)
     df = learning.hit_rate(last, at="ts", history=labels.first_touch(bars))
     df = df.join(times.select("symbol", "ts", F.lit(True).alias("event")), ["symbol", "ts"], "left").withColumn("event", F.coalesce("event", F.lit(False)))
     columns = backtest.decide(F.col("prob"), F.col("side"), F.col("close"), F.col("trgt") * F.col("close"), F.col("confident"), RULES)

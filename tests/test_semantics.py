@@ -1,6 +1,10 @@
 """Known answers: barriers, visibility, accounting, folds, sizes."""
 
+import bisect
 import datetime as dt
+import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from barflow.functions import text as T
 from barflow.operators import backtest, calibration, ewm, features, labels, learning, metrics, news, validation
 from barflow.operators.asof import asof
 from barflow.operators.backtest import Rules
+from barflow.operators.chunks import expanding_median
 
 START = dt.datetime(2024, 1, 1)
 
@@ -59,10 +64,53 @@ def test_labels_beyond_the_data_are_dropped(spark):
 def test_expanding_median_starts_at_the_prior(spark):
     rows = [("s", hour(k), 0.001 if k < 60 else 0.05) for k in range(100)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, trgt double")
-    got = [r[0] for r in df.select(labels.expanding_median(F.col("trgt")).alias("m"), "ts").orderBy("ts").collect()]
+    got = [r[0] for r in expanding_median(df, "trgt", "m").orderBy("ts").select("m").collect()]
     assert got[:49] == [0.005] * 49 and got[49] == 0.001
 
 
+def plain_cusum(closes, limits):
+    up = down = 0.0
+    out = []
+    for k, (close, limit) in enumerate(zip(closes, limits)):
+        move = math.log(close) - math.log(closes[k - 1]) if k else 0.0
+        up, down = max(0.0, up + move), min(0.0, down + move)
+        fell = down < -limit
+        rose = not fell and up > limit
+        up, down = 0.0 if rose else up, 0.0 if fell else down
+        out.append(fell or rose)
+    return out
+
+
+def test_a_series_of_many_stretches_has_the_medians_and_events_of_one(spark):
+    """Noise, trends that never let a sum forget its start, ties, gaps and nulls; the longest series is cut into many stretches."""
+    rng = random.Random(5)
+    series = {
+        "noise": [100 * math.exp(rng.gauss(0, 0.1)) for _ in range(5000)], "rise": [100 * 1.003**k for k in range(3000)],
+        "fall": [100 * 0.996**k for k in range(1500)], "flat": [100.0] * 1200, "short": [100.0, 200.0],
+    }
+    rows = []
+    for name, closes in series.items():
+        for k, close in enumerate(closes):
+            x = None if rng.random() < 0.1 else rng.choice([0.01, 0.02, rng.random(), k / 1e4])
+            rows.append((name, hour(k + (4000 if k > 700 else 0)), close, x))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, x double").repartition(7)
+    got = {(r["symbol"], r["ts"]): r["m"] for r in expanding_median(df, "x", "m", 10, 0.5).collect()}
+    assert len(got) == len(rows)
+    seen = {}
+    for name, ts, _, x in rows:
+        known = seen.setdefault(name, [])
+        if x is not None:
+            bisect.insort(known, x)
+        want = statistics.median(known) if len(known) >= 10 else 0.5
+        assert got[name, ts] == pytest.approx(want, rel=1e-12)
+    found = {(r["symbol"], r["ts"]) for r in labels.cusum_events(df, F.lit(0.05)).collect()}
+    of = {}
+    for name, ts, close, _ in rows:
+        of.setdefault(name, []).append((ts, close))
+    want = {(name, ts) for name, bars in of.items() for (ts, _), hit in zip(bars, plain_cusum([c for _, c in bars], [0.05] * len(bars))) if hit}
+    assert found == want and len(want) > 500
+
+
 def test_a_coarse_bar_is_seen_once_it_has_closed(spark):
     main = spark.createDataFrame([("s", hour(k)) for k in range(8, 16)], "symbol string, ts timestamp_ntz")
     aux = spark.createDataFrame([("s", hour(8), 99.0)], "symbol string, ts timestamp_ntz, v double")
