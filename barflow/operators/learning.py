@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions import windows as W
-from barflow.operators import metrics, validation
+from barflow.operators import calibration, metrics, validation
 from barflow.operators.asof import asof
+from barflow.operators.crossfit import WHOLE, cross_fit_meta, deal, fit_units, series_key, vectors
 from barflow.stored import stored
 
 
-def vectors(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
-
-
 EXPERTS = {
     "gbdt": lambda: GBTClassifier(labelCol="bin", weightCol="w", maxIter=5, maxDepth=3, seed=42),
     "logistic": lambda: LogisticRegression(labelCol="bin", weightCol="w", regParam=0.01),
@@ -61,27 +57,25 @@ def naive_scores(bars: DataFrame, horizon: int = 24) -> DataFrame:
     return df.select("symbol", "ts", F.when(enough, score).otherwise(0.0).alias("score"))
 
 
-def out_of_fold(df: DataFrame, columns: list[str], n_folds: int = 3, experts: dict | None = None) -> DataFrame:
+def one_combination(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Events with their features as a vector, all train rows of one combination."""
+    rows = vectors(df, columns).select("symbol", "t0", "t1", "bin", "w", "features")
+    return rows.withColumns({"combo": F.lit(0), "outer": F.lit("train")})
+
+
+def made(experts: dict | None) -> dict:
+    return {name: (lambda _, make=make: make()) for name, make in (experts or EXPERTS).items()}
+
+
+def out_of_fold(df: DataFrame, columns: list[str], n_folds: int = 3, experts: dict | None = None, embargo: float = 0.01) -> DataFrame:
     """(symbol, t0, t1, expert, fold, prob, bin, w): each expert's probability for events it was not fitted on.
 
-    Folds are contiguous in time over the whole set; training rows whose labels meet the
-    test fold are purged. One Spark job per expert and fold; the driver holds models only.
+    Folds are contiguous in time; rows whose labels meet the test fold, and those of the embargo
+    after it, are not learned from. The fits run side by side; the driver holds models only.
     """
-    place = Window.partitionBy("symbol").orderBy("t0")
-    rows = vectors(df, columns).withColumn("fold", F.ntile(n_folds).over(place) - 1).select("symbol", "t0", "t1", "bin", "w", "features", "fold")
-    rows = stored(rows)
-    out = None
-    for fold in range(n_folds):
-        test = rows.filter(F.col("fold") == fold)
-        hull = test.groupBy("symbol").agg(F.min("t0").alias("a"), F.max("t1").alias("b"))
-        train = rows.filter(F.col("fold") != fold).join(F.broadcast(hull), "symbol").filter(~((F.col("t1") >= F.col("a")) & (F.col("t0") <= F.col("b"))))
-        for name, make in (experts or EXPERTS).items():
-            estimator: Estimator = make()
-            scored = estimator.fit(train).transform(test).select(
-                "symbol", "t0", "t1", F.lit(name).alias("expert"), "fold", vector_to_array("probability")[1].alias("prob"), "bin", "w"
-            )
-            out = scored if out is None else out.union(scored)
-    return stored(out)
+    dealt = deal(one_combination(df, columns), n_folds, embargo).filter(F.col("fold") != WHOLE)
+    scored, _ = fit_units(dealt, made(experts))
+    return scored.select("symbol", "t0", "t1", "expert", "fold", "prob", "bin", "w")
 
 
 def select_experts(oof: DataFrame, min_auc: float = 0.5, pseudo: tuple[str, ...] = (), min_rows: int = 20) -> DataFrame:
@@ -106,43 +100,75 @@ def select_experts(oof: DataFrame, min_auc: float = 0.5, pseudo: tuple[str, ...]
     return scores.select("expert", "auc", (~is_pseudo & (~weak | (all_weak & best))).alias("kept"), reason.alias("reason"))
 
 
-def stack(oof: DataFrame, c: float = 1.0) -> DataFrame:
-    """(symbol, t0, t1, bin, prob): a logistic meta model over the experts' probabilities, cross-fitted over folds.
+def meta_learner(c: float = 1.0):  # noqa: ANN201
+    """A logistic meta model whose penalty is that of ``c`` for the sum of the weights."""
+    return lambda unit: LogisticRegression(labelCol="bin", weightCol="w", regParam=1 / (c * (unit["w"] or 1.0)), standardization=False)
 
-    With fewer than two rows a fold the meta model is fitted and applied on the same rows,
-    and ``fallback`` says so.
+
+def stack(oof: DataFrame, c: float = 1.0, n_folds: int = 3, embargo: float = 0.01) -> DataFrame:
+    """(symbol, t0, t1, bin, prob, fallback): a logistic meta model over the experts' probabilities, cross-fitted.
+
+    Its folds are purged by label intervals and embargoed, as the experts' are. With fewer
+    than two rows a fold the meta model is fitted and applied on the same rows, and
+    ``fallback`` says so.
     """
     names = [r[0] for r in oof.select("expert").distinct().orderBy("expert").collect()]  # one row per expert
-    keys = ("symbol", "t0", "t1", "fold", "bin", "w")
-    wide = stored(vectors(oof.groupBy(*keys).pivot("expert", names).agg(F.first("prob")).dropna(), names))
-    folds = {r["fold"]: (r["n"], r["w"]) for r in wide.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()}  # one row per fold
-    total, few = sum(w for _, w in folds.values()) or 1.0, sum(n for n, _ in folds.values()) < 2 * max(len(folds), 1)
-    out = None
-    for fold in sorted(folds):
-        meta = LogisticRegression(labelCol="bin", weightCol="w", regParam=1 / (c * total), standardization=False)
-        train = wide if few else wide.filter(F.col("fold") != fold)
-        scored = meta.fit(train).transform(wide.filter(F.col("fold") == fold)).select(
-            "symbol", "t0", "t1", "bin", vector_to_array("probability")[1].alias("prob"), F.lit(few).alias("fallback")
-        )
-        out = scored if out is None else out.union(scored)
-    return out
+    scored, _ = cross_fit_meta(oof.withColumn("combo", F.lit(0)), names, meta_learner(c), n_folds, embargo)
+    return scored.filter(F.col("fold") != WHOLE).select("symbol", "t0", "t1", "bin", "prob", "fallback")
+
+
+def combination_rows(df: DataFrame, columns: list[str], n: int, k: int, embargo: float) -> DataFrame:
+    """Each event once per combination as outer train or test row; purged and embargoed ones are in neither."""
+    parts = validation.combinatorial_folds(df, n, k, embargo).filter("part <> 'out'").withColumnRenamed("part", "outer")
+    return vectors(df, columns).select("symbol", "t0", "t1", "bin", "w", "features").join(parts, ["symbol", "t0"])
 
 
 def refit_combinations(df: DataFrame, columns: list[str], n: int = 6, k: int = 2, embargo: float = 0.02, experts: dict | None = None) -> DataFrame:
     """(symbol, combo, expert, t0, prob): test probabilities of experts fitted anew on the train rows of each combination."""
-    df = stored(df)
-    rows = vectors(df, columns).select("symbol", "t0", "bin", "w", "features")
-    parts = validation.combinatorial_folds(df, n, k, embargo)
-    dealt = stored(rows.join(parts, ["symbol", "t0"]))
-    out = None
-    for combo in range(len(validation.combinations(n, k))):
-        mine = dealt.filter(F.col("combo") == combo)
-        for name, make in (experts or {"logistic": EXPERTS["logistic"]}).items():
-            scored = make().fit(mine.filter("part = 'train'")).transform(mine.filter("part = 'test'")).select(
-                "symbol", "combo", F.lit(name).alias("expert"), "t0", vector_to_array("probability")[1].alias("prob")
-            )
-            out = scored if out is None else out.union(scored)
-    return out
+    rows = combination_rows(stored(df), columns, n, k, embargo)
+    whole = rows.withColumns({"fold": F.lit(WHOLE), "part": F.col("outer"), "fallback": F.lit(False)}).drop("outer")
+    scored, _ = fit_units(whole, made(experts or {"logistic": EXPERTS["logistic"]}))
+    return scored.select("symbol", "combo", "expert", "t0", "prob")
+
+
+def evaluate_combinations(
+    df: DataFrame, columns: list[str], n: int = 6, k: int = 2, embargo: float = 0.01, inner: int = 3, experts: dict | None = None,
+    alpha: float = 0.1, late_share: float = 0.3, parallel: int = 4,
+) -> tuple[DataFrame, DataFrame]:
+    """Test probabilities of every combination as deployment would give them, and what their calibrators were fitted on.
+
+    Within the train rows of a combination, each expert gets out-of-fold probabilities on
+    purged inner folds and a fit on all of them; a meta model over these is cross-fitted
+    likewise. The calibrator of a combination and configuration (each expert, and ``ensemble``) is fitted on the earlier
+    of its out-of-fold rows, the conformal quantile on the later ones; the
+    test rows get both. Returns (symbol, combo, expert, t0, prob, confident) and (symbol, combo,
+    expert, n_oof, n_fit, n_conformal, qhat, tag). With under 20 out-of-fold rows or one class
+    among them, probabilities stay raw and confident, and the tag says so.
+    """
+    learners = made(experts)
+    dealt = deal(combination_rows(stored(df), columns, n, k, embargo), inner, embargo)
+    scored, _ = fit_units(dealt, learners, parallel)
+    meta, _ = cross_fit_meta(scored, sorted(learners), meta_learner(), inner, embargo, parallel)
+    all_rows = stored(scored.unionByName(meta).withColumn("_key", series_key("symbol", "combo", "expert")))
+    keys = all_rows.select("_key", "symbol", "combo", "expert").distinct()
+    oof = all_rows.filter(F.col("fold") != WHOLE).select(F.col("_key").alias("symbol"), "t0", "t1", "bin", "prob", "fallback")
+    sizes = oof.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_oof"), F.countDistinct("bin").alias("classes"), F.max("fallback").alias("fallback"))
+    enough = sizes.filter((F.col("n_oof") >= calibration.MIN_CONFORMAL_ROWS) & (F.col("classes") == 2)).select("symbol")
+    fit, quantiles = calibration.deploy_fit(oof.join(enough, "symbol", "left_semi"), "prob", late_share, alpha)
+    quantiles = stored(quantiles)
+    test = all_rows.filter(F.col("fold") == WHOLE).select(F.col("_key").alias("symbol"), "t0", "prob")
+    judged = calibration.apply_fit(test, fit, "prob", ["symbol"]).join(quantiles.select("symbol", "qhat"), "symbol", "left")
+    flag = metrics.conformal_flags(F.col("calibrated"), F.col("qhat"))["confident"]
+    judged = judged.select(F.col("symbol").alias("_key"), "t0", F.coalesce("calibrated", "prob").alias("prob"), F.coalesce(flag, F.lit(True)).alias("confident"))
+    judged = judged.join(keys, "_key").select("symbol", "combo", "expert", "t0", "prob", "confident")
+    skipped = F.when(F.col("qhat").isNull(), F.concat(F.lit("cpcv_cal_conformal_skipped(n_oof="), F.coalesce("n_oof", F.lit(0)).cast("string"), F.lit(")")))
+    alike = F.when(F.col("fallback"), "meta_nested_oof_fallback_insample")
+    said = sizes.join(quantiles, "symbol", "left").withColumnRenamed("symbol", "_key").join(keys, "_key", "right").select(
+        "symbol", "combo", "expert", F.coalesce("n_oof", F.lit(0)).alias("n_oof"), F.coalesce("n_fit", F.lit(0)).alias("n_fit"),
+        F.when(F.col("tag").isNotNull(), F.col("n")).otherwise(F.coalesce(F.col("n") - F.col("n_fit"), F.lit(0))).alias("n_conformal"),
+        "qhat", F.nullif(F.concat_ws(";", skipped, "tag", alike), F.lit("")).alias("tag"),
+    )
+    return judged, said
 
 
 def early_stop_split(train: DataFrame, cutoff: Column, val_share: float = 0.15) -> DataFrame:

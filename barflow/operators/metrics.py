@@ -148,18 +148,18 @@ def sample_moments(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     return base.select(*by, "n", skew.alias("skew"), kurt.alias("kurt"))
 
 
-def overfitting_probability(perf: DataFrame, n_splits: int) -> DataFrame:
-    """(pbo): share of half-splits whose best configuration in sample ranks in the lower half out of sample.
+def overfitting_probability(perf: DataFrame, n_splits: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, pbo): share of half-splits whose best configuration in sample ranks in the lower half out of sample.
 
-    perf: (config int, split int, value). The combinations are a table made from the
+    perf: (by, config int, split int, value). The combinations are a table made from the
     number of splits; ties in sample go to the least configuration.
     """
     half = n_splits // 2
     inside = F.expr("shiftright(mask, split) & 1") == 1
     masks = F.filter(F.sequence(F.lit(0), F.lit((1 << n_splits) - 1)), lambda m: F.bit_count(m) == half)
-    each = perf.select("config", "split", "value", F.explode(masks).alias("mask"))
-    means = each.groupBy("mask", "config").agg(F.avg(F.when(inside, F.col("value"))).alias("i"), F.avg(F.when(~inside, F.col("value"))).alias("o"))
-    best = means.groupBy("mask").agg(F.max_by("o", F.struct("i", -F.col("config"))).alias("best"))
-    rank = means.join(best, "mask").groupBy("mask").agg(F.avg((F.col("o") <= F.col("best")).cast("double")).alias("rank"))
+    each = perf.select(*by, "config", "split", "value", F.explode(masks).alias("mask"))
+    means = each.groupBy(*by, "mask", "config").agg(F.avg(F.when(inside, F.col("value"))).alias("i"), F.avg(F.when(~inside, F.col("value"))).alias("o"))
+    best = means.groupBy(*by, "mask").agg(F.max_by("o", F.struct("i", -F.col("config"))).alias("best"))
+    rank = means.join(best, [*by, "mask"]).groupBy(*by, "mask").agg(F.avg((F.col("o") <= F.col("best")).cast("double")).alias("rank"))
     r = F.least(F.greatest("rank", F.lit(1e-6)), F.lit(1 - 1e-6))
-    return rank.agg(F.avg((F.ln(r / (1 - r)) <= 0).cast("double")).alias("pbo"))
+    return rank.groupBy(*by).agg(F.avg((F.ln(r / (1 - r)) <= 0).cast("double")).alias("pbo"))

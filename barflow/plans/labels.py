@@ -16,8 +16,12 @@ from barflow.stored import stored
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
+    return panel_of(source.hourly(spark, folder))
+
+
+def panel_of(bars: DataFrame) -> DataFrame:
     """Hourly bars with ATR, momentum side and barrier target."""
-    bars = ewm.atr(source.hourly(spark, folder), 14, "atr_14")
+    bars = ewm.atr(bars, 14, "atr_14")
     return labels.barrier_target(bars.withColumn("side", labels.momentum_side(F.col("close"), 24)))
 
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barflow.functions.windows import momentum, rounded, series
 from barflow.operators import audit as checks
-from barflow.operators import backtest, calibration, features, labels, learning, metrics, validation
+from barflow.operators import backtest, calibration, features, labels, learning, lifecycle, metrics, validation
 from barflow.operators.backtest import Rules
 from barflow.plans import sql
 from barflow.plans.features import shown
 from barflow.plans.labels import _CUSUM, GROUPS, all_labels, panel, scored
 from barflow.plans.registry import query
 from barflow.sources import bars as source
-from barflow.stored import stored
+from barflow.stored import shared_folder, stored
 
 RULES = Rules()
 
@@ -225,12 +226,19 @@ def portfolio_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return points.groupBy("symbol").agg(F.max_by("equity", F.when(F.col("equity").isNotNull(), F.struct("ts", "seq"))).alias("end_equity")).join(down, "symbol")
 
 
-def learning_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels with the features and the weight that learners are fitted on."""
-    bars = panel(spark, folder).withColumns({"mom_24": momentum(F.col("close"), 24), "atr_norm": F.col("atr_14") / (F.col("close") + metrics.EPS)})
+def learning_features(bars: DataFrame) -> DataFrame:
+    """A panel of bars with the features of the learners."""
+    return bars.withColumns({"mom_24": momentum(F.col("close"), 24), "atr_norm": F.col("atr_14") / (F.col("close") + metrics.EPS)})
+
+
+def labelled_features(bars: DataFrame) -> DataFrame:
+    """Labels of bars (a panel with the learners' features), with the features and the weight that learners are fitted on."""
     found = labels.first_touch(bars).join(bars.select("symbol", F.col("ts").alias("t0"), "mom_24", "atr_norm"), ["symbol", "t0"])
-    found = found.filter("mom_24 is not null and atr_norm is not null")
-    return stored(labels.combined_weights(labels.uniqueness(source.hourly(spark, folder), found)))
+    return labels.combined_weights(labels.uniqueness(bars, found.filter("mom_24 is not null and atr_norm is not null")))
+
+
+def learning_events(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(labelled_features(stored(learning_features(panel(spark, folder)))))
 
 
 FEATURES = ["atr_norm", "mom_24", "side"]
@@ -269,6 +277,71 @@ def cpcv_refit(spark: SparkSession, folder: str) -> DataFrame:
     return backtest.combination_ratios(rows, RULES)
 
 
+@query()
+def stored_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything fitted on the earlier 70 % of each symbol's labels and stored; the later events are scored from the stored version."""
+    events = stored(learning_events(spark, folder).withColumn("late", learning.early_late(0.3)))
+    bound = events.filter("late").groupBy("symbol").agg(F.min("t0").alias("bound"))
+    early = events.join(bound, "symbol").filter("not late and t1 < bound")  # no label that ends among the scored events
+    models = shared_folder(spark)
+    lifecycle.save(lifecycle.fit(early, FEATURES), models, "v0")
+    rows = events.filter("late").select("symbol", "t0", "bin", *FEATURES)
+    return lifecycle.score(lifecycle.load(spark, models), rows).select("symbol", "t0", "bin", "prob", "confident", "tag", "version")
+
+
+#: Learners of the nested evaluation: refitted in every inner fold of every combination.
+NESTED = {
+    "logistic": learning.EXPERTS["logistic"],
+    "stump": lambda: GBTClassifier(labelCol="bin", weightCol="w", maxIter=2, maxDepth=1, seed=42),
+}
+GROUPS_N, GROUPS_K = 4, 2
+
+
+def evaluated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Each combination's ratio per configuration with what its calibration rests on, and the trades behind them."""
+    events = learning_events(spark, folder)
+    judged, said = learning.evaluate_combinations(events, FEATURES, GROUPS_N, GROUPS_K, experts=NESTED)
+    rows = stored(judged.join(events.select("symbol", "t0", "t1", "ret", "bin", "bars_held"), ["symbol", "t0"]))
+    return stored(backtest.combination_ratios(rows, RULES).join(said, ["symbol", "combo", "expert"])), rows
+
+
+@query()
+def cpcv_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested out-of-fold fits in each combination, each with its own calibrator and conformal quantile, and its back-test."""
+    out, _ = evaluated(spark, folder)
+    return out.select("symbol", "combo", "expert", "n_trades", "sharpe", "n_oof", "n_fit", "n_conformal", "qhat", "tag")
+
+
+@query()
+def cpcv_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The nested evaluation rolled up per symbol, with what must be said of it."""
+    out, rows = evaluated(spark, folder)
+    names = [*sorted(NESTED), "ensemble"]
+    n_combos = len(validation.combinations(GROUPS_N, GROUPS_K))
+    perf = out.select("symbol", F.array_position(F.array(*map(F.lit, names)), F.col("expert")).cast("int").alias("config"), F.col("combo").alias("split"), F.col("sharpe").alias("value"))
+    own = rows.filter("expert = 'ensemble'").withColumn("symbol", F.concat_ws("|", "symbol", F.col("combo").cast("string")))
+    pnl = backtest.independent(own, RULES).filter("size > 0").select(F.split_part("symbol", F.lit("|"), F.lit(1)).alias("symbol"), "pnl")
+    moments = metrics.sample_moments(pnl, "pnl", ["symbol"]).select("symbol", "skew", "kurt")
+    total = out.groupBy("symbol").agg(
+        F.count(F.when(F.col("expert") == "ensemble", 1)).alias("n_combos"), F.countDistinct("expert").alias("n_configs"),
+        F.avg(F.when(F.col("expert") == "ensemble", F.col("sharpe"))).alias("mean_sharpe"),
+        F.stddev_pop(F.when(F.col("expert") == "ensemble", F.col("sharpe"))).alias("std_sharpe"),
+        F.greatest(F.floor(F.avg(F.when(F.col("expert") == "ensemble", F.col("n_trades")))), F.lit(2)).alias("n_obs"),
+        F.sort_array(F.collect_set("tag")).alias("degradations"),
+    )
+    df = total.join(moments, "symbol", "left").join(metrics.overfitting_probability(perf, n_combos, ("symbol",)), "symbol", "left")
+    luck = metrics.deflated_sharpe(F.col("mean_sharpe"), 50, F.col("n_obs"), F.coalesce("skew", F.lit(0.0)), F.coalesce("kurt", F.lit(3.0)))
+    caveats = F.array_compact(F.array(
+        F.lit(f"units are combinations, not paths: {validation.paths(GROUPS_N, GROUPS_K)} paths could be made of them"),
+        F.lit("combinations share data, so their spread is too small"),
+        F.when(F.col("n_configs") < 8, F.concat(F.lit("overfitting is judged on "), F.col("n_configs").cast("string"), F.lit(" configurations only"))),
+        F.when(F.size("degradations") > 0, F.concat(F.lit("calibration: "), F.concat_ws("; ", "degradations"))),
+    ))
+    return df.withColumns({"deflated_sharpe": luck, "caveats": caveats, "pbo_warning": F.col("n_configs") < 8}).select(
+        "symbol", "n_combos", "n_configs", "mean_sharpe", "std_sharpe", "n_obs", "deflated_sharpe", "pbo", "pbo_warning", "degradations", "caveats"
+    )
+
+
 _POINTS = """ro AS (SELECT symbol, fold, part, t0, bin, round(prob * 100)::INT AS point FROM dl),
 ct AS (SELECT symbol, fold, point, count(*) AS n, sum(bin) AS pos FROM ro WHERE part = 'train' GROUP BY ALL),
 sm AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM ct WINDOW w AS (PARTITION BY symbol, fold ORDER BY point ROWS UNBOUNDED PRECEDING)),

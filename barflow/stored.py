@@ -18,10 +18,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows read back from a table: what reads it twice does not compute it twice, and a lost executor loses nothing."""
+def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """The same rows read back from a table: what reads it twice does not compute it twice, and a lost executor loses nothing.
+
+    ``partition_by`` lays it out in folders, so that a filter on these columns reads its own
+    only; each has few files, and a large one is split.
+    """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
