@@ -113,3 +113,31 @@ def folded(steps: DataFrame, state: str, start: Column, fold, by: str = "symbol"
         later = stored(checked.withColumn("_end", again).withColumn(state, F.col("_began")).drop("_began"))
         discard(now)
         now = later
+
+
+def numbered(df: DataFrame, out: str = "rn", rows: int = ROWS, by: str = "symbol", order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """``df`` with the place of each row in its series, from 0, found stretch by stretch.
+
+    Rows are numbered within stretches of time; what lies before a stretch is a running sum over one row per stretch.
+    """
+    cut = stored(chunked(df, rows, MOST, by, order[0]))
+    counts = cut.groupBy(by, "_chunk").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.sum("_k").over(Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(by, "_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(by, "_chunk").orderBy(*order)) - 1
+    return cut.join(counts, [by, "_chunk"]).withColumn(out, F.col("_before") + own).drop("_chunk", "_before")
+
+
+def with_frames(df: DataFrame, n: int, columns, rows: int = ROWS, by: str = "symbol", order: tuple[str, ...] = ("ts",)) -> DataFrame:  # noqa: ANN001
+    """``df`` with window columns that look back over at most ``n`` rows, a series being many tasks.
+
+    ``columns(window)`` gives {name: Column} over an ordered window without frame. Rows are dealt
+    into blocks by their place; the last ``n - 1`` rows of a block, its halo, are in the next one too and
+    are dropped there once the frames have been read.
+    """
+    size = max(rows, n)
+    placed = numbered(df, "_rn", rows, by, order).withColumn("_block", F.floor(F.col("_rn") / size))
+    tail = placed.filter(F.col("_rn") % size > size - n).withColumns({"_block": F.col("_block") + 1, "_halo": F.lit(True)})
+    both = placed.withColumn("_halo", F.lit(False)).unionByName(tail)
+    window = Window.partitionBy(by, "_block").orderBy("_rn")
+    return both.withColumns(columns(window)).filter("not _halo").drop("_rn", "_block", "_halo")

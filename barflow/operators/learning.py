@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +23,12 @@ EXPERTS = {
 }
 
 
+def fusion_head():  # noqa: ANN201
+    """A logistic head over series scores and features brought to one scale; scale and head are fitted on train rows only."""
+    scale = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True)
+    return Pipeline(stages=[scale, LogisticRegression(labelCol="bin", weightCol="w", featuresCol="_scaled", regParam=0.05)])
+
+
 def ended_hits(events: DataFrame, last: int = 20) -> DataFrame:
     """(symbol, side, _key, t1, wins, n): wins among the last labels of a symbol and side that had ended at t1, itself included."""
     w = Window.partitionBy("symbol", "side").orderBy("t1", "t0").rowsBetween(-(last - 1), 0)
@@ -171,6 +179,23 @@ def evaluate_combinations(
     return judged, said
 
 
+def permuted(events: DataFrame, seeds: int) -> DataFrame:
+    """events for each of ``seeds`` permutations of their labels, with ``seed``; in seed 0 labels stay.
+
+    Labels are dealt anew within a symbol in order of a digest of seed and start. A permutation is a series of its own
+    (its symbol carries the seed), so one job judges all of them.
+    """
+    seed = F.explode(F.sequence(F.lit(0), F.lit(seeds)))
+    place = Window.partitionBy("symbol", "seed")
+    digest = F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.unix_micros(F.col("t0").cast("timestamp")).cast("string")))
+    placed = events.withColumn("seed", seed).withColumn("_i", F.row_number().over(place.orderBy("t0")))
+    placed = placed.withColumn("_j", F.when(F.col("seed") == 0, F.col("_i")).otherwise(F.row_number().over(place.orderBy(digest))))
+    placed = stored(placed)
+    labels = placed.select("symbol", "seed", F.col("_j").alias("_i"), F.col("bin").alias("_bin"))
+    dealt = placed.drop("_j").join(labels, ["symbol", "seed", "_i"]).withColumn("bin", F.col("_bin")).drop("_bin", "_i")
+    return dealt.withColumn("symbol", F.concat_ws("|", "symbol", F.col("seed").cast("string")))
+
+
 def early_stop_split(train: DataFrame, cutoff: Column, val_share: float = 0.15) -> DataFrame:
     """train with ``is_val``: the last share of each symbol's rows whose labels had ended before ``cutoff``; none after it validates."""
     before = F.col("t1") < cutoff

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from barflow.functions import windows as W
 from barflow.functions.windows import rounded
-from barflow.operators import ewm, features
+from barflow.operators import chunks, ewm, features
+from barflow.operators.asof import asof_stretches
 from barflow.plans import sql
 from barflow.plans.registry import query
 from barflow.sources import bars as source
@@ -207,3 +208,27 @@ def lookback_tensor(spark: SparkSession, folder: str) -> DataFrame:
 def feature_panel(spark: SparkSession, folder: str) -> DataFrame:
     """The whole technical panel; its columns have SQL one by one above."""
     return features.technical(source.hourly(spark, folder))
+
+
+@query("""WITH t AS (SELECT ts, event_id AS tick_id, value AS price FROM events WHERE value > 0)
+SELECT ts, tick_id, round(CASE WHEN count(*) OVER w = 100 THEN avg(price) OVER w END, 6) + 0 AS mean_100, round(max(price) OVER w, 6) + 0 AS max_100
+FROM t WINDOW w AS (ORDER BY ts, tick_id ROWS 99 PRECEDING)""")
+def one_series_rolling(spark: SparkSession, folder: str) -> DataFrame:
+    """Rolling mean and highest price over all ticks as one series, in blocks with halos: no task has the series."""
+    ticks = source.ticks(spark, folder).withColumn("symbol", F.lit("all"))
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        return {"mean_100": W.rolling(F.avg, F.col("price"), 100, w), "max_100": F.max("price").over(w.rowsBetween(-99, 0))}
+
+    df = chunks.with_frames(ticks, 100, columns, order=("ts", "tick_id"))
+    return df.select("ts", "tick_id", rounded(F.col("mean_100")).alias("mean_100"), rounded(F.col("max_100")).alias("max_100"))
+
+
+@query(f"""WITH {sql.BARS}, h AS (SELECT ts, max(high) AS high FROM bars GROUP BY ts)
+SELECT tick_id, t.ts, h.ts AS bar, round(h.high, 6) + 0 AS high FROM ticks t ASOF LEFT JOIN h ON t.ts >= h.ts + INTERVAL 1 HOUR""")
+def one_series_asof(spark: SparkSession, folder: str) -> DataFrame:
+    """Each tick with the highest price of the last hour that had ended, all ticks being one series that is cut into stretches."""
+    ticks = source.ticks(spark, folder).select("ts", "tick_id").withColumn("symbol", F.lit("all"))
+    high = source.hourly(spark, folder).groupBy("ts").agg(F.max("high").alias("high")).withColumns({"symbol": F.lit("all"), "bar": F.col("ts")})
+    df = asof_stretches(ticks, high, F.col("ts"), F.col("ts") + F.expr("interval 1 hour"), ["bar", "high"])
+    return df.select("tick_id", "ts", "bar", rounded(F.col("high")).alias("high"))

@@ -289,6 +289,32 @@ def stored_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.score(lifecycle.load(spark, models), rows).select("symbol", "t0", "bin", "prob", "confident", "tag", "version")
 
 
+@query()
+def fusion_oof(spark: SparkSession, folder: str) -> DataFrame:
+    """Out-of-fold probabilities of the head over series scores and features."""
+    scores = learning.naive_scores(source.hourly(spark, folder)).select("symbol", F.col("ts").alias("t0"), "score")
+    events = learning_events(spark, folder).join(scores, ["symbol", "t0"])
+    oof = learning.out_of_fold(events, [*FEATURES, "score"], experts={"fusion": learning.fusion_head})
+    return oof.select("symbol", "t0", "expert", "fold", "prob", "bin")
+
+
+_PERMUTED = f"""ev0 AS (SELECT * FROM labels_all), sd AS (SELECT unnest(range(9)) AS seed),
+pl AS (SELECT ev0.*, seed, row_number() OVER (PARTITION BY symbol, seed ORDER BY t0) AS i,
+  CASE WHEN seed = 0 THEN row_number() OVER (PARTITION BY symbol, seed ORDER BY t0)
+    ELSE row_number() OVER (PARTITION BY symbol, seed ORDER BY md5(seed || '|' || epoch_us(t0))) END AS j FROM ev0, sd),
+ev AS (SELECT a.symbol || '|' || a.seed AS symbol, a.seed, a.t0, a.t1, a.side, b.bin FROM pl a JOIN pl b ON a.symbol = b.symbol AND a.seed = b.seed AND a.i = b.j),
+{sql.PROBS}, ra AS (SELECT seed, bin, rank() OVER (PARTITION BY seed ORDER BY prob) + (count(*) OVER (PARTITION BY seed, prob) - 1) / 2.0::DOUBLE AS r FROM pe)"""
+
+
+@query(f"""WITH {sql.LABELS}, {_PERMUTED} SELECT seed::INT AS seed, count(*) AS n,
+  round((sum(r) FILTER (bin = 1) - sum(bin) * (sum(bin) + 1) / 2.0::DOUBLE) / (sum(bin) * (count(*) - sum(bin))), 6) + 0 AS auc FROM ra GROUP BY seed""")
+def permutation_auc(spark: SparkSession, folder: str) -> DataFrame:
+    """What the hit-rate expert makes of labels dealt anew, a row per seed: it must see nothing in them. Seed 0 has the labels as they are."""
+    rows = learning.hit_rate(learning.permuted(all_labels(spark, folder), 8))
+    counts = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    return shown(metrics.auc(rows, "prob", "bin", ["seed"]).join(counts, "seed"), "auc", keys=("seed", "n"))
+
+
 #: Learners of the nested evaluation: refitted in every inner fold of every combination.
 NESTED = {
     "logistic": learning.EXPERTS["logistic"],

@@ -113,6 +113,28 @@ def test_rows_and_schemas_that_lack_features(spark, events, tmp_path):
     assert lifecycle.fit(events.withColumn("bin", F.lit(1)), ["x", "z"], LOGISTIC) is None
 
 
+def test_the_head_and_its_scale_see_train_rows_only(events):
+    """Other values in some test rows of a fold change nothing for the rest of that fold, scale included."""
+    head = {"fusion": learning.fusion_head}
+    dealt = crossfit.deal(learning.one_combination(events, ["x", "z"]), 3, 0.01).filter("fold = 1")
+    odd = (F.col("part") == "test") & (F.hour("t0") % 2 == 0)
+    changed = dealt.withColumn("features", F.when(odd, crossfit.array_to_vector(F.array(F.lit(1e6), F.lit(-1e6)))).otherwise(F.col("features")))
+    rows = [{(r["symbol"], r["t0"]): r["prob"] for r in crossfit.fit_units(d, learning.made(head))[0].collect()} for d in (dealt, changed)]
+    assert len(rows[0]) == 160
+    for key, prob in rows[0].items():
+        assert (prob == pytest.approx(rows[1][key], rel=1e-9)) == (key[1].hour % 2 == 1)
+
+
+def test_permutations_keep_counts_and_seed_zero_keeps_labels(spark, events):
+    rows = events.withColumn("side", F.lit(1.0)).select("symbol", "t0", "t1", "side", "bin")
+    got = learning.permuted(rows, 3).collect()
+    truth = {(r["symbol"], r["t0"]): r["bin"] for r in rows.collect()}
+    assert len(got) == 4 * len(truth)
+    for seed in range(4):
+        own = {(r["symbol"].split("|")[0], r["t0"]): r["bin"] for r in got if r["seed"] == seed}
+        assert sum(own.values()) == sum(truth.values()) and (own == truth) == (seed == 0)
+
+
 def ticks(spark, rows):
     return spark.createDataFrame([(s, hour(k) + dt.timedelta(minutes=m), i, float(p)) for s, k, m, i, p in rows], "symbol string, ts timestamp_ntz, tick_id long, price double")
 

@@ -7,11 +7,12 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barflow.functions import text as T
-from barflow.operators import backtest, calibration, ewm, features, labels, learning, metrics, news, validation
-from barflow.operators.asof import asof
+from barflow.operators import backtest, calibration, chunks, ewm, features, labels, learning, metrics, news, validation
+from barflow.operators.asof import asof, asof_stretches
 from barflow.operators.backtest import Rules
 from barflow.operators.chunks import expanding_median
 
@@ -111,6 +112,26 @@ def test_a_series_of_many_stretches_has_the_medians_and_events_of_one(spark):
     assert found == want and len(want) > 500
 
 
+def test_stretches_with_halos_equal_whole_series(spark):
+    """Bursts, gaps and a second, short series; blocks of 32 rows, so that frames and carried rows cross many of them."""
+    rng = random.Random(8)
+    at, rows = 0, []
+    for k in range(700):
+        at += 1 if k < 300 else rng.choice([1, 60, 86_400])
+        rows.append(("s" if k % 50 else "t", START + dt.timedelta(seconds=at), k, rng.random()))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, k long, x double").repartition(5)
+    w = Window.partitionBy("symbol").orderBy("ts", "k")
+    want = {(r["k"], r["s"], r["rn"]) for r in df.select("k", F.sum("k").over(w.rowsBetween(-19, 0)).alias("s"), (F.row_number().over(w) - 1).alias("rn")).collect()}
+    framed = chunks.with_frames(df, 20, lambda v: {"s": F.sum("k").over(v.rowsBetween(-19, 0))}, 32, order=("ts", "k"))
+    got = chunks.numbered(framed, "rn", 32, order=("ts", "k")).collect()
+    assert {(r["k"], r["s"], r["rn"]) for r in got} == want and len(got) == 700
+    right = df.filter("k % 9 = 0").select("symbol", "ts", F.col("k").alias("v"))
+    left = df.select("symbol", "ts", "k")
+    whole, cut = (f(left, right, F.col("ts"), F.col("ts") + F.expr("interval 30 seconds"), ["v"]) for f in (asof, lambda *a: asof_stretches(*a, rows=32)))
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, cut.collect()), key=str)
+    assert chunks.chunked(df, 32).select("symbol", "_chunk").distinct().count() > 5
+
+
 def test_a_coarse_bar_is_seen_once_it_has_closed(spark):
     main = spark.createDataFrame([("s", hour(k)) for k in range(8, 16)], "symbol string, ts timestamp_ntz")
     aux = spark.createDataFrame([("s", hour(8), 99.0)], "symbol string, ts timestamp_ntz, v double")
