@@ -72,6 +72,33 @@ def hold_unless(columns: dict[str, Column], allowed: Column, reason: str) -> dic
     return {k: F.when(allowed, v).otherwise(held[k]) if k in held else F.when(allowed, v) if k in blank else v for k, v in columns.items()}
 
 
+#: What a reader is told of each reason to hold, and the labels of a decision's lines.
+HOLD_TEXTS = {
+    "feature_schema_mismatch": "特征 schema 与训练不一致, 强制观望",
+    "not_cusum_event": "非 CUSUM 事件 bar, 与训练开仓门控对齐",
+    "no_valid_feature_bar": "无完整特征 bar",
+    "low_confidence_conformal": "保形预测弃权(不自信)",
+    "prob_below_threshold": "盈利概率未达入场阈值",
+    "kelly_non_positive_after_cost": "扣成本后 Kelly 仓位非正",
+    "no_side": "无有效主信号方向",
+}
+LINES = {
+    "win_probability": "盈利概率: ", "entry_price": "入场价:   ", "stop_loss": "止损:     ", "take_profit": "止盈:     ",
+    "suggested_position_pct": "建议仓位: ", "atr": "ATR:      ",
+}
+
+
+def decision_text(at: str = "ts") -> Column:
+    """A decision (columns of ``decide``, symbol and its time) as text; numbers as Spark writes them, None for null."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    why = F.coalesce(*[F.when(F.col("reason").contains(k), v) for k, v in HOLD_TEXTS.items()], F.concat(F.lit("原因: "), "reason"), F.lit("观望(未满足开仓条件)"))
+    when = F.concat(F.lit("\n时间: "), F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
+    held = F.concat(F.lit("[观望] "), "symbol", F.lit("\n概率="), said("win_probability"), F.lit("  ("), why, F.lit(")"), when)
+    head = F.concat(F.lit("["), F.when(F.col("signal") == "LONG", "做多 LONG").otherwise("做空 SHORT"), F.lit("] "), "symbol")
+    lines = [F.concat(F.lit("\n" + label), said(c)) for c, label in LINES.items()]
+    return F.when(F.col("signal") == "HOLD", held).otherwise(F.concat(head, *lines, when))
+
+
 def hold_for_schema(rows: DataFrame, missing: list[str], shown: int = 12) -> DataFrame:
     """A HOLD for each row (symbol, ts) whose features lack columns that the model knows; no rows if none is missing."""
     if not missing:

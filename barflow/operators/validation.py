@@ -94,3 +94,26 @@ def overlaps(folds: DataFrame) -> DataFrame:
     return folds.join(F.broadcast(hull), ["symbol", "fold"]).groupBy("symbol", "fold").agg(
         n(F.col("part") == "train").alias("n_overlaps"), n(F.col("part") != "test").alias("n_before_purge")
     )
+
+
+def embargo_violations(events: DataFrame, folds: DataFrame, n: int, embargo: float) -> DataFrame:
+    """(symbol, fold, t0) of train rows among the first rows after a test group's latest label end, as many as the embargo takes.
+
+    Found anew from the events: what follows a group is numbered there and must be absent from its train rows.
+    """
+    grouped = assign_groups(events.select("symbol", "t0", "t1"), n)
+    stops = group_bounds(grouped, embargo).select("symbol", F.col("grp").alias("fold"), "stop", "embargo")
+    after = grouped.join(stops, "symbol").filter(F.col("t0") > F.col("stop"))  # n rows per symbol
+    k = F.row_number().over(Window.partitionBy("symbol", "fold").orderBy("t0", "t1"))
+    banned = after.withColumn("k", k).filter(F.col("k") <= F.col("embargo")).select("symbol", "fold", "t0")
+    return banned.join(folds.filter("part = 'train'").select("symbol", "fold", "t0"), ["symbol", "fold", "t0"], "left_semi")
+
+
+def combination_overlaps(events: DataFrame, n: int, k: int, embargo: float) -> DataFrame:
+    """(symbol, combo, n_overlaps): train rows of each combination whose label meets the hull of one of its test groups."""
+    parts = combinatorial_folds(events, n, k, embargo)
+    grouped = assign_groups(events.select("symbol", "t0", "t1"), n)
+    rows = parts.join(grouped.select("symbol", "t0", "t1", "grp"), ["symbol", "t0"])
+    hulls = rows.filter("part = 'test'").groupBy("symbol", "combo", "grp").agg(F.min("t0").alias("a"), F.max("t1").alias("b")).drop("grp")
+    met = rows.filter("part = 'train'").join(hulls, ["symbol", "combo"])  # k rows per combination
+    return met.groupBy("symbol", "combo").agg(F.sum(((F.col("t1") >= F.col("a")) & (F.col("t0") <= F.col("b"))).cast("long")).alias("n_overlaps"))

@@ -205,3 +205,17 @@ SELECT e.symbol, e.t0, round(sum((c.b - c.a) / c.c) / (any_value(epoch_us(e.t1)
 JOIN c ON c.symbol = e.symbol AND epoch_us(e.t0) / 1e6 <= c.a AND epoch_us(e.t1) / 1e6 >= c.b GROUP BY ALL""")
 def time_weighted_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
     return shown(metrics.time_uniqueness(all_labels(spark, folder)), "uniq", keys=("symbol", "t0"))
+
+
+@query(f"""WITH {sql.EVENTS}, {GROUPS.format(n=5)}, trn AS (SELECT symbol, fold, t0 FROM jd WHERE NOT (test OR pur OR emb)),
+nx AS (SELECT g.symbol, b.fold, g.t0, row_number() OVER (PARTITION BY g.symbol, b.fold ORDER BY g.t0, g.t1) AS k, b.emb FROM gr g JOIN bo b ON g.symbol = b.symbol AND g.t0 > b.b)
+SELECT nx.symbol, nx.fold::INT AS fold, count(*) AS n_banned, count(trn.t0) AS n_violations FROM nx LEFT JOIN trn ON trn.symbol = nx.symbol AND trn.fold = nx.fold AND trn.t0 = nx.t0
+WHERE nx.k <= nx.emb GROUP BY ALL""")
+def embargo_gap(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that each fold's embargo bans, and how many of them are train rows nevertheless."""
+    events = stored(all_labels(spark, folder))
+    folds = stored(validation.purged_folds(events, 5, 0.02))
+    broken = validation.embargo_violations(events, folds, 5, 0.02).groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n_violations"))
+    banned = folds.filter("part = 'embargoed'").select("symbol", "fold", "t0").union(validation.embargo_violations(events, folds.withColumn("part", F.lit("train")), 5, 0.02)).distinct()
+    out = banned.groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n_banned")).join(broken, ["symbol", "fold"], "left")
+    return out.select("symbol", "fold", "n_banned", F.coalesce("n_violations", F.lit(0)).alias("n_violations"))

@@ -85,6 +85,35 @@ def asof_ttl_decay(spark: SparkSession, folder: str) -> DataFrame:
     return shown(df, "news_sentiment", "news_sentiment_raw", "news_n_items", "news_max_authority", "news_age_hours", "has_recent_news")
 
 
+_TONE = "CASE WHEN p.raw > 0.15 THEN '偏多' WHEN p.raw < -0.15 THEN '偏空' ELSE '中性' END || '(可信度' || CASE WHEN p.best <= 1 THEN '高' WHEN p.best <= 2 THEN '中' ELSE '低' END"
+
+
+@query(f"""WITH {_ALIGNED}, tx AS (SELECT b.symbol, b.ts, (epoch_us(b.ts + INTERVAL 1 HOUR) - epoch_us(p.bucket_end + INTERVAL 5 MINUTE)) / 3.6e9 AS age,
+  '情绪:' || {_TONE} || '); ' || array_to_string(p.h, '; ') AS text FROM bars b ASOF LEFT JOIN pn p ON p.symbol = b.symbol AND b.ts + INTERVAL 1 HOUR >= p.bucket_end + INTERVAL 5 MINUTE)
+SELECT symbol, ts, CASE WHEN coalesce(age <= 24, false) THEN text ELSE '' END AS news_text FROM tx""")
+def news_text_asof(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel text that each bar's decision may read; empty where it has expired."""
+    return news.align_panel(source.hourly(spark, folder), panel(spark, folder)).select("symbol", "ts", "news_text")
+
+
+def _either(words: tuple[str, ...]) -> str:
+    return " + ".join(
+        f"regexp_matches(lower(text), '(^|[^a-z0-9]){w}([^a-z0-9]|$)')::INT" if w.isascii() and w.isalnum() else f"contains(lower(text), '{w}')::INT" for w in words
+    )
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT *, length(regexp_replace(text, '[^一-鿿]', '', 'g')) AS cjk, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS latin,
+  {_hits(GOOD, 'text')} AS g, {_hits(BAD, 'text')} AS b, {_either(T.POSITIVE)} AS p, {_either(T.NEGATIVE)} AS n FROM d),
+s AS (SELECT doc_id, CASE WHEN cjk + latin = 0 THEN 'en' WHEN cjk / (cjk + latin) >= 0.6 THEN 'zh' WHEN cjk / (cjk + latin) <= 0.15 THEN 'en' ELSE 'mixed' END AS language,
+  CASE WHEN g + b = 0 THEN 0 ELSE (g - b)::DOUBLE / (g + b) END AS en, CASE WHEN p + n = 0 THEN 0 ELSE (p - n)::DOUBLE / (p + n) END AS zh FROM c)
+SELECT doc_id, language, round(en, 6) + 0 AS en, round(zh, 6) + 0 AS zh, round(greatest(-1, least(1, CASE language WHEN 'en' THEN en WHEN 'zh' THEN zh ELSE 0.5 * en + 0.5 * zh END)), 6) + 0 AS score FROM s""")
+def bilingual_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text's sentiment by the scorer of its language; the second one has the default words."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    scored = docs.select("doc_id", T.language(F.col("text")).alias("language"), T.sentiment(F.col("text"), GOOD, BAD).alias("en"), T.sentiment(F.col("text")).alias("zh"))
+    return shown(scored.withColumn("score", T.route(F.col("language"), F.col("en"), F.col("zh"))), "en", "zh", "score", keys=("doc_id", "language"))
+
+
 @query(f"WITH {_ALIGNED} SELECT symbol, round(avg(fresh::INT), 6) + 0 AS news_coverage, CASE WHEN avg(fresh::INT) < 0.9 THEN 'low_news_coverage' END AS tag FROM fr GROUP BY symbol")
 def news_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return shown(news.coverage(news.align_panel(source.hourly(spark, folder), panel(spark, folder)), 0.9), "news_coverage", keys=("symbol", "tag"))

@@ -79,6 +79,23 @@ def decide_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_WHY = " ".join(f"WHEN reason = '{k}' THEN '{v}'" for k, v in backtest.HOLD_TEXTS.items())
+
+
+@query(f"""WITH {sql.EVENTS}, {sql.PROBS}, d AS (SELECT *, trgt * close AS atr, {_SIZE} AS size FROM pe),
+r AS (SELECT *, CASE WHEN NOT confident THEN 'low_confidence_conformal' WHEN side = 0 THEN 'no_side' WHEN prob < 0.55::DOUBLE THEN 'prob_below_threshold'
+  WHEN size <= 0 THEN 'kelly_non_positive_after_cost' END AS reason FROM d)
+SELECT symbol, t0, CASE WHEN reason IS NOT NULL THEN '[观望] ' || symbol || chr(10) || '概率=' || round(prob, 4) || '  (' || CASE {_WHY} END || ')' || chr(10) || '时间: ' || strftime(t0, '%Y-%m-%d %H:%M:%S')
+  ELSE CASE WHEN side > 0 THEN '[做多 LONG] ' ELSE '[做空 SHORT] ' END || symbol END AS text FROM r""")
+def decision_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """What a notifier would send of each event: a hold's whole text, the first line of a trade's."""
+    df = scored(spark, folder)
+    columns = backtest.decide(F.col("prob"), F.col("side"), F.col("close"), F.col("trgt") * F.col("close"), F.col("confident"), RULES)
+    text = backtest.decision_text("t0")
+    whole = df.withColumns(columns).withColumn("text", text)
+    return whole.select("symbol", "t0", F.when(F.col("signal") == "HOLD", F.col("text")).otherwise(F.substring_index("text", "\n", 1)).alias("text"))
+
+
 #: Trades one by one; a day is halted from the trade after its running product falls to 95 %.
 _TRADES = f"""tr1 AS (SELECT *, CASE WHEN confident AND prob >= 0.55::DOUBLE THEN {_SIZE} ELSE 0 END AS want FROM pe),
 tr2 AS (SELECT *, want * (exp(ret) - 1) - want * 0.0014::DOUBLE AS gain FROM tr1),
@@ -355,7 +372,10 @@ def cpcv_report(spark: SparkSession, folder: str) -> DataFrame:
         F.greatest(F.floor(F.avg(F.when(F.col("expert") == "ensemble", F.col("n_trades")))), F.lit(2)).alias("n_obs"),
         F.sort_array(F.collect_set("tag")).alias("degradations"),
     )
-    df = total.join(moments, "symbol", "left").join(metrics.overfitting_probability(perf, n_combos, ("symbol",)), "symbol", "left")
+    each = out.groupBy("symbol", "expert").agg(F.avg("sharpe").alias("m")).groupBy("symbol").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("expert", "m")))).alias("config_means")
+    )
+    df = total.join(each, "symbol").join(moments, "symbol", "left").join(metrics.overfitting_probability(perf, n_combos, ("symbol",)), "symbol", "left")
     luck = metrics.deflated_sharpe(F.col("mean_sharpe"), 50, F.col("n_obs"), F.coalesce("skew", F.lit(0.0)), F.coalesce("kurt", F.lit(3.0)))
     caveats = F.array_compact(F.array(
         F.lit(f"units are combinations, not paths: {validation.paths(GROUPS_N, GROUPS_K)} paths could be made of them"),
@@ -364,7 +384,7 @@ def cpcv_report(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.size("degradations") > 0, F.concat(F.lit("calibration: "), F.concat_ws("; ", "degradations"))),
     ))
     return df.withColumns({"deflated_sharpe": luck, "caveats": caveats, "pbo_warning": F.col("n_configs") < 8}).select(
-        "symbol", "n_combos", "n_configs", "mean_sharpe", "std_sharpe", "n_obs", "deflated_sharpe", "pbo", "pbo_warning", "degradations", "caveats"
+        "symbol", "n_combos", "n_configs", "mean_sharpe", "std_sharpe", "n_obs", "deflated_sharpe", "pbo", "pbo_warning", "config_means", "degradations", "caveats"
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barflow.functions import text as T
+from barflow.functions import timeframes
 from barflow.operators import backtest, calibration, chunks, ewm, features, labels, learning, metrics, news, validation
 from barflow.operators.asof import asof, asof_stretches
 from barflow.operators.backtest import Rules
@@ -343,4 +344,36 @@ def test_the_audit_passes(spark, sf_dir):
     from barflow.queries import QUERIES
 
     rows = QUERIES["audit"](spark, sf_dir).collect()
-    assert len(rows) == 8 and all(r["status"] == "PASS" for r in rows), rows
+    assert len(rows) == 22 and all(r["status"] == "PASS" for r in rows), rows
+
+
+def test_timeframes():
+    assert timeframes.seconds("4h") == 14400 and timeframes.prefix("1d") == "tf1d" and timeframes.check_coarser("1h", "4h") == 4
+    for main, other in (("4h", "1h"), ("1h", "1h"), ("1h", "7h")):
+        with pytest.raises(ValueError):
+            timeframes.check_coarser(main, other)
+    names = ["close", "tf4h_trend", "tf15m_ret_1", "tf_x", "mtf_confluence", "xtf4h_a"]
+    assert timeframes.coarse_columns(names) == ["tf4h_trend", "tf15m_ret_1", "mtf_confluence"]
+
+
+def test_little_news_is_refused(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 1.0)], "symbol string, has_recent_news double")
+    news.require_coverage(df, 0.5)
+    with pytest.raises(ValueError, match="a 0.500"):
+        news.require_coverage(df, 0.6)
+
+
+def test_a_logistic_curve_calibrates(spark):
+    """Probabilities that are too sure become the shares that they stand for; order stays."""
+    rows = [(p, int(k < share * 200)) for p, share in ((0.1, 0.3), (0.5, 0.5), (0.9, 0.7)) for k in range(200)]
+    df = spark.createDataFrame(rows, "prob double, bin int")
+    got = {r["prob"]: r["calibrated"] for r in learning.calibrate(df, df, kind="platt").distinct().collect()}
+    assert got[0.1] == pytest.approx(0.3, abs=0.02) and got[0.5] == pytest.approx(0.5, abs=0.02) and got[0.9] == pytest.approx(0.7, abs=0.02)
+
+
+def test_texts_of_decisions(spark):
+    rows = [("s", hour(1), "LONG", 0.7, 100.0, 97.5, None, 0.1, 1.5, None), ("s", hour(1), "HOLD", None, 1.0, None, None, 0.0, 1.0, "not_cusum_event"), ("s", hour(1), "HOLD", 0.5, 1.0, None, None, 0.0, 1.0, "other")]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, signal string, win_probability double, entry_price double, stop_loss double, take_profit double, suggested_position_pct double, atr double, reason string")
+    long, held, other = [r[0] for r in df.select(backtest.decision_text()).collect()]
+    assert long.split("\n")[0] == "[做多 LONG] s" and "止损:     97.5" in long and "止盈:     None" in long and long.endswith("2024-01-01 01:00:00")
+    assert backtest.HOLD_TEXTS["not_cusum_event"] in held and "概率=None" in held and "原因: other" in other
