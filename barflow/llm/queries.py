@@ -138,10 +138,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS site FROM documents),
 l AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 e AS (SELECT k, i, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t,
-  len(list_filter(regexp_split_to_array(line, '[ 	-
-]+'), lambda x: x <> '')) >= 3 AS ok FROM l),
-fs AS (SELECT text, min(site) AS first FROM d GROUP BY text),
-bad AS (SELECT t FROM e JOIN d USING (k) JOIN fs USING (text) WHERE ok GROUP BY t HAVING count(DISTINCT first) >= 5),
+  len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 3 AS ok FROM l),
+bad AS (SELECT t FROM e JOIN d USING (k) WHERE ok GROUP BY t HAVING count(DISTINCT site) >= 5),
 kept AS (SELECT k, count(*) FILTER (ok AND t IN (SELECT t FROM bad)) AS n,
   string_agg(line, chr(10) ORDER BY i) FILTER (NOT (ok AND t IN (SELECT t FROM bad))) AS text FROM e GROUP BY k)
 SELECT doc_id, n::BIGINT AS n_lines_removed, md5(coalesce(kept.text, '')) AS text_md5 FROM kept JOIN d USING (k)

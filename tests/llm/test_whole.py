@@ -72,6 +72,15 @@ def test_a_footer_on_forty_sites_leaves_all_its_documents(spark):
     assert all(r["n_lines_removed"] == 1 for r in line_dedup.strip_boilerplate(docs).collect())
 
 
+def test_a_text_copied_whole_to_many_sites(spark):
+    """Distinct sites decide; whole copies count for one site only where that is asked for."""
+    rows = [(k, "all rights reserved by the owners", f"s{k}") for k in range(40)] + [(100 + k, "four sites have this line", f"s{k % 4}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for once, gone in ((False, 40), (True, 0)):
+        got = line_dedup.strip_boilerplate(docs, copies_once=once).collect()
+        assert sum(r["n_lines_removed"] for r in got if r["doc_id"] < 100) == gone and not any(r["n_lines_removed"] for r in got if r["doc_id"] >= 100)
+
+
 def test_short_items_leak_with_substitutions(spark):
     item = lambda i, n: [f"i{i}w{k}" for k in range(n)]
     swap = lambda i, n, *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(item(i, n)))
