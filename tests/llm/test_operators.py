@@ -345,7 +345,9 @@ def test_boilerplate_lines_leave(spark):
     got = by_id(line_dedup.strip_boilerplate(docs))
     assert all(lines[0] not in (r["text"] or "") for r in got.values())
     assert lines[1] in got[0]["text"] and got[0]["n_lines_removed"] == 1
-    assert all(got[10 + k]["n_lines_removed"] == 0 for k in range(6))
+    assert all(got[10 + k]["n_lines_removed"] == 2 for k in range(6))
+    once = by_id(line_dedup.strip_boilerplate(docs, copies_once=True))
+    assert all(once[10 + k]["n_lines_removed"] == 0 and once[k]["n_lines_removed"] == 1 for k in range(6))
     assert got[90]["text"] is None and got[91]["text"] == ""
 
 

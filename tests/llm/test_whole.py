@@ -55,7 +55,9 @@ def test_boilerplate_that_is_the_longest_line_leaves(spark):
     got = {r["doc_id"]: r for r in line_dedup.strip_boilerplate(docs).collect()}
     for k in range(20):
         assert (got[k]["text"], got[k]["n_lines_removed"]) == (f"first own line {k}\nsecond own line {k}", 2)
-    assert all(got[100 + k]["n_lines_removed"] == 0 for k in range(6))
+    assert all(got[100 + k]["n_lines_removed"] == 3 for k in range(6))
+    once = {r["doc_id"]: r["n_lines_removed"] for r in line_dedup.strip_boilerplate(docs, copies_once=True).collect()}
+    assert all(once[100 + k] == 0 for k in range(6)) and all(once[k] == 2 for k in range(20))
 
 
 def test_a_footer_on_forty_sites_leaves_all_its_documents(spark):
