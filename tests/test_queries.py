@@ -35,7 +35,7 @@ def test_rows_equal_those_of_the_sql(spark, sf_dir, oracle, name):
     assert got == sorted(tuple(comparable(r[places[c]]) for c in names) for r in cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"stacking_oof"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"cpcv_evaluation"}))
 def test_queries_without_sql_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
