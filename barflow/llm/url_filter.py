@@ -24,7 +24,8 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-DAMPING, ROUNDS, CUT_EVERY, BLOCK_SHARE = 0.85, 15, 5, 0.75
+#: Rounds go on until ``CUT_EVERY`` of them move at most ``TOLERANCE`` of a side's weight.
+DAMPING, TOLERANCE, CUT_EVERY, BLOCK_SHARE = 0.85, 1e-3, 5, 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,12 +78,14 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", d
     return edges.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.sum("links").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) after personalised PageRank from seeds (host, trusted, blocked).
 
-    Seed weights are shares of all judged pages, so the two scores of a host compare.
-    What a host without out-edges would pass on is dropped, so scores sum up to less than
-    the seeds' weight; to give it back to the seeds would scale each side by a constant.
+    Seed weights are shares of all judged pages, so the two scores of a host compare. What
+    a host without out-edges would pass on goes back to the seeds of its side. At the
+    fixpoint that is the same as dropping it and scaling the side to its seeds' weight, so
+    it is done once, at the end; leaves then do not decide how trust and distrust compare.
+    Each ``CUT_EVERY`` rounds at least halve what is left to move, so the rounds end.
     """
     flows = edges.select(F.lit("t").alias("kind"), "src", "dst", "weight").union(
         edges.select(F.lit("d"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -95,21 +98,31 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
             F.struct(F.lit("d").alias("kind"), "host", F.col("blocked").cast("double").alias("seed")),
         )).alias("s")
     ).select("s.*").filter("seed > 0")
-    total = stacked.agg(F.sum("seed").alias("all")).first()["all"] or 1.0
-    restart = cut(stacked.select("kind", "host", (F.col("seed") / F.lit(float(total))).alias("seed")))
-    score, held = restart.select("kind", "host", F.col("seed").alias("score")), None
-    for k in range(rounds):
-        passed = score.withColumnRenamed("host", "src").join(flows, ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.lit(DAMPING) * F.col("score") * F.col("share")).alias("score")
+    given = {r["kind"]: r["seed"] for r in stacked.groupBy("kind").agg(F.sum("seed").alias("seed")).collect()}
+    total = float(sum(given.values()) or 1)
+    restart = cut(stacked.select("kind", "host", (F.col("seed") / F.lit(total)).alias("seed")))
+    weight = {kind: n / total for kind, n in given.items()}
+    score, held, moving = restart.select("kind", "host", F.col("seed").alias("score")), None, True
+    while moving:
+        start = score
+        for _ in range(CUT_EVERY):
+            passed = score.withColumnRenamed("host", "src").join(flows, ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (F.lit(DAMPING) * F.col("score") * F.col("share")).alias("score")
+            )
+            again = restart.select("kind", "host", (F.lit(1 - DAMPING) * F.col("seed")).alias("score"))
+            score = passed.union(again).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        score = cut(score)
+        change = score.withColumn("was", F.lit(0.0)).union(start.select("kind", "host", F.lit(0.0), "score")).groupBy("kind", "host").agg(
+            F.sum("score").alias("score"), F.sum(F.col("score") - F.col("was")).alias("change")
         )
-        again = restart.select("kind", "host", (F.lit(1 - DAMPING) * F.col("seed")).alias("score"))
-        score = passed.union(again).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            score, old = cut(score), held
-            held = score
-            if old is not None:
-                discard(old)
-    side = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
+        sides = change.groupBy("kind").agg(F.sum("score").alias("score"), F.sum(F.abs("change")).alias("change")).collect()
+        moving = any(r["change"] > tolerance * weight[r["kind"]] for r in sides)
+        if held is not None:
+            discard(held)
+        held = score
+    discard(flows, restart)
+    scale = {r["kind"]: weight[r["kind"]] / r["score"] for r in sides}
+    side = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score") * scale.get(kind, 1.0)).otherwise(0.0))
     return score.groupBy("host").agg(side("t").alias("trust"), side("d").alias("distrust"))
 
 
@@ -137,15 +150,16 @@ def judge(
     seeds = parts.filter("host <> '' and _rule is not null").groupBy("host").agg(
         count("allow").alias("trusted"), count("block").alias("blocked")
     )
-    edges = cut(host_edges(pages, url_col, html_col))
-    scores = propagate(edges, cut(seeds))
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("host"), "links").groupBy("host").agg(
+    edges, seeds = cut(host_edges(pages, url_col, html_col)), cut(seeds)
+    scores = propagate(edges, seeds)
+    ends = cut(edges.select(F.explode(F.array("src", "dst")).alias("host"), "links").groupBy("host").agg(
         F.when(F.max("links") > 0, "links").otherwise("domains").alias("edge_source")
-    )
+    ))
     share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
     named = cut(scores.select("host", "trust", "distrust", (share > block_share).alias("_blocked")))
+    discard(edges, seeds, scores)
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked"), "block"), F.lit("allow"))
-    return parts.join(named, "host", "left").join(cut(ends), "host", "left").select(
+    return parts.join(named, "host", "left").join(ends, "host", "left").select(
         F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "edge_source",
     )
