@@ -1,8 +1,10 @@
-"""Secret scan: candidates by shape, false positives removed by a random forest.
+"""Secret scan: candidates by shape or context, false positives removed by a random forest.
 
-A candidate is a run of twelve characters or more of the kind that keys are made of, cut
-out of its word at quotes, commas, colons and the like, with a digit or with capitals
-inside. Its features are its length, its character transitions, how much of it the
+A candidate by shape is a run of twelve characters or more of the kind that keys are made
+of, cut out of its word at quotes, commas, colons and the like, with a digit or with
+capitals inside. A candidate by context has any shape and length: what is assigned to a
+name with a keyword in it, follows a bearer or basic scheme, or stands where a URL has
+its password. Its features are its length, its character transitions, how much of it the
 corpus's own vocabulary covers, where it was found (the path's rate of candidates) and
 the words beside it. The forest learns from labelled findings, a table of snippets whose
 candidates are known to be secrets or not.
@@ -22,6 +24,12 @@ RUN = r"[A-Za-z0-9][A-Za-z0-9_\-+/=.]{10,}[A-Za-z0-9=]"
 MIXED = "[0-9]|[a-z][A-Z]"
 #: Words that name a secret.
 KEYWORDS = ("auth", "bearer", "credential", "key", "passwd", "password", "pwd", "secret", "token")
+#: What a word assigns to such a name, and the password of a URL in a word.
+ASSIGNED = "(?i)(?:" + "|".join(KEYWORDS) + r")[a-z0-9_\-]*[\"'`]?[=:]+[\"'`]?([^\s\"'`,;={}()<>\[\]]+)"
+URL_PASSWORD = r"://[^/:@\s]*:([^@\s]+)@"
+SCHEMES = ("bearer", "basic")
+#: Sources whose rates are joined in the map tasks; more of them are joined by shuffle.
+MAX_MAP_PATHS = 100_000
 #: Labelled findings that the forest is fitted on at most (those of least hash), trees and depth.
 MAX_TRAIN, TREES, DEPTH, SEED = 20_000, 30, 6, 7
 #: Documents that must use a word before it counts as vocabulary; shorter letter runs are not looked up.
@@ -34,7 +42,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(_id, path, place, head, value, before2, before, after): one row per candidate.
 
     ``place`` counts words from 0, ``head`` is what stands before the value in its own
-    word. Equal values of one word are one candidate.
+    word. Equal values of one word are one candidate, and a run by shape inside a value by
+    context is none of its own.
     """
     df = docs.select(
         F.col(id_col).alias("_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"),
@@ -42,16 +51,32 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     words = F.col("_words")
     beside = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-    runs = lambda w: F.array_distinct(F.filter(F.regexp_extract_all(w, F.lit(RUN), F.lit(0)), lambda r: r.rlike(MIXED)))
+    named = lambda w: F.lower(w).rlike("|".join(KEYWORDS))
+    shaped = lambda w: F.when(
+        (F.length(w) >= 12) & w.rlike(MIXED), F.filter(F.regexp_extract_all(w, F.lit(RUN), F.lit(0)), lambda r: r.rlike(MIXED))
+    ).otherwise(F.array().cast("array<string>"))
+    inside = lambda w: F.when(
+        w.contains("=") | w.contains(":"),
+        F.concat(F.regexp_extract_all(w, F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all(w, F.lit(URL_PASSWORD), F.lit(1))),
+    ).otherwise(F.array().cast("array<string>"))
+    bare = lambda w: F.regexp_extract(w, r"^[\"'`({\[<]*([^\"'`,;{}()<>\[\]]*)", 1)
+    ends = lambda w: F.endswith(w, F.lit("=")) | F.endswith(w, F.lit(":"))
+    told = lambda b2, b: F.when(ends(b), named(b) | named(b2)).otherwise(F.lower(b).isin(*SCHEMES) & ends(b2))
+    meant = lambda w, b2, b: F.concat(inside(w), F.when(told(b2, b), F.array(bare(w))).otherwise(F.array().cast("array<string>")))
+
+    def values(w: Column, b2: Column, b: Column) -> Column:
+        context = F.filter(meant(w, b2, b), lambda v: v.rlike("[A-Za-z0-9]") & ~F.lower(v).isin(*SCHEMES))
+        return F.array_distinct(F.concat(context, F.filter(shaped(w), lambda r: ~F.exists(context, lambda v: v.contains(r)))))
+
     found = F.filter(
         F.transform(
             words,
-            lambda w, i: F.when(
-                (F.length(w) >= 12) & w.rlike(MIXED),
-                F.struct(i.alias("place"), w.alias("word"), runs(w).alias("values"), beside(i - 2).alias("before2"), beside(i - 1).alias("before"), beside(i + 1).alias("after")),
+            lambda w, i: F.struct(
+                i.alias("place"), w.alias("word"), values(w, beside(i - 2), beside(i - 1)).alias("values"),
+                beside(i - 2).alias("before2"), beside(i - 1).alias("before"), beside(i + 1).alias("after"),
             ),
         ),
-        lambda c: c.isNotNull() & (F.size(c["values"]) > 0),
+        lambda c: F.size(c["values"]) > 0,
     )
     rows = df.select("_id", "path", F.explode(found).alias("c")).select("_id", "path", "c.*")
     rows = rows.select("_id", "path", "place", "word", F.explode("values").alias("value"), "before2", "before", "after")
@@ -92,10 +117,12 @@ def features(found: DataFrame, docs: DataFrame, text_col: str = "text", path_col
     rates = docs.groupBy(F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path")).agg(F.count(F.lit(1)).alias("docs")).join(
         found.filter("label is null").groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left"
     ).select("path", (F.coalesce("n", F.lit(0)) / F.col("docs")).alias("path_rate"))
+    rates = cut(rates)
+    rates = F.broadcast(rates) if rates.count() <= MAX_MAP_PATHS else rates.hint("merge")
     value, size = F.col("value"), F.greatest(F.lit(1), F.length("value"))
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / size
     names = "(?i)" + "|".join(KEYWORDS)
-    df = found.join(cut(coverage(found, docs, text_col)).hint("merge"), "value").join(cut(rates).hint("merge"), "path", "left").withColumn(
+    df = found.join(cut(coverage(found, docs, text_col)).hint("merge"), "value").join(rates, "path", "left").withColumn(
         "path_rate", F.coalesce("path_rate", F.lit(0.0))
     )
     columns = {
@@ -174,18 +201,27 @@ FALSE_CONTEXTS = (
     "commit {}", "sha256:{}", 'etag="{}"', "request id: {}", "see {} for more", '<img src="img/{}.png">', "primary key: {}", "invoice number = {}",
     "mail user@{} now", "version {} of", "token count: {}", "{}", "at {} we", 'checksum = "{}"',
 )
+#: The same for values that only their context makes candidates: passwords, and words that merely follow a keyword.
+TRUE_ASSIGNMENTS = (
+    "password = {}", "pwd: {}", "secret={}", 'passwd="{}"', "db_password: {}", "postgres://app:{}@db.internal/main", "auth_token={};", "my password: {}",
+)
+FALSE_ASSIGNMENTS = (
+    "password: {}", "the key: {}", "secret = {}", "token: {}", "keyword={}", "http://{}:8080/a@{}", 'author: "{}"', "keys: {}",
+)
 
 
 def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", most: int = MAX_TRAIN) -> DataFrame:
-    """Labelled findings (snippet, path, label, fold) for corpora without any: values made from hashes, planted between words of ``most`` documents.
+    """Labelled findings (snippet, path, label, fold, template) for corpora without any: values made from hashes, planted between words of ``most`` documents.
 
     Secrets are hexadecimal, Base64, Base32 and prefixed keys and token triples; others
     are digests, UUIDs, numbers, times, addresses, versions and names of several words.
     Forty hexadecimal digits are a secret in one context and a commit in another, so
     neither shape nor context alone tells the classes apart. The documents are those of
-    least hash; ``fold`` is 0 to 4 by hash, to hold findings out.
+    least hash; ``fold`` is 0 to 4 by hash, to hold findings out, ``template`` the number
+    of the context within its kind, to hold whole contexts out. A quarter are short: joined
+    words and words with digits as passwords, single words of the text where none is meant.
     """
-    words = F.slice(F.filter(words_of(whole_text(text_col)), lambda w: F.length(w) < 12), 1, 6)
+    words = F.slice(F.filter(words_of(whole_text(text_col)), lambda w: (F.length(w) < 12) & ~w.rlike("[=:]")), 1, 6)
     h = F.xxhash64(F.col(id_col).cast("string"), whole_text(text_col))
     # Little more than ``most`` rows, and few words of each, are left to be put in order.
     share = 1.2 * most / max(docs.count(), 1)
@@ -213,9 +249,19 @@ def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         joined, F.concat_ws(".", part(5, 30).cast("string"), part(6, 30).cast("string"), F.lit("0-build"), part(7, 9000).cast("string")),
     )
     one_of = lambda values, k: F.element_at(F.array(*values), part(k, len(values)) + 1)
-    label = part(1, 2)
-    value = F.when(label == 1, one_of(true_kinds, 2)).otherwise(one_of(false_kinds, 2))
-    frame = F.when(label == 1, one_of([F.lit(c) for c in TRUE_CONTEXTS], 16)).otherwise(one_of([F.lit(c) for c in FALSE_CONTEXTS], 16))
+    letters = lambda k: F.regexp_replace(F.lower(word(k)), "[^a-z]+", "")
+    upper = F.left(F.upper(F.regexp_replace(packed, "[^A-Za-z]", "")), part(18, 10) + 16)
+    passwords = (
+        F.concat(letters(8), letters(9), letters(10), letters(19), F.left(F.lower(plain), F.lit(2))),
+        F.concat(F.translate(letters(8), "aeios", "43105"), part(11, 1000).cast("string"), F.lit("!")),
+        F.concat(F.initcap(letters(9)), F.lit("-"), letters(10), F.lit("$"), part(11, 100).cast("string")), upper,
+    )
+    meant, label = part(20, 4) == 0, part(1, 2)
+    value = F.when(meant, F.when(label == 1, one_of(passwords, 2)).otherwise(F.concat(letters(8), F.when(letters(8) == "", "name").otherwise(""))))
+    value = value.when(label == 1, one_of(true_kinds, 2)).otherwise(one_of(false_kinds, 2))
+    kinds = ((meant & (label == 1), TRUE_ASSIGNMENTS), (meant, FALSE_ASSIGNMENTS), (label == 1, TRUE_CONTEXTS), (F.lit(True), FALSE_CONTEXTS))
+    frame = F.coalesce(*[F.when(when, one_of([F.lit(c) for c in contexts], 16)) for when, contexts in kinds])
+    template = F.coalesce(*[F.when(when, part(16, len(contexts))) for when, contexts in kinds])
     inside = F.replace(frame, F.lit("{}"), value)
     near = lambda a: F.array_join(F.slice("w", a, 3), " ")
-    return chosen.select(F.concat_ws(" ", near(1), inside, near(4)).alias("snippet"), "path", label.alias("label"), part(17, 5).alias("fold"))
+    return chosen.select(F.concat_ws(" ", near(1), inside, near(4)).alias("snippet"), "path", label.alias("label"), part(17, 5).alias("fold"), template.alias("template"))

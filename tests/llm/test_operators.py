@@ -202,6 +202,37 @@ def test_candidates_are_cut_out_of_compact_text(spark):
     assert next(r["head"] for r in got if r["_id"] == 1) == '{"api_key":"'
 
 
+#: Values that only their context makes candidates.
+BY_CONTEXT = {
+    "pwd: pa55word!": "pa55word!", "password = correcthorsebatterystaple": "correcthorsebatterystaple", "secret=ABCDEFGHIJKLMNOPQRSTUVWX": "ABCDEFGHIJKLMNOPQRSTUVWX",
+    "postgres://u:pa55word@host/db": "pa55word", "Authorization: Bearer opaque": "opaque", "PASSWD='a1'": "a1", "my_token:0a1b2c3d4e5f60718293!x": "0a1b2c3d4e5f60718293!x",
+}
+
+
+def test_context_makes_values_of_any_shape_candidates(spark):
+    from barflow.llm import secret_scan
+
+    rows = [(k, f"some words {t} and more", "s") for k, t in enumerate(BY_CONTEXT)] + [(99, "the password is what a key: or secret was = bearer of tokens", "s")]
+    got = secret_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r["_id"], r["value"]) for r in got if r["_id"] < 99) == list(enumerate(BY_CONTEXT.values()))
+    assert {r["value"] for r in got if r["_id"] == 99} == {"or"}
+
+
+def test_held_out_contexts(spark):
+    """Contexts that the forest never saw: a quarter of the templates are held out as a whole."""
+    from barflow.llm import secret_scan
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    known = simhash.cut(secret_scan.planted(docs))
+    asked = simhash.cut(known.filter("template % 4 = 1").select(F.monotonically_increasing_id().alias("doc_id"), F.col("snippet").alias("text"), F.col("path").alias("source"), "label"))
+    got = secret_scan.scan(asked.drop("label"), known.filter("template % 4 <> 1")).groupBy("doc_id").agg(F.max("is_secret").alias("found"))
+    n = asked.join(got, "doc_id", "left").groupBy("label", F.coalesce("found", F.lit(False)).alias("found")).count().collect()
+    n = {(r["label"], r["found"]): r["count"] for r in n}
+    recall, precision = n[1, True] / (n[1, True] + n.get((1, False), 0)), n[1, True] / (n[1, True] + n.get((0, True), 0))
+    print("held-out contexts: recall", recall, "precision", precision)
+    assert recall >= 0.9 and precision >= 0.9
+
+
 def test_leaks_with_substitutions(spark):
     rule = [f"w{k}" for k in range(40)]
     swapped = [w if k % 7 else "x" for k, w in enumerate(rule)]
