@@ -215,7 +215,7 @@ def test_context_makes_values_of_any_shape_candidates(spark):
     rows = [(k, f"some words {t} and more", "s") for k, t in enumerate(BY_CONTEXT)] + [(99, "the password is what a key: or secret was = bearer of tokens", "s")]
     got = secret_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted((r["_id"], r["value"]) for r in got if r["_id"] < 99) == list(enumerate(BY_CONTEXT.values()))
-    assert {r["value"] for r in got if r["_id"] == 99} == {"or"}
+    assert {r["value"] for r in got if r["_id"] == 99} == {"or", "of"}  # the forest tells such words from secrets
 
 
 def test_held_out_contexts(spark):
