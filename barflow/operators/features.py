@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions import windows as W
+from barflow.operators import ewm
 from barflow.operators.asof import asof
-from barflow.operators.ewm import indicators
 from barflow.sources.bars import resample
 
 
@@ -42,7 +42,7 @@ def technical(bars: DataFrame, windows: tuple[int, ...] = (7, 14), vol_window: i
             f"ret_{n}": W.momentum(close, n), f"mom_{n}": W.momentum(close, n), f"vol_{n}": W.rolling(F.stddev_samp, F.col("logret_1"), n),
             f"zscore_{n}": W.zscore(close, n), f"bb_pos_{n}": W.band_position(close, n), f"vol_ratio_{n}": W.ratio_to_mean(F.col("volume"), n),
         })
-    df = indicators(df, rsi={f"rsi_{n}": n for n in windows}, atr={"atr_14": 14}, macd=True)
+    df = ewm.indicators(df, rsi={f"rsi_{n}": n for n in windows}, atr={"atr_14": 14}, macd=True)
     return df.withColumns({"atr_norm": F.col("atr_14") / (close + W.EPS), "rv": W.rolling(F.stddev_samp, F.col("logret_1"), vol_window)})
 
 
@@ -56,10 +56,10 @@ def coarse_features(
     p, close, df = f"tf{hours}h", F.col("close"), resample(bars, hours)
     own = {}
     if indicators:
-        df = indicators(df, rsi={f"{p}_rsi_{rsi_window}": rsi_window}, atr={"_atr": 14}, macd=True)
+        df = ewm.indicators(df, rsi={f"{p}_rsi_{rsi_window}": rsi_window}, atr={"_atr": 14}, macd=True)
         own = {f"{p}_macd_hist": F.col("macd_hist"), f"{p}_atr_norm": F.col("_atr") / (close + W.EPS)}
     df = df.withColumn("_lr", W.log_return(close))
-    df = df.withColumns({f"{p}_ret_{n}": W.momentum(close, n) for n in lookbacks} | own | {
+    df = df.withColumns({f"{p}_{kind}_{n}": W.momentum(close, n) for n in lookbacks for kind in ("ret", "mom")} | own | {
         f"{p}_vol_{vol_window}": W.rolling(F.stddev_samp, F.col("_lr"), vol_window),
         f"{p}_zscore_{vol_window}": W.zscore(close, vol_window), f"{p}_trend": F.signum(W.momentum(close, 3)),
     })

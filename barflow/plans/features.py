@@ -143,6 +143,26 @@ def mtf_asof_join(spark: SparkSession, folder: str) -> DataFrame:
     return shown(features.align_coarse(bars, features.coarse_features(bars, 4, indicators=False), 4), "tf4h_ret_1", "tf4h_ret_3", "tf4h_trend")
 
 
+_BY_BAR = "WINDOW c AS (PARTITION BY symbol ORDER BY bar)"
+_COARSE_MEANS = f"""{sql.coarse(4, 'c4')}, d4 AS (SELECT *, close - lag(close) OVER c AS d,
+  greatest(high - low, abs(high - lag(close) OVER c), abs(low - lag(close) OVER c)) AS tr FROM c4 {_BY_BAR}),
+u4 AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS up, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS down FROM d4),
+m4 AS (SELECT *, {sql.mean('up', 1 / 14, 'bar')} AS mu, {sql.mean('down', 1 / 14, 'bar')} AS md,
+  {sql.mean('tr', 1 / 14, 'bar')} AS atr, {sql.mean('close', 2 / 13, 'bar')} - {sql.mean('close', 2 / 27, 'bar')} AS m FROM u4),
+s4 AS (SELECT *, {sql.mean('m', 2 / 10, 'bar')} AS sig FROM m4)"""
+
+
+@query(f"""WITH {sql.BARS}, {_COARSE_MEANS} SELECT b.symbol, b.ts, round(100 - 100 / (1 + f.mu / (f.md + 1e-12)), 5) + 0 AS tf4h_rsi_14,
+round((f.m - f.sig) / (f.close + 1e-12), 6) + 0 AS tf4h_macd_hist, round(f.atr / (f.close + 1e-12), 6) + 0 AS tf4h_atr_norm
+FROM bars b ASOF LEFT JOIN s4 f ON f.symbol = b.symbol AND b.ts + INTERVAL 1 HOUR >= f.bar + INTERVAL 4 HOUR""")
+def mtf_indicators(spark: SparkSession, folder: str) -> DataFrame:
+    """RSI, MACD and ATR of the latest closed four-hour bar."""
+    bars = source.hourly(spark, folder)
+    df = features.align_coarse(bars, features.coarse_features(bars, 4), 4)
+    rsi = rounded(F.col("tf4h_rsi_14"), 5).alias("tf4h_rsi_14")
+    return df.select("symbol", "ts", rsi, *[rounded(F.col(c)).alias(c) for c in ("tf4h_macd_hist", "tf4h_atr_norm")])
+
+
 @query(f"""WITH {sql.BARS}, {_COARSE}, a AS (SELECT b.*, f.tf4h_trend FROM bars b ASOF LEFT JOIN f4 f ON f.symbol = b.symbol AND b.ts + INTERVAL 1 HOUR >= f.bar + INTERVAL 4 HOUR),
 j AS (SELECT a.*, f.tf24h_trend, sign(close / lag(close, 14) OVER (PARTITION BY a.symbol ORDER BY ts) - 1) AS side FROM a ASOF LEFT JOIN f24 f ON f.symbol = a.symbol AND a.ts + INTERVAL 1 HOUR >= f.bar + INTERVAL 24 HOUR),
 v AS (SELECT symbol, ts, coalesce(tf4h_trend, 0) + 0 AS tf4h_trend, coalesce(tf24h_trend, 0) + 0 AS tf24h_trend,
