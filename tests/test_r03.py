@@ -52,3 +52,20 @@ def test_the_fold_gives_what_the_plain_fold_gives():
         assert stories.join(r) == plain
     stories.forget(499)
     assert stories.active() == active
+
+
+def test_pairs_are_all_there_and_words_are_not_dealt_one_by_one(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(240):
+        words = [f"w{x}" for x in range(k % 12 * 20, k % 12 * 20 + 20)]
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(20)] = f"o{rng.randrange(50)}"
+        rows.append((k, "st"[k // 12 % 2], " ".join(words)))
+    rows.append((240, "s", ""))
+    items = spark.createDataFrame(rows, "item_id long, symbol string, body string").withColumn("published_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    found = news.similar_pairs(items, 0.6)
+    sets = [(i, s, set(t.split())) for i, s, t in rows if t]
+    want = {(a, b): len(x & y) / len(x | y) for a, s, x in sets for b, t, y in sets if a < b and s == t and len(x & y) >= 0.6 * len(x | y)}
+    assert len(want) > 100 and {(r["a"], r["b"]): r["similarity"] for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
