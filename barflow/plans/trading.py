@@ -149,7 +149,8 @@ def equity_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     return shown(metrics.equity_sharpe(curve, "equity", ["symbol"], "t0"), "sharpe", "sharpe_annualized", keys=("symbol", "n_periods"))
 
 
-@query(f"""WITH {sql.EVENTS}, {sql.PROBS}, {_TRADES} SELECT symbol, round(avg(pnl) / (stddev_pop(pnl) + 1e-12), 6) + 0 AS sharpe FROM trd WHERE pnl <> 0 GROUP BY symbol""")
+@query(f"""WITH {sql.EVENTS}, {sql.PROBS}, {_TRADES} SELECT symbol, round(CASE WHEN count(*) FILTER (pnl <> 0) >= 2 AND stddev_pop(pnl) FILTER (pnl <> 0) > 0
+  THEN avg(pnl) FILTER (pnl <> 0) / (stddev_pop(pnl) FILTER (pnl <> 0) + 1e-12) ELSE 0 END, 6) + 0 AS sharpe FROM trd GROUP BY symbol""")
 def per_trade_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     return shown(metrics.per_trade_sharpe(backtest.independent(scored(spark, folder), RULES), "pnl", ["symbol"]), "sharpe", keys=("symbol",))
 

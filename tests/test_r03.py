@@ -69,3 +69,14 @@ def test_pairs_are_all_there_and_words_are_not_dealt_one_by_one(spark):
     want = {(a, b): len(x & y) / len(x | y) for a, s, x in sets for b, t, y in sets if a < b and s == t and len(x & y) >= 0.6 * len(x | y)}
     assert len(want) > 100 and {(r["a"], r["b"]): r["similarity"] for r in found.collect()} == want
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_symbols_of_too_few_trades_have_a_ratio_in_query_and_sql(spark, sf_dir, tmp_path):
+    cut = f"SELECT * FROM read_parquet('{sf_dir}/events.parquet') WHERE event_type <> 'view' OR ts < TIMESTAMP '2024-01-01' + (SELECT min(ts) - TIMESTAMP '2024-01-01' FROM read_parquet('{sf_dir}/events.parquet')) + INTERVAL 12 DAY"
+    db = duckdb.connect()
+    db.execute(f"COPY ({cut}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    got = sorted((r["symbol"], f"{r['sharpe']:.6f}") for r in QUERIES["per_trade_sharpe"](spark, str(tmp_path)).collect())
+    names = db.execute(SQL["per_trade_sharpe"])
+    assert ("view", "0.000000") in got
+    assert got == sorted((a, f"{b:.6f}") for a, b in names.fetchall())
