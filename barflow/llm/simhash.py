@@ -157,14 +157,8 @@ def links(
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id reachable by links.
-
-    Nulls: a null text counts as empty; texts without words have fingerprint zero and
-    link like any other. A null id keeps its row and never names a component unless the
-    component has no other id. Repeated rows give a row each; extra columns are not read.
-    """
-    prints = cut(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "fp"))
+def linked_fingerprints(prints: DataFrame) -> DataFrame:
+    """Stored table (fp, first, component) of the distinct fingerprints of prints (_id, fp): least id, and class by links."""
     classes = cut(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")))
     table = pivot_table(classes, runs_for(classes.count()))
     rows = cut(table.select(F.explode("keys").alias("key"), F.col("fp").alias("node"), "n", "pivots"))
@@ -172,9 +166,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(rows)
     named = components(found)
     discard(found)
-    class_of = cut(classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select(
+    return cut(classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     ))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id reachable by links.
+
+    Nulls: a null text counts as empty; texts without words have fingerprint zero and
+    link like any other. A null id keeps its row and never names a component unless the
+    component has no other id. Repeated rows give a row each; extra columns are not read.
+    """
+    prints = cut(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "fp"))
+    class_of = linked_fingerprints(prints)
     least = class_of.groupBy("component").agg(F.min("first").alias("component_id"))
     member = cut(class_of.join(least, "component").select("fp", "component_id"))
     return prints.join(member.hint("merge"), "fp").select(
@@ -347,15 +352,34 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: s
     return who.select("row_id", "row_hash", "id", "node").join(member, "node").drop("node")
 
 
+def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored table (row_id, row_hash, class): documents of a class are connected by links of their fingerprints."""
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), *row_key(id_col, text_col), F.col(text_col).alias("_text"))
+    prints = cut(with_fingerprint(texts, "_text").select("_id", "row_id", "row_hash", "fp"))
+    linked = linked_fingerprints(prints)
+    found = cut(prints.join(linked.select("fp", F.col("component").alias("class")), "fp").select("row_id", "row_hash", "class").distinct())
+    discard(prints, linked)
+    free_shuffles(docs.sparkSession)
+    return found
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of copies and near copies, that of the least id, with its own columns only.
 
-    Rows that repeat both id and text count once. A group without any id keeps the row of
-    least text hash.
+    A group is what links of SimHash fingerprints, found by pivot distance tables, and links of
+    this similarity, found exactly, connect together. Rows that repeat both id and text count once.
+    A group without any id keeps the row of least text hash.
     """
-    first = similar_documents(docs, similarity, id_col, text_col).groupBy("component").agg(
+    classes = simhash_classes(docs, id_col, text_col)
+    alike = cut(similar_documents(docs, similarity, id_col, text_col).select("row_id", "row_hash", "id", "component"))
+    both = alike.join(classes, ["row_id", "row_hash"]).select("class", "component").distinct()
+    least = both.groupBy("class").agg(F.min("component").alias("src"), F.max("component").alias("last")).filter("src <> last")
+    merged = components(both.join(least, "class").select("src", F.col("component").alias("dst")))
+    named = alike.join(merged.withColumnRenamed("component", "_c"), alike["component"] == merged["node"], "left")
+    first = named.groupBy(F.coalesce("_c", "component").alias("group")).agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "row_id", "row_hash")).alias("k")
     )
     keys = cut(first.select("k.row_id", "k.row_hash"))
+    discard(classes, alike, merged)
     packed = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(id_col, text_col))
     return packed.join(keys, ["row_id", "row_hash"], "left_semi").dropDuplicates(["row_id", "row_hash"]).select("_row.*")

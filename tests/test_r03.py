@@ -80,3 +80,15 @@ def test_symbols_of_too_few_trades_have_a_ratio_in_query_and_sql(spark, sf_dir,
     names = db.execute(SQL["per_trade_sharpe"])
     assert ("view", "0.000000") in got
     assert got == sorted((a, f"{b:.6f}") for a, b in names.fetchall())
+
+
+def test_copies_by_fingerprint_are_near_copies_in_the_pipeline(spark):
+    phrase = " ".join(f"p{k}" for k in range(20))
+    tails = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(7, f"{phrase} " * 300 + tails[0]), (3, f"{phrase} " * 300 + tails[1]), (9, tails[2]), (11, f"{tails[2]} x y"), (4, "one two")]
+    a, b = (simhash.fingerprint(t) for _, t in rows[:2])
+    assert (a ^ b).bit_count() <= simhash.LINK_BITS
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows[:2]]
+    assert len(sets[0] & sets[1]) < simhash.SIMILARITY * len(sets[0] | sets[1])
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [3, 4, 9]
