@@ -110,7 +110,9 @@ SELECT doc_id, language, round(en, 6) + 0 AS en, round(zh, 6) + 0 AS zh, round(g
 def bilingual_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Each text's sentiment by the scorer of its language; the second one has the default words."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    scored = docs.select("doc_id", T.language(F.col("text")).alias("language"), T.sentiment(F.col("text"), GOOD, BAD).alias("en"), T.sentiment(F.col("text")).alias("zh"))
+    both = T.sentiments(F.col("text"), (GOOD, BAD), (T.POSITIVE, T.NEGATIVE)).alias("both")
+    scored = docs.select("doc_id", T.language(F.col("text")).alias("language"), both)
+    scored = scored.select("doc_id", "language", F.col("both")[0].alias("en"), F.col("both")[1].alias("zh"))
     return shown(scored.withColumn("score", T.route(F.col("language"), F.col("en"), F.col("zh"))), "en", "zh", "score", keys=("doc_id", "language"))
 
 

@@ -92,3 +92,16 @@ def test_copies_by_fingerprint_are_near_copies_in_the_pipeline(spark):
     assert len(sets[0] & sets[1]) < simhash.SIMILARITY * len(sets[0] | sets[1])
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in kept) == [3, 4, 9]
+
+
+def test_letters_are_counted_at_once_and_texts_are_read_once(spark):
+    rows = [(1, None), (2, ""), (3, "abc 12"), (4, "\u4e00\u9fff\ua000"), (5, "\u4e00 abcd"), (6, "ab \u4e00"), (7, "\U00020000 x"), (8, "\u4e00" * 3 + "zZ")]
+    docs = spark.createDataFrame(rows, "k long, t string")
+    got = {r["k"]: (r["n"]["cjk"], r["n"]["latin"], r["l"]) for r in docs.select("k", T.letter_counts(F.col("t")).alias("n"), T.language(F.col("t")).alias("l")).collect()}
+    assert got == {1: (0, 0, "en"), 2: (0, 0, "en"), 3: (0, 3, "en"), 4: (2, 0, "zh"), 5: (1, 4, "mixed"), 6: (1, 2, "mixed"), 7: (0, 1, "en"), 8: (3, 2, "zh")}
+
+
+def test_two_lexicons_split_a_text_once(spark, sf_dir):
+    plan = QUERIES["bilingual_scores"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert "regexp_replace(" not in plan
