@@ -178,4 +178,6 @@ def dedup_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def corroborated_panel(spark: SparkSession, folder: str) -> DataFrame:
-    return news.bucket_panel(news.snapshots(news.items(spark, folder)), T.sentiment(F.col("body"), GOOD, BAD))
+    """Panel of corroborated reports; sentiment is taken where texts are read, so that no text is shuffled."""
+    items = news.items(spark, folder).withColumn("sentiment", T.sentiment(F.col("body"), GOOD, BAD))
+    return news.bucket_panel(news.snapshots(items), F.col("sentiment"))
